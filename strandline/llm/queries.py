@@ -7,18 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm.common import table
+from strandline.llm.langid import held_out_languages
 from strandline.llm.neardup import near_duplicates
+from strandline.llm.packing import pack
+from strandline.llm.quality import score_quality
+from strandline.llm.tokencount import count_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_hyperdimensional_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the four fifths that are not held out."""
+    return held_out_languages(table(spark, sf_dir, "documents"))
+
+
+def op2_separator_scan_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of every document of flat token files made from the documents."""
+    return count_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_first_fit_decreasing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of whole documents: five-word shingles, similarity 0.75 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_boosted_tree_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the labels that are not held out."""
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op9_minmax_near_dedup": op9_minmax_near_dedup}
+    each = (op1_hyperdimensional_language_id, op2_separator_scan_token_counts, op3_first_fit_decreasing_packing, op9_minmax_near_dedup, op10_boosted_tree_quality)
+    return {f.__name__: f for f in each}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm.common import table
+from strandline.llm.fingerprint import fingerprints
 from strandline.llm.langid import held_out_languages
 from strandline.llm.neardup import near_duplicates
 from strandline.llm.packing import pack
+from strandline.llm.pii import personal_data
 from strandline.llm.quality import score_quality
 from strandline.llm.tokencount import count_documents
 
@@ -31,6 +33,16 @@ def op3_first_fit_decreasing_packing(spark: SparkSession, sf_dir: str) -> DataFr
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data spans of every document."""
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+def op7_improbable_feature_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, with likenesses."""
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of whole documents: five-word shingles, similarity 0.75 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -42,7 +54,7 @@ def op10_boosted_tree_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    each = (op1_hyperdimensional_language_id, op2_separator_scan_token_counts, op3_first_fit_decreasing_packing, op9_minmax_near_dedup, op10_boosted_tree_quality)
+    each = (op1_hyperdimensional_language_id, op2_separator_scan_token_counts, op3_first_fit_decreasing_packing, op6_weak_supervision_pii, op7_improbable_feature_fingerprints, op9_minmax_near_dedup, op10_boosted_tree_quality)
     return {f.__name__: f for f in each}
 
 

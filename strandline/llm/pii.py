@@ -161,7 +161,7 @@ Found = tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]
 
 
 def find(t: str, at: bool = True, plus: bool = True, digits: bool = True) -> Found:
-    """Exact spans (start, kind, end) in order, and candidates (kind, start, end, code); the flags say what the text may hold."""
+    """Exact spans (start, kind, end) in order, and candidates (kind, start, end, code), loose ones only where they overlap no exact span; the flags say what the text may hold."""
     good, bad = cards(t) if digits else ([], [])
     exact = [(s, 0, e) for s, e in (emails(t) if at else [])]
     if digits:
@@ -169,7 +169,7 @@ def find(t: str, at: bool = True, plus: bool = True, digits: bool = True) -> Fou
     if plus:
         exact += [(s, 3, e) for s, e in phones(t)]
     exact.sort()
-    cand = [(k, s, e, True) for s, k, e in exact] + [(k, s, e, False) for k, s, e in loose(t, bad)]
+    cand = [(k, s, e, True) for s, k, e in exact] + [(k, s, e, False) for k, s, e in loose(t, bad) if all(e <= a or s >= b for a, _, b in exact)]
     return exact, [(k, s, e, (votes(t, k, s, e, x) * SHAPES + shape_code(t, k, s, e)) * 4 + k) for k, s, e, x in cand]
 
 

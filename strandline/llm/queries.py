@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandline.llm.ann import nearest
 from strandline.llm.common import table
 from strandline.llm.fingerprint import fingerprints
 from strandline.llm.langid import held_out_languages
+from strandline.llm.lm import score_documents
 from strandline.llm.neardup import near_duplicates
 from strandline.llm.packing import pack
 from strandline.llm.pii import personal_data
@@ -33,6 +35,17 @@ def op3_first_fit_decreasing_packing(spark: SparkSession, sf_dir: str) -> DataFr
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op4_balanced_posting_lists_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector, among all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op5_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-bigram and unigram scores of every document, learnt from nine tenths."""
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data spans of every document."""
     return personal_data(table(spark, sf_dir, "documents"))
@@ -54,7 +67,7 @@ def op10_boosted_tree_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    each = (op1_hyperdimensional_language_id, op2_separator_scan_token_counts, op3_first_fit_decreasing_packing, op6_weak_supervision_pii, op7_improbable_feature_fingerprints, op9_minmax_near_dedup, op10_boosted_tree_quality)
+    each = (op1_hyperdimensional_language_id, op2_separator_scan_token_counts, op3_first_fit_decreasing_packing, op4_balanced_posting_lists_ann, op5_brown_class_lm, op6_weak_supervision_pii, op7_improbable_feature_fingerprints, op9_minmax_near_dedup, op10_boosted_tree_quality)
     return {f.__name__: f for f in each}
 
 

@@ -145,3 +145,40 @@ def shingle_hashes(words: np.ndarray, at: np.ndarray, k: int = 5) -> tuple[np.nd
 
 def random_odds(n: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 63, n, dtype=np.uint64) * _U(2) + _U(1)
+
+
+def table_find(key: np.ndarray, value: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Values of the hashes h in an open-addressing table (0 marks a free slot), -1 where absent."""
+    out = np.full(len(h), -1, np.int64)
+    mask, todo, slot = len(key) - 1, np.arange(len(h)), (h >> _U(20)).astype(np.int64)
+    while len(todo):
+        slot &= mask
+        own = key[slot]
+        hit = own == h[todo]
+        out[todo[hit]] = value[slot[hit]]
+        go = ~hit & (own != 0)
+        todo, slot = todo[go], slot[go] + 1
+    return out
+
+
+def table_put(key: np.ndarray, value: np.ndarray, h: np.ndarray, first: int = 0) -> None:
+    """Add absent, distinct hashes with values counting up from `first`."""
+    mask, todo, slot = len(key) - 1, np.arange(len(h)), (h >> _U(20)).astype(np.int64)
+    while len(todo):
+        slot &= mask
+        free = np.flatnonzero(key[slot] == 0)
+        place, at = np.unique(slot[free], return_index=True)
+        put = todo[free[at]]
+        key[place] = h[put]
+        value[place] = first + put
+        left = np.ones(len(todo), bool)
+        left[free[at]] = False
+        todo, slot = todo[left], slot[left] + 1
+
+
+def hash_index(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A table of distinct non-zero hashes to their positions."""
+    size = 1 << max(2 * len(h), 2).bit_length()
+    key, value = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+    table_put(key, value, h)
+    return key, value

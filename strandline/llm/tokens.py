@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from strandline.llm.textkernel import span_hashes, utf8
+from strandline.llm.textkernel import chunk_ranges, span_hashes, table_find, table_put, utf8
 
 #: The published pre-tokenisation pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -92,16 +92,7 @@ class Lexicon:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The entry of each hash, -1 where there is none."""
-        out = np.full(len(h), -1, np.int64)
-        mask, todo, slot = self.size - 1, np.arange(len(h)), (h >> np.uint64(20)).astype(np.int64)
-        while len(todo):
-            slot &= mask
-            key = self.key[slot]
-            hit = key == h[todo]
-            out[todo[hit]] = self.value[slot[hit]]
-            go = ~hit & (key != 0)
-            todo, slot = todo[go], slot[go] + 1
-        return out
+        return table_find(self.key, self.value, h)
 
     def put(self, h: np.ndarray, pieces: list[bytes]) -> None:
         """Add hashes that are absent and differ from each other."""
@@ -117,18 +108,7 @@ class Lexicon:
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), np.uint32)])
         self.ids[end : end + len(flat)] = flat
         self.at[self.n + 1 : self.n + len(h) + 1] = end + np.cumsum(lengths)
-        mask, todo, slot = self.size - 1, np.arange(len(h)), (h >> np.uint64(20)).astype(np.int64)
-        while len(todo):
-            slot &= mask
-            free = self.key[slot] == 0
-            place, first = np.unique(slot[free], return_index=True)
-            put = todo[free][first]
-            self.key[place] = h[put]
-            self.value[place] = self.n + put
-            left = np.ones(len(todo), bool)
-            left[np.flatnonzero(free)[first]] = False
-            todo, slot = todo[left], slot[left]
-            slot = np.where(self.key[slot & mask] != 0, slot + 1, slot)
+        table_put(self.key, self.value, h, self.n)
         self.n += len(h)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,8 +157,6 @@ def lexicon(path: str) -> Lexicon:
 
 def encode_column(column: pa.Array, path: str):
     """Yield (first row, end row, ids, starts) for chunks of whole documents."""
-    from strandline.llm.textkernel import chunk_ranges
-
     data, off = utf8(column)
     lex = lexicon(path)
     for i, j in chunk_ranges(off):

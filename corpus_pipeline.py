@@ -1,9 +1,72 @@
-"""A corpus pipeline over documents; filled in as its operators arrive."""
+"""A training-data pipeline over documents: language, near duplicates, personal data, mixing, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns what the next one reads. All but the last return the columns
+of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strandline.llm.common import materialize, table
+from strandline.llm.langid import identify
+from strandline.llm.mixing import mix
+from strandline.llm.neardup import near_duplicates
+from strandline.llm.packing import pack
+from strandline.llm.pii import mask
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Ids of dropped duplicates are broadcast up to this many (16 MB); beyond, the anti join is shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language can be told; those without text or without a letter go."""
+    docs = docs.select(*COLUMNS)
+    return identify(docs, docs, COLUMNS).where("lang_pred <> 'und'").select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one with the smallest doc_id, once."""
+    docs = docs.select(*COLUMNS)
+    groups = materialize(near_duplicates(docs), "stage-groups")
+    gone = materialize(groups.where("not kept").select("doc_id").distinct(), "stage-gone")
+    small = gone.count() <= BROADCAST_IDS
+    left = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
+    twice = materialize(groups.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "stage-twice")
+    n = twice.count()
+    if n == 0:
+        return left
+    twice = F.broadcast(twice) if n <= BROADCAST_IDS else twice
+    again = left.join(twice, "doc_id", "left_semi")
+    first = again.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("_n = 1")
+    return left.join(twice, "doc_id", "left_anti").select(*COLUMNS).unionAll(first.select(*COLUMNS))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with every personal data span replaced by its kind."""
+    return mask(docs.select(*COLUMNS))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their fitted rates say; good ones stay once, poor and toxic ones are thinned to their target weight."""
+    return mix(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1024 tokens."""
+    return pack(docs)
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("pii", personal_data), ("mixing", mixing), ("packing", packing)]
+#: SQL expresses neither the language profiles nor the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply the stages to documents."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir, each written and read again before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,6 +11,7 @@ from strandline.llm.common import table
 from strandline.llm.fingerprint import fingerprints
 from strandline.llm.langid import held_out_languages
 from strandline.llm.lm import score_documents
+from strandline.llm.mixing import mixture
 from strandline.llm.neardup import near_duplicates
 from strandline.llm.packing import pack
 from strandline.llm.pii import personal_data
@@ -56,6 +57,11 @@ def op7_improbable_feature_fingerprints(spark: SparkSession, sf_dir: str) -> Dat
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of all documents that bring their domains' expected token totals to the target weights."""
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of whole documents: five-word shingles, similarity 0.75 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -67,7 +73,7 @@ def op10_boosted_tree_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    each = (op1_hyperdimensional_language_id, op2_separator_scan_token_counts, op3_first_fit_decreasing_packing, op4_balanced_posting_lists_ann, op5_brown_class_lm, op6_weak_supervision_pii, op7_improbable_feature_fingerprints, op9_minmax_near_dedup, op10_boosted_tree_quality)
+    each = (op1_hyperdimensional_language_id, op2_separator_scan_token_counts, op3_first_fit_decreasing_packing, op4_balanced_posting_lists_ann, op5_brown_class_lm, op6_weak_supervision_pii, op7_improbable_feature_fingerprints, op8_soft_membership_mixing, op9_minmax_near_dedup, op10_boosted_tree_quality)
     return {f.__name__: f for f in each}
 
 

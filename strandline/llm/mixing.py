@@ -19,17 +19,23 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import materialize
 from strandline.llm.quality import FEATURES, statistics
-from strandline.llm.textkernel import chunk_ranges, utf8, word_hashes
+from strandline.llm.textkernel import chunk_ranges, span_hashes, utf8, word_spans
 
-HASHED = 1 << 15
+HASHED = 1 << 16
+#: A document's words weigh one over this power of their number.
+SCALE = 0.05
+_MARK = np.zeros(256, bool)
+_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = (0.90, 0.08, 0.02)
 
 
 def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashed words of each document (flat, and where each document's begin), its statistics, and its words."""
+    """Distinct hashed words of each document, without a mark at either end (flat, and where each document's begin), its statistics, and its words."""
     n = len(off) - 1
-    w, at = word_hashes(data, off)
+    s, e, at = word_spans(data, off)
+    s, e = s + (_MARK[data[s]] & (e - s > 1)), e - (_MARK[data[e - 1]] & (e - s > 2))
+    w = span_hashes(data, s, e)
     doc = np.repeat(np.arange(n), np.diff(at))
     key = np.unique(doc * HASHED + (w >> np.uint64(40)).astype(np.int64) % HASHED)
     return key % HASHED, np.searchsorted(key, np.arange(n + 1) * HASHED), statistics(data, off), np.diff(at)
@@ -50,7 +56,7 @@ class Classifier:
         logits = np.clip((stats - self.mean) / self.scale, -5, 5) @ self.stat + self.bias
         some = np.flatnonzero(n)
         if len(some):
-            logits[some] += np.add.reduceat(self.word[ids], at[some], axis=0) / np.sqrt(n[some])[:, None]
+            logits[some] += np.add.reduceat(self.word[ids], at[some], axis=0) / n[some, None] ** SCALE
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
@@ -95,7 +101,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, label_rows: int = 12_000,
             begin = np.concatenate([[0], np.cumsum(size)])
             flat = ids[np.repeat(at[part] - begin[:-1], size) + np.arange(begin[-1])]
             error = model.posteriors(flat, begin, stats[part]) - np.eye(k)[y[part]]
-            value = error / np.sqrt(np.maximum(size, 1))[:, None]
+            value = error / np.maximum(size, 1)[:, None] ** SCALE
             touched, place = np.unique(flat, return_inverse=True)
             spread = np.repeat(value, size, axis=0)
             word = np.stack([np.bincount(place, spread[:, c], len(touched)) for c in range(k)], axis=1) / len(part)
@@ -139,7 +145,7 @@ def _sums(rates: Rates):
     return run
 
 
-def fit_rates(members: DataFrame, weights: tuple[float, ...] = TARGETS, pull: float = 0.02, most: int = 40, close: float = 2e-3) -> Rates:
+def fit_rates(members: DataFrame, weights: tuple[float, ...] = TARGETS, pull: float = 0.002, most: int = 40, close: float = 2e-3) -> Rates:
     """Rates for members(p, n_tokens) whose expected domain totals meet the weights.
 
     The targets' sum is the largest that needs no domain's total raised, so rates above 1 stay few and small.

@@ -6,10 +6,11 @@ documents that agree on a band share a bucket. Links inside buckets are confirme
 sets and connected components give the groups.
 
 Buckets are never expanded into all pairs. Equal word sequences are one class from the start. Each
-bucket first compares its members with one centre; where the confirmed links already join a whole
-bucket, no further comparison can change the result. Buckets that still span several components
-compare with further pivots, and in the end every pair across components that is left, so that no
-pair that shares a bucket is given up.
+bucket first compares its members with two of them, its smallest and a random one; where the confirmed
+links already join a whole bucket, no further comparison can change the result. In buckets that still
+span several components, every pair across components is then compared, by set sizes, by bit sketches
+and then by hashed sets inside the join, so that only links leave it and no pair that shares a bucket is
+given up.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from strandline.llm.common import materialize
 from strandline.llm.textkernel import chunk_ranges, mix, random_odds, shingle_hashes, utf8, word_hashes
 
-SIGNATURES = "doc_id long, n_shingles long, key_a long, key_b long, sketch_a long, sketch_b long, bands array<long>"
+#: Bits of a sketch: one of each of the first signature values.
+SKETCH = 192
+SIGNATURES = "doc_id long, n_shingles long, key_a long, key_b long, sketch array<long>, bands array<long>"
 
 
 def _signatures(permutations: int, rows: int, words: int, seed: int):
@@ -62,26 +65,25 @@ def _signatures(permutations: int, rows: int, words: int, seed: int):
                     seq[some] = np.add.reduceat(w * mix(place.astype(np.uint64) + np.uint64(1)), at[some])
                 bands = mix((sig.reshape(n, n_bands, rows) * salts).sum(axis=2, dtype=np.uint64) + tag)
                 whole = mix(bands.sum(axis=1, dtype=np.uint64))
-                bits = (mix(sig) & np.uint64(1)).astype(np.uint8)[:, :128]
-                bits = np.pad(bits, ((0, 0), (0, 128 - bits.shape[1])))
-                sketch = np.packbits(bits, axis=1).view(np.int64).reshape(n, 2)
+                bits = (mix(sig) & np.uint64(1)).astype(np.uint8)[:, :SKETCH]
+                bits = np.pad(bits, ((0, 0), (0, SKETCH - bits.shape[1])))
+                sketch = np.packbits(bits, axis=1).view(np.int64).reshape(-1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, n),
                         pa.array(distinct, pa.int64()),
                         pa.array(seq.view(np.int64)),
                         pa.array(whole.view(np.int64)),
-                        pa.array(sketch[:, 0].copy()),
-                        pa.array(sketch[:, 1].copy()),
+                        pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(sketch)),
                         pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * n_bands), pa.array(bands.reshape(-1).view(np.int64))),
                     ],
-                    ["doc_id", "n_shingles", "key_a", "key_b", "sketch_a", "sketch_b", "bands"],
+                    ["doc_id", "n_shingles", "key_a", "key_b", "sketch", "bands"],
                 )
 
     return run
 
 
-def signatures(docs: DataFrame, permutations: int = 64, rows: int = 4, words: int = 5, seed: int = 7) -> DataFrame:
+def signatures(docs: DataFrame, permutations: int = 100, rows: int = 5, words: int = 5, seed: int = 7) -> DataFrame:
     """One row per input row: distinct shingles, content keys, a bit sketch and band keys."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_signatures(permutations, rows, words, seed), SIGNATURES)
 
@@ -111,97 +113,109 @@ def _confirm(words: int, percent: int):
     return run
 
 
-def confirm_pairs(pairs: DataFrame, docs: DataFrame, words: int = 5, percent: int = 75, broadcast_ids: int = 1_000_000) -> DataFrame:
-    """Pairs (a, b) of doc_ids whose full shingle sets have 100 * intersection >= percent * union.
+def _items(words: int):
+    """mapInArrow function: (doc_id, text) to the distinct shingle hashes."""
 
-    Only texts that a pair names are moved. Their ids are broadcast while there are at most `broadcast_ids`
-    (16 MB); beyond that the same semi join is shuffled.
-    """
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    ids = materialize(ids, "near-ids")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = utf8(batch.column(1))
+            for i, j in chunk_ranges(off):
+                w, at = word_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                h, begin = shingle_hashes(w, at, words)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([np.unique(h[begin[d] : begin[d + 1]]).view(np.int64) for d in range(j - i)], pa.list_(pa.int64()))], ["doc_id", "items"])
+
+    return run
+
+
+def named_texts(ids: DataFrame, docs: DataFrame, broadcast_ids: int = 1_000_000) -> DataFrame:
+    """(doc_id, text) of the documents that ids name; the ids are broadcast while there are at most `broadcast_ids` (16 MB), else the semi join is shuffled."""
+    ids = materialize(ids.select("doc_id").distinct(), "near-ids")
     if ids.count() <= broadcast_ids:
         ids = F.broadcast(ids)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
-    texts = materialize(texts.dropDuplicates(["doc_id", "text"]), "near-texts")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
+
+
+def shingle_sets(ids: DataFrame, docs: DataFrame, words: int = 5) -> DataFrame:
+    """(doc_id, items): the full set of shingle hashes of each named document."""
+    return named_texts(ids, docs).mapInArrow(_items(words), "doc_id long, items array<long>").dropDuplicates(["doc_id", "items"])
+
+
+def confirm_pairs(pairs: DataFrame, docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
+    """Pairs (a, b) of doc_ids whose full shingle sets have 100 * intersection >= percent * union; only texts that a pair names are moved."""
+    texts = materialize(named_texts(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs), "near-texts")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(_confirm(words, percent), "a long, b long")
 
 
-def components(links: DataFrame, most: int = 50) -> DataFrame:
-    """(node, component) of every linked node: the smallest node reachable, by label spreading and pointer jumping."""
-    links = links.where("a <> b")
-    both = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "near-links")
-    label = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "near-labels")
+def components(links: DataFrame, most: int = 60) -> DataFrame:
+    """(node, component) of every linked node: the smallest node reachable, by label spreading and pointer jumping.
+
+    Labels only fall, so an unchanged sum of labels means that they are final.
+    """
+    both = materialize(links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b"))).alias("e")).select("e.a", "e.b").distinct(), "near-links")
+    label = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    before = None
     for _ in range(most):
-        near = both.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("seen"))
-        own = label.join(near, "node", "left").select("node", F.col("component").alias("before"), F.least("component", F.coalesce("seen", "component")).alias("component"))
-        jump = own.select(F.col("node").alias("component"), F.col("component").alias("over"))
-        new = materialize(own.join(jump, "component", "left").select("node", "before", F.least("component", F.coalesce("over", "component")).alias("component")), "near-labels")
-        label = new.select("node", "component")
-        if new.where("before <> component").isEmpty():
+        label = materialize(label, "near-labels")
+        total = label.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
+        if total == before or total is None:
             break
+        before = total
+        jump = label.select(F.col("node").alias("component"), F.col("component").alias("over"))
+        short = label.join(jump, "component").select(F.col("node").alias("b"), F.col("over").alias("component"))
+        label = both.join(short, "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("component"))
     return label
 
 
-def near_duplicates(docs: DataFrame, permutations: int = 64, rows: int = 4, words: int = 5, percent: int = 75, pair_factor: float = 2.0, pivot_rounds: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, permutations: int = 100, rows: int = 5, words: int = 5, percent: int = 75) -> DataFrame:
     """Near-duplicate groups of documents(doc_id, text, ...).
 
     Returns one row per input row: doc_id, n_shingles (distinct shingles), component_id (smallest doc_id
     reachable over links, its own included) and kept (doc_id = component_id). Rows with the same doc_id are
     one node. Null and empty texts have no shingles and no links; a null doc_id takes no part: its
     component_id is null and it is kept. Extra columns are ignored.
-
-    Pivot rounds repeat while the pairs left across components exceed pair_factor times the documents,
-    at most pivot_rounds times; then all that are left are compared.
     """
     sig = materialize(signatures(docs, permutations, rows, words), "near-signatures")
     some = sig.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch_a").alias("sketch_a"), F.first("sketch_b").alias("sketch_b"))
-    classes = materialize(classes, "near-classes")
-    rows_ = classes.select(F.explode("bands").alias("bucket"), "rep")
-    crowd = rows_.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").select("bucket", "centre")
-    members = materialize(rows_.join(crowd, "bucket"), "near-buckets")
-    facts = classes.select("rep", "n_shingles", "sketch_a", "sketch_b")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        """Drop pairs whose set sizes exclude the similarity, or whose bit sketches (128 bits) are over five deviations off."""
-        x = facts.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch_a").alias("xa"), F.col("sketch_b").alias("xb"))
-        y = facts.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch_a").alias("ya"), F.col("sketch_b").alias("yb"))
-        off = F.bit_count(F.col("xa").bitwiseXOR(F.col("ya"))) + F.bit_count(F.col("xb").bitwiseXOR(F.col("yb")))
-        bits = min(2 * permutations, 128)
-        p = (1 - percent / 100) / 2
-        most = bits * p + 5.5 * (bits * p * (1 - p)) ** 0.5
-        return pairs.join(x, "a").join(y, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).where(off <= most).select("a", "b")
-
-    done = materialize(members.where("rep > centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "near-pairs")
-    links = materialize(confirm_pairs(materialize(alike(done), "near-pairs"), docs, words, percent), "near-confirmed")
+    classes = materialize(some.groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "near-classes")
+    fact = F.struct("rep", "n_shingles", *(F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH // 64))).alias("doc")
+    posted = classes.select(F.explode("bands").alias("bucket"), fact)
+    crowd = posted.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc").alias("centre"), F.min(F.struct(F.xxhash64("doc.rep", "bucket").alias("h"), "doc")).alias("pivot")).where("n > 1")
+    members = materialize(posted.join(crowd.select("bucket", "centre", F.col("pivot.doc").alias("pivot")), "bucket"), "near-buckets")
+
+    bits = min(2 * permutations, SKETCH)
+    chance = (1 - percent / 100) / 2
+    most_off = bits * chance + 5.5 * (bits * chance * (1 - chance)) ** 0.5
+
+    def alike(x: str, y: str):
+        """Whether set sizes allow the similarity and the sketches differ by less than 5.5 deviations more than it implies."""
+        off = sum((F.bit_count(F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}"))) for k in range(SKETCH // 64)), F.lit(0))
+        return (F.least(f"{x}.n_shingles", f"{y}.n_shingles") * 100 >= F.greatest(f"{x}.n_shingles", f"{y}.n_shingles") * percent) & (off <= most_off)
+
+    first = members.where((F.col("centre.rep") < F.col("doc.rep")) & alike("doc", "centre")).select(F.col("centre.rep").alias("a"), F.col("doc.rep").alias("b"))
+    second = members.where((F.col("pivot.rep") != F.col("doc.rep")) & (F.col("pivot.rep") != F.col("centre.rep")) & (F.col("doc.rep") != F.col("centre.rep")) & alike("doc", "pivot")).select(F.least("pivot.rep", "doc.rep").alias("a"), F.greatest("pivot.rep", "doc.rep").alias("b"))
+    pairs = materialize(first.unionAll(second).distinct(), "near-pairs")
+    links = materialize(confirm_pairs(pairs, docs, words, percent), "near-confirmed")
     label = components(links)
-    n_classes = classes.count()
-    for at in range(pivot_rounds + 1):
-        labelled = members.select("bucket", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-        sizes = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        split = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own")).where("parts > 1")
-        left = materialize(labelled.join(split.select("bucket", ((F.col("all") * F.col("all") - F.col("own")) / 2).alias("cross"), "all"), "bucket"), "near-left")
-        cross = left.groupBy("bucket").agg(F.first("cross").alias("cross")).agg(F.sum("cross")).first()[0] or 0
-        if cross == 0:
-            break
-        last = at == pivot_rounds or cross <= pair_factor * n_classes
-        if last:
-            other = left.select("bucket", F.col("rep").alias("b"), F.col("component").alias("other"))
-            new = left.select("bucket", F.col("rep").alias("a"), "component").join(other, "bucket").where("a < b and component <> other").select("a", "b")
-        else:
-            pivot = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(at)).alias("h"), F.col("rep").alias("pivot"), F.col("component").alias("own"))).alias("p"))
-            new = left.join(pivot.select("bucket", "p.pivot", "p.own"), "bucket").where("component <> own").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
-        new = materialize(new.distinct().join(done, ["a", "b"], "left_anti"), "near-pairs")
-        done = done.union(new)
-        found = materialize(confirm_pairs(materialize(alike(new), "near-pairs"), docs, words, percent), "near-confirmed")
+
+    labelled = members.withColumn("rep", F.col("doc.rep")).join(label.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "doc", F.coalesce("component", "rep").alias("component"), "centre", "pivot")
+    labelled = materialize(labelled, "near-labelled")
+    split = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high and n > 2").select("bucket")
+    open_ = materialize(labelled.join(split, "bucket").where("doc.rep <> centre.rep and doc.rep <> pivot.rep").select("bucket", "doc", "component"), "near-open")
+    if not open_.isEmpty():
+        sets = shingle_sets(open_.select(F.col("doc.rep").alias("doc_id")), docs, words)
+        x = open_.withColumn("rep", F.col("doc.rep")).join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("bucket", F.col("doc").alias("x"), F.col("component").alias("cx"), F.col("items").alias("sx"))
+        y = x.select("bucket", F.col("x").alias("y"), F.col("cx").alias("cy"), F.col("sx").alias("sy"))
+        both = F.size(F.array_intersect("sx", "sy"))
+        enough = both * (100 + percent) >= (F.size("sx") + F.size("sy")) * percent
+        cross = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("x.rep") < F.col("y.rep")) & (F.col("cx") != F.col("cy")) & alike("x", "y") & enough)
+        rest = materialize(cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "near-pairs")
+        found = materialize(confirm_pairs(rest, docs, words, percent), "near-confirmed")
         if not found.isEmpty():
-            links = links.union(found)
-            label = components(links)
-        if last:
-            break
+            label = components(links.unionAll(found))
+
     groups = classes.select("key_a", "key_b", "n_shingles", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key_a", "key_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = sig.join(groups, ["key_a", "key_b", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

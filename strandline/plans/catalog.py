@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.plans import cohort, effects, regions, sequences, simulation  # noqa: F401
+from strandline.plans import cohort, effects, events, regions, sequences, simulation  # noqa: F401
 from strandline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

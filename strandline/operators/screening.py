@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.stats import benjamini_hochberg, composite_score, f_tail, pearson_tail
+from strandline.operators.network import written
 
 
 def granger(rows: DataFrame, keys: list[str], least_variance: float = 1e-6, least_sse: float = 1e-10) -> DataFrame:
@@ -38,7 +39,8 @@ def contemporaneous(rows: DataFrame, keys: list[str], least_variance: float = 1e
 
 
 def score_edges(edges: DataFrame, reference: float = 50, alpha: float = 0.1, least_effect: float = 0.02, least_score: float = 0.3) -> DataFrame:
-    """Adjusted p, composite score, and the soft and hard keep flags."""
+    """Adjusted p, composite score, and the soft and hard keep flags; the edges are written once, as ranking reads them twice."""
+    edges = written(edges, "edges")
     adjusted = benjamini_hochberg(edges.withColumn("_all", F.lit(0)), "p_value", ["_all"]).drop("_all")
     scored = adjusted.withColumn("composite", composite_score(F.col("p_adj"), F.col("delta_r2"), F.col("n"), reference, alpha, least_effect))
     return scored.withColumn("is_causal", F.col("composite") >= least_score).withColumn("is_hard", (F.col("p_adj") < alpha) & (F.col("delta_r2") > least_effect))
@@ -75,15 +77,14 @@ def local_lag_routes(tests: DataFrame, alpha: float, least_contribution: float =
     """The first lag that passes for each target bin, or status no_supported_lag, with counts up to where the search stopped."""
     passes = (F.col("p_value") <= alpha) & (F.col("contribution") >= least_contribution)
     keys = ["tf", "peak_id", "branch", "bin"]
-    flagged = tests.withColumn("_hit", F.coalesce(passes, F.lit(False)))
+    flagged = tests.withColumn("_hit", F.coalesce(passes, F.lit(False))).withColumn("selected_lag", F.min(F.when(F.col("_hit"), F.col("k"))).over(Window.partitionBy(*keys)))
+    tried = F.col("k") <= F.coalesce("selected_lag", F.lit(1 << 30))
     best = flagged.groupBy(*keys).agg(
-        F.min(F.when(F.col("_hit"), F.col("k"))).alias("selected_lag"), F.max("k").alias("_last"),
-        F.min_by(F.struct("weight", "p_value", "contribution", "n"), F.when(F.col("_hit"), F.col("k"))).alias("_best"), F.count(F.lit(1)).alias("_all"),
+        F.min("selected_lag").alias("selected_lag"), F.min_by(F.struct("weight", "p_value", "contribution"), F.when(F.col("_hit"), F.col("k"))).alias("_best"),
+        F.count(F.when(tried, 1)).alias("n_lag_attempts"), F.count(F.when(tried, F.col("p_value"))).alias("n_stat_tests"),
     )
-    tried = flagged.join(best.select(*keys, "selected_lag"), keys).where(F.col("k") <= F.coalesce("selected_lag", F.lit(1 << 30)))
-    tried = tried.groupBy(*keys).agg(F.count("*").alias("n_lag_attempts"), F.count("p_value").alias("n_stat_tests"))
     supported = F.col("selected_lag").isNotNull()
-    return best.join(tried, keys).select(
+    return best.select(
         *keys, F.when(supported, "supported").otherwise("no_supported_lag").alias("status"), "selected_lag", F.when(supported, F.col("bin") - F.col("selected_lag")).otherwise(-1).alias("source_bin"),
         F.col("_best.weight").alias("weight"), F.col("_best.p_value").alias("p_value"), F.col("_best.contribution").alias("contribution"), "n_lag_attempts", "n_stat_tests",
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators import binning, qc, screening
+from strandline.operators.network import written
 from strandline.plans.frames import ATAC, CELLS, RNA, atac, bins_sql, cells, means_sql, rna, tail_sql
 from strandline.plans.registry import query
 
@@ -173,8 +174,8 @@ def merge_small_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bin_state(spark: SparkSession, sf_dir: str, n_bins: int) -> tuple[DataFrame, DataFrame]:
-    """Hard bin means of genes and peaks on shared bins."""
-    binned = binning.equal_frequency_bins(cells(spark, sf_dir), n_bins)
+    """Hard bin means of genes and peaks on shared bins, which are made once."""
+    binned = written(binning.equal_frequency_bins(cells(spark, sf_dir), n_bins), "bins")
     return binning.hard_bin_means(rna(spark, sf_dir), binned), binning.hard_bin_means(atac(spark, sf_dir), binned)
 
 

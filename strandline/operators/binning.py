@@ -151,3 +151,32 @@ def lag_pairs(series: DataFrame, lag: int, keys: list[str]) -> DataFrame:
     """Rows (keys, bin, value, lagged) whose lagged bin is exactly `lag` before in the same branch."""
     order = Window.partitionBy(*keys).orderBy("bin")
     return series.withColumn("lagged", F.lag("value", lag).over(order)).withColumn("_b", F.lag("bin", lag).over(order)).where(F.col("_b") == F.col("bin") - lag).drop("_b")
+
+
+def effective_rows(weights: DataFrame) -> DataFrame:
+    """Kernel effective rows tr(G)^2 / |G|^2 of each branch, with G the Gram matrix of its bins' weights."""
+    other = weights.select("branch", "cell_id", F.col("bin").alias("bin2"), F.col("w").alias("w2"))
+    g = weights.join(other, ["branch", "cell_id"]).groupBy("branch", "bin", "bin2").agg(F.sum(F.col("w") * F.col("w2")).alias("g"))
+    return g.groupBy("branch").agg((F.pow(F.sum(F.when(F.col("bin") == F.col("bin2"), F.col("g"))), 2) / F.sum(F.col("g") * F.col("g"))).alias("effective_rows"))
+
+
+def root_cells(scores: DataFrame, totals: DataFrame) -> DataFrame:
+    """The root of each branch: the cell of largest marker score(cell_id, branch, score), else the one of least total(cell_id, branch, total); ties to the smaller id."""
+    best = scores.where("score > 0").groupBy("branch").agg(F.max_by("cell_id", F.struct("score", -F.col("cell_id"))).alias("marked"))
+    least = totals.groupBy("branch").agg(F.min_by("cell_id", F.struct("total", "cell_id")).alias("lightest"))
+    return least.join(best, "branch", "left").select("branch", F.coalesce("marked", "lightest").alias("root"), F.when(F.col("marked").isNotNull(), "marker").otherwise("least_total").alias("rule"))
+
+
+def potency(entries: DataFrame, top: int) -> DataFrame:
+    """An approximate potency of cells: mean logged value of the `top` features whose values follow the number of detected features most.
+
+    entries(cell_id, feature_id, value) hold logged values. Absent entries count as 0 in the correlation.
+    """
+    counts = entries.groupBy("cell_id").agg(F.sum((F.col("value") > 0).cast("double")).alias("g"))
+    whole = counts.agg(F.count("*").alias("n"), F.sum("g").alias("sg"), F.sum(F.col("g") * F.col("g")).alias("sgg"))
+    s = entries.join(counts, "cell_id").groupBy("feature_id").agg(F.sum("value").alias("sx"), F.sum(F.col("value") * F.col("value")).alias("sxx"), F.sum(F.col("value") * F.col("g")).alias("sxg")).crossJoin(F.broadcast(whole))
+    cov, vx, vg = F.col("n") * F.col("sxg") - F.col("sx") * F.col("sg"), F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"), F.col("n") * F.col("sgg") - F.col("sg") * F.col("sg")
+    r = F.when((vx > 1e-9) & (vg > 1e-9), cov / F.sqrt(F.when((vx > 1e-9) & (vg > 1e-9), vx * vg)))
+    signature = s.select("feature_id", r.alias("r")).where("r is not null").orderBy(F.desc(F.round("r", 9)), "feature_id").limit(top)
+    picked = entries.join(F.broadcast(signature.select("feature_id")), "feature_id").groupBy("cell_id").agg((F.sum("value") / top).alias("potency"))
+    return counts.join(picked, "cell_id", "left").select("cell_id", F.coalesce("potency", F.lit(0.0)).alias("potency"))

@@ -154,3 +154,18 @@ def knock_out(entries: DataFrame, targets: DataFrame, strength: float) -> DataFr
 def bed_rows(changes: DataFrame) -> DataFrame:
     """BED fields of finite changes: score is 1000 |delta| cut to 0..1000."""
     return changes.where(F.col("delta").isNotNull() & ~F.isnan("delta") & (F.abs("delta") < float("inf"))).select("chrom", "start", "end", "name", F.least(F.greatest(F.round(F.abs("delta") * 1000), F.lit(0)), F.lit(1000)).cast("int").alias("score"))
+
+
+def peak_knock_out(entries: DataFrame, peak_id: int, strength: float, relative: bool = True, cap: float = 1.0) -> DataFrame:
+    """Accessibility with one peak lowered: by a share of its value, or by an absolute amount, within 0..cap."""
+    after = F.col("value") * (1 - strength) if relative else F.col("value") - strength
+    return entries.withColumn("value", F.when(F.col("feature_id") == peak_id, F.least(F.greatest(after, F.lit(0.0)), F.lit(cap))).otherwise(F.col("value")))
+
+
+def counterfactual_cells(cells: DataFrame, membership: DataFrame, control: DataFrame, perturbed: DataFrame, strict: bool = True) -> DataFrame:
+    """Cell states moved by their bins' change: value + sum of w (perturbed - control); a negative state is an error if strict, else 0."""
+    moved = control.join(perturbed.withColumnRenamed("value", "_after"), ["branch", "bin", "feature_id"]).select("branch", "bin", "feature_id", (F.col("_after") - F.col("value")).alias("_d"))
+    shift = membership.join(moved, ["branch", "bin"]).groupBy("cell_id", "feature_id").agg(F.sum(F.col("w") * F.col("_d")).alias("_s"))
+    after = F.col("value") + F.coalesce("_s", F.lit(0.0))
+    low = F.raise_error(F.lit("negative counterfactual state")).cast("double") if strict else F.lit(0.0)
+    return cells.join(shift, ["cell_id", "feature_id"], "left").select("cell_id", "feature_id", F.when(after < -1e-12, low).otherwise(F.greatest(after, F.lit(0.0))).alias("value"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import materialize, table
+from strandline.llm.common import materialize, small_batches, table
 from strandline.llm.langid import identify
 from strandline.llm.mixing import mix
 from strandline.llm.neardup import near_duplicates
@@ -23,12 +23,14 @@ BROADCAST_IDS = 1_000_000
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language can be told; those without text or without a letter go."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     return identify(docs, docs, COLUMNS).where("lang_pred <> 'und'").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest doc_id, once."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     groups = materialize(near_duplicates(docs), "stage-groups")
     gone = materialize(groups.where("not kept").select("doc_id").distinct(), "stage-gone")
@@ -46,6 +48,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with every personal data span replaced by its kind."""
+    small_batches(spark)
     return mask(docs.select(*COLUMNS))
 
 
@@ -56,6 +59,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 1024 tokens."""
+    small_batches(spark)
     return pack(docs)
 
 

@@ -20,6 +20,8 @@ from strandline.llm.textkernel import chunk_ranges, utf8
 from strandline.llm.tokens import LETTER, classes
 
 SYMBOLS = 64
+#: Bytes of text in a chunk; a chunk counts every n-gram it holds for each of its documents.
+CHUNK = 1 << 19
 
 
 @lru_cache(1)
@@ -79,7 +81,7 @@ def _profile(dim: int, seed: int):
         for batch in batches:
             data, off = utf8(batch.column(0))
             lang = np.array(batch.column(1).to_pylist(), object)
-            for i, j in chunk_ranges(off):
+            for i, j in chunk_ranges(off, CHUNK, 256):
                 v, _ = bundles(data[off[i] : off[j]], off[i : j + 1] - off[i], dim, seed)
                 for x in sorted(set(lang[i:j])):
                     total[x] = total.get(x, 0) + v[lang[i:j] == x].sum(axis=0, dtype=np.float64)
@@ -114,7 +116,7 @@ def _predict(names: list[str], prototypes: np.ndarray, dim: int, seed: int):
         for batch in batches:
             data, off = utf8(batch.column(batch.num_columns - 1))
             found, score = [], []
-            for i, j in chunk_ranges(off):
+            for i, j in chunk_ranges(off, CHUNK, 256):
                 v, some = bundles(data[off[i] : off[j]], off[i : j + 1] - off[i], dim, seed)
                 norm = np.linalg.norm(v, axis=1)
                 some &= (norm > 0) & bool(names)

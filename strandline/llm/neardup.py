@@ -154,7 +154,8 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
 
     Labels only fall, so an unchanged sum of labels means that they are final.
     """
-    both = materialize(links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b"))).alias("e")).select("e.a", "e.b").distinct(), "near-links")
+    there = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = materialize(there.unionAll(there.select("a", F.col("a").alias("b")).distinct()), "near-links")
     label = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     before = None
     for _ in range(most):

@@ -150,23 +150,28 @@ def confirm_pairs(pairs: DataFrame, docs: DataFrame, words: int = 5, percent: in
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
-    """(node, component) of every linked node: the smallest node reachable, by label spreading and pointer jumping.
+    """(node, component) of every linked node: the smallest node reachable.
 
-    Labels only fall, so an unchanged sum of labels means that they are final.
+    Each round points every node at its smallest neighbour, follows pointers once more, and contracts the links
+    to what they point at, so that links inside a group are gone after the first rounds.
     """
-    there = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialize(there.unionAll(there.select("a", F.col("a").alias("b")).distinct()), "near-links")
-    label = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
-    before = None
+    edges = materialize(links.select("a", "b").where("a <> b").distinct(), "near-links")
+    label = None
     for _ in range(most):
+        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        parent = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("up")), "near-parents")
+        over = parent.select(F.col("node").alias("up"), F.col("up").alias("over"))
+        parent = materialize(parent.join(over, "up").select("node", F.col("over").alias("up")), "near-parents")
+        if label is None:
+            label = parent.select("node", F.col("up").alias("component"))
+        else:
+            step = parent.select(F.col("node").alias("component"), "up")
+            label = label.join(step, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
         label = materialize(label, "near-labels")
-        total = label.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-        if total == before or total is None:
+        left, right = parent.select(F.col("node").alias("a"), F.col("up").alias("x")), parent.select(F.col("node").alias("b"), F.col("up").alias("y"))
+        edges = materialize(edges.join(left, "a").join(right, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "near-links")
+        if edges.isEmpty():
             break
-        before = total
-        jump = label.select(F.col("node").alias("component"), F.col("component").alias("over"))
-        short = label.join(jump, "component").select(F.col("node").alias("b"), F.col("over").alias("component"))
-        label = both.join(short, "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("component"))
     return label
 
 
@@ -215,7 +220,11 @@ def near_duplicates(docs: DataFrame, permutations: int = 100, rows: int = 5, wor
         rest = materialize(cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "near-pairs")
         found = materialize(confirm_pairs(rest, docs, words, percent), "near-confirmed")
         if not found.isEmpty():
-            label = components(links.unionAll(found))
+            ends = label.select("node", "component")
+            over = found.join(ends.toDF("a", "ca"), "a", "left").join(ends.toDF("b", "cb"), "b", "left")
+            merged = components(over.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))).toDF("component", "up")
+            alone = merged.join(label.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("up").alias("component"))
+            label = label.join(merged, "component", "left").select("node", F.coalesce("up", "component").alias("component")).unionAll(alone)
 
     groups = classes.select("key_a", "key_b", "n_shingles", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key_a", "key_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = sig.join(groups, ["key_a", "key_b", "n_shingles"], "left")

@@ -149,19 +149,24 @@ def confirm_pairs(pairs: DataFrame, docs: DataFrame, words: int = 5, percent: in
     return both.mapInArrow(_confirm(words, percent), "a long, b long")
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component) of every linked node: the smallest node reachable.
 
-    Each round points every node at its smallest neighbour, follows pointers once more, and contracts the links
-    to what they point at, so that links inside a group are gone after the first rounds.
+    Each round points every node at its smallest neighbour, follows pointers until none changes, and contracts the links
+    to what they point at, until none is left. A node that two rounds leave in place has taken in another one, so that the
+    nodes halve at least every two rounds, whatever the order of ids; pointers' lengths halve with every step.
     """
     edges = materialize(links.select("a", "b").where("a <> b").distinct(), "near-links")
     label = None
-    for _ in range(most):
+    while label is None or not edges.isEmpty():
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("up")), "near-parents")
-        over = parent.select(F.col("node").alias("up"), F.col("up").alias("over"))
-        parent = materialize(parent.join(over, "up").select("node", F.col("over").alias("up")), "near-parents")
+        while True:
+            over = parent.where("node <> up").select(F.col("node").alias("up"), F.col("up").alias("over"))
+            moved = materialize(parent.join(over, "up").select("node", F.col("over").alias("up")), "near-moved")
+            if moved.isEmpty():
+                break
+            parent = materialize(parent.unionAll(moved).groupBy("node").agg(F.min("up").alias("up")), "near-parents")
         if label is None:
             label = parent.select("node", F.col("up").alias("component"))
         else:
@@ -170,8 +175,6 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         label = materialize(label, "near-labels")
         left, right = parent.select(F.col("node").alias("a"), F.col("up").alias("x")), parent.select(F.col("node").alias("b"), F.col("up").alias("y"))
         edges = materialize(edges.join(left, "a").join(right, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "near-links")
-        if edges.isEmpty():
-            break
     return label
 
 

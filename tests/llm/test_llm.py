@@ -87,6 +87,24 @@ def test_near_duplicates_links_of_a_chain(spark):
     assert got == brute_components(rows)
 
 
+def test_components_of_long_chains(spark):
+    n = 400
+    mixed = [int(x) for x in np.random.Generator(np.random.PCG64(1)).permutation(n)]
+    rising = [(k, k + 1) for k in range(1, n)]
+    falling = [(20_000 - k, 20_000 - k - 1) for k in range(1, n)]
+    anyhow = [(40_000 + x, 40_000 + y) for x, y in zip(mixed, mixed[1:])]
+    star = [(60_000 + k, 60_000 + n) for k in range(n)]
+    got = {r["node"]: r["component"] for r in neardup.components(spark.createDataFrame(rising + falling + anyhow + star, "a long, b long")).collect()}
+    want = dict.fromkeys(range(1, n + 1), 1) | dict.fromkeys(range(20_000 - n, 20_000), 20_000 - n) | dict.fromkeys(range(40_000, 40_000 + n), 40_000) | dict.fromkeys(range(60_000, 60_001 + n), 60_000)
+    assert got == want
+
+
+def test_near_duplicates_of_drifting_texts(spark):
+    rows = [(k + 1, " ".join(f"t{i}" for i in range(3 * k, 3 * k + 40))) for k in range(160)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {1} and sum(r["kept"] for r in got) == 1
+
+
 def test_near_duplicates_odd(odd, empty):
     got = {(r["doc_id"], r["n_shingles"]): r for r in neardup.near_duplicates(odd).collect()}
     assert got[1, 0]["component_id"] == 1 and got[2, 0]["kept"] and got[3, 0]["kept"]

@@ -149,7 +149,7 @@ def contributions(models: DataFrame, weights: DataFrame, states: DataFrame) -> D
     return joined.select("target_id", "input_id", "bin", (F.col("alpha") * (new - old)).alias("delta"))
 
 
-STATE = "context long, intervention long, branch long, bin int, layer string, feature_id long, control double, perturbed double, status string"
+STATE = "context long, intervention long, branch long, bin int, layer string, feature_id long, control double, perturbed double, status string, origins string"
 
 
 def propagate(state: DataFrame, relations: DataFrame, interventions: DataFrame) -> DataFrame:
@@ -158,8 +158,9 @@ def propagate(state: DataFrame, relations: DataFrame, interventions: DataFrame)
     state(context, branch, bin, layer, feature_id, value) is control; layers are gene and peak. relations(layer, target_id, input_id,
     lag, alpha, family, params, low, high): a gene reads peaks at an earlier bin, a peak reads genes at the same or an earlier one.
     interventions(intervention, context, feature_id, strength) scale genes. Genes of a bin come before its peaks. A target whose
-    inputs lie before the branch's first bin keeps its control value with status no_history; each target moves by the
-    difference of its weighted models and stays within its bounds.
+    inputs all lie before the branch's first bin keeps its control value with status no_history. A target with an input that the
+    state lacks, or that is itself unavailable, is unavailable: perturbed is null, and origins names the inputs that are missing.
+    Each other target moves by the difference of its weighted models and stays within its bounds.
     """
     contexts = interventions.select("context").distinct()
     models = relations.crossJoin(F.broadcast(contexts))
@@ -179,16 +180,24 @@ def propagate(state: DataFrame, relations: DataFrame, interventions: DataFrame)
                 old = {(a, f, b): v for a, f, b, v in zip(part["layer"], part["feature_id"], part["bin"], part["value"], strict=True)}
                 new = {k: v * (1 - strength[k[1]]) if k[0] == "gene" and k[1] in strength else v for k, v in old.items()}
                 status = {k: "direct" if k[0] == "gene" and k[1] in strength else "ok" for k in old}
+                first, origins = part["bin"].min(), {k: {f"{k[0]} {int(k[1])}"} for k, v in old.items() if v is None or v != v}
+                status |= dict.fromkeys(origins, "unavailable")
                 for b in sorted(part["bin"].unique()):
                     for layer, source in (("gene", "peak"), ("peak", "gene")):
                         for (a, target), inputs in by_target.items():
                             here = (a, target, b)
-                            if a != layer or here not in old or status[here] == "direct":
+                            if a != layer or here not in old or status[here] in ("direct", "unavailable"):
                                 continue
-                            seen = [r for r in inputs if (source, r["input_id"], b - r["lag"]) in old]
+                            seen = [r for r in inputs if b - r["lag"] >= first]
                             if not seen:
                                 status[here] = "no_history"
                                 continue
+                            lost = set()
+                            for k in ((source, r["input_id"], b - r["lag"]) for r in seen):
+                                lost |= origins.get(k, set()) if k in old else {f"{k[0]} {int(k[1])}"}
+                            if lost:
+                                status[here], origins[here], new[here] = "unavailable", lost, None
+                                continue
                             if all(new[source, r["input_id"], b - r["lag"]] == old[source, r["input_id"], b - r["lag"]] for r in seen):
                                 continue
                             both = []
@@ -196,7 +205,7 @@ def propagate(state: DataFrame, relations: DataFrame, interventions: DataFrame)
                                 both.append(sum(r["alpha"] * float(response(r["family"], np.array(r["params"]), np.array([values[source, r["input_id"], b - r["lag"]]]), r["low"], r["high"])[0]) for r in seen))
                             low, high = seen[0]["low"], seen[0]["high"]
                             new[here] = float(np.clip(old[here] + np.clip(both[1], low, high) - np.clip(both[0], low, high), low, max(high, old[here])))
-                frames.append(pd.DataFrame([(key[0], number, branch, b, a, f, v, new[a, f, b], status[a, f, b]) for (a, f, b), v in old.items()], columns=[c.split()[0] for c in STATE.split(", ")]))
+                frames.append(pd.DataFrame([(key[0], number, branch, b, a, f, v, new[a, f, b], status[a, f, b], ", ".join(sorted(origins.get((a, f, b), ()))) or None) for (a, f, b), v in old.items()], columns=[c.split()[0] for c in STATE.split(", ")]))
         return pd.concat(frames)
 
     return state.groupBy("context").cogroup(side.groupBy("context")).applyInPandas(run, STATE)

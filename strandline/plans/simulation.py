@@ -6,17 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators import response, screening
-from strandline.plans.cohort import bin_state
+from strandline.operators.network import written
+from strandline.plans.cohort import bin_state, lagged_rows
 from strandline.plans.frames import cells
 from strandline.plans.registry import query
 
 
 def pair_rows(spark: SparkSession, sf_dir: str, n_bins: int = 16) -> DataFrame:
-    """(target_id, input_id, x, y): each of ten genes on four peaks a bin before."""
+    """(target_id, input_id, branch, bin, x, y): each gene on the peaks a bin before that the screening keeps for it."""
     genes, peaks = bin_state(spark, sf_dir, n_bins)
-    y = genes.where("feature_id < 10").select(F.col("feature_id").alias("target_id"), "branch", "bin", F.col("value").alias("y"))
+    kept = screening.score_edges(screening.granger(lagged_rows(spark, sf_dir, n_bins), ["gene", "peak"])).where("is_causal")
+    kept = written(kept.select(F.col("gene").alias("target_id"), F.col("peak").alias("input_id")), "kept")
+    y = genes.select(F.col("feature_id").alias("target_id"), "branch", "bin", F.col("value").alias("y"))
     x = peaks.select(F.col("feature_id").alias("input_id"), "branch", (F.col("bin") + 1).alias("bin"), F.col("value").alias("x"))
-    return y.join(x, ["branch", "bin"]).where("input_id % 10 = target_id or (input_id + 3) % 10 = target_id")
+    return kept.join(y, "target_id").join(x, ["input_id", "branch", "bin"]).select("target_id", "input_id", "branch", "bin", "x", "y")
+
+
+def factor_rows(spark: SparkSession, sf_dir: str, n_bins: int = 16) -> DataFrame:
+    """(target_id, input_id, branch, bin, x, y): each peak on the genes of its bin that the screening without a lag keeps for it."""
+    genes, peaks = bin_state(spark, sf_dir, n_bins)
+    y = peaks.select(F.col("feature_id").alias("target_id"), "branch", "bin", F.col("value").alias("y"))
+    x = genes.select(F.col("feature_id").alias("input_id"), "branch", "bin", F.col("value").alias("x"))
+    rows = written(y.join(x, ["branch", "bin"]), "factors")
+    kept = screening.score_edges(screening.contemporaneous(rows, ["target_id", "input_id"])).where("is_causal").select("target_id", "input_id")
+    return rows.join(written(kept, "kept"), ["target_id", "input_id"])
 
 
 @query()
@@ -36,14 +49,10 @@ def network_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Genes on peaks a bin before, and peaks on genes of the same bin, with frozen weights."""
-    genes, peaks = bin_state(spark, sf_dir, 16)
-    down = pair_rows(spark, sf_dir)
-    y = peaks.where("feature_id < 10").select(F.col("feature_id").alias("target_id"), "branch", "bin", F.col("value").alias("y"))
-    x = genes.where("feature_id < 10").select(F.col("feature_id").alias("input_id"), "branch", "bin", F.col("value").alias("x"))
-    up = y.join(x, ["branch", "bin"]).where("input_id = (target_id + 1) % 10")
+    down, up = pair_rows(spark, sf_dir), factor_rows(spark, sf_dir)
     out = None
     for layer, lag, rows in (("gene", 1, down), ("peak", 0, up)):
-        models = response.fit_responses(rows, "saturation")
+        models = written(response.fit_responses(rows, "saturation"), "models")
         seen = rows.join(models, ["target_id", "input_id"]).withColumn("value", response.saturating_value(F.col("x"), F.col("params"), F.col("low"), F.col("high"))).withColumn("supported", F.lit(True))
         alpha = screening.frozen_weights(screening.adjacent_changes(seen, ["branch", "target_id", "input_id"]), ["target_id"], ["input_id"]).select("target_id", "input_id", F.coalesce("alpha", F.lit(0.0)).alias("alpha"))
         part = models.join(alpha, ["target_id", "input_id"]).select(F.lit(layer).alias("layer"), "target_id", "input_id", F.lit(lag).alias("lag"), "alpha", "family", "params", "low", "high")
@@ -55,7 +64,7 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forward_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full, half and zero knock-outs of gene 1 in every branch, bin by bin."""
     genes, peaks = bin_state(spark, sf_dir, 16)
-    state = genes.where("feature_id < 10").withColumn("layer", F.lit("gene")).unionByName(peaks.where("feature_id < 10").withColumn("layer", F.lit("peak"))).withColumn("context", F.col("branch"))
+    state = genes.withColumn("layer", F.lit("gene")).unionByName(peaks.withColumn("layer", F.lit("peak"))).withColumn("context", F.col("branch"))
     contexts = cells(spark, sf_dir).select(F.col("branch").alias("context")).distinct()
     asked = contexts.crossJoin(spark.createDataFrame([(1, 1, 1.0), (2, 1, 0.5), (3, 1, 0.0)], "intervention long, feature_id long, strength double"))
     return response.propagate(state, relations(spark, sf_dir), asked)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import names, stats
 from strandline.operators import binning, effects, motif, network, projection, qc, regions, response, screening
+from strandline.plans import frames, simulation
 from strandline.sources import formats
 from strandline.streaming import bins
 
@@ -168,6 +169,29 @@ def test_propagation_identity_and_order(spark):
     assert full.loc[("gene", 2, 0), "status"] == "no_history" and full.loc[("gene", 2, 1), "perturbed"] < 1
 
 
+def test_propagation_marks_readers_of_missing_inputs(spark):
+    state = spark.createDataFrame([(0, 0, b, layer, f, 1.0) for b in range(3) for layer in ("gene", "peak") for f in (1, 2)], "context long, branch long, bin int, layer string, feature_id long, value double")
+    linear = ("saturation", [0.0, 1.0, 0.0, 0.0], 0.0, 2.0)
+    edges = [("peak", 1, 1, 0, 1.0), ("peak", 2, 2, 0, 1.0), ("gene", 2, 1, 1, 0.5), ("gene", 2, 9, 1, 0.5)]
+    rel = spark.createDataFrame([e + linear for e in edges], "layer string, target_id long, input_id long, lag int, alpha double, family string, params array<double>, low double, high double")
+    asked = spark.createDataFrame([(0, 1, 1, 1.0)], "context long, intervention long, feature_id long, strength double")
+    got = {(r["layer"], r["feature_id"], r["bin"]): r for r in response.propagate(state, rel, asked).collect()}
+    assert got["gene", 2, 0]["status"] == "no_history" and got["peak", 2, 0]["status"] == "ok"
+    for key in (("gene", 2, 1), ("peak", 2, 1), ("gene", 2, 2), ("peak", 2, 2)):
+        assert (got[key]["status"], got[key]["perturbed"], got[key]["origins"]) == ("unavailable", None, "peak 9"), key
+    assert got["peak", 1, 1]["status"] == "ok" and got["peak", 1, 1]["perturbed"] == pytest.approx(0.5)
+
+
+def test_propagation_covers_all_features(spark):
+    sf = "/root/testdata/sf0.001"
+    state = simulation.forward_propagation(spark, sf).toPandas()
+    assert {k: set(v) for k, v in state.groupby("layer").feature_id} == {"gene": set(range(frames.GENES)), "peak": set(simulation.bin_state(spark, sf, 16)[1].toPandas().feature_id)}
+    assert "unavailable" not in set(state.status)
+    screen = screening.score_edges(screening.granger(simulation.lagged_rows(spark, sf, 16), ["gene", "peak"])).where("is_causal").toPandas()
+    pairs = simulation.pair_rows(spark, sf).select("target_id", "input_id").distinct().toPandas()
+    assert len(pairs) and set(map(tuple, pairs.to_numpy())) == set(zip(screen.gene, screen.peak, strict=True))
+
+
 def test_partial_knock_out_halves_counts(spark):
     e = spark.createDataFrame([(1, 5, math.log1p(8.0)), (1, 6, 1.0)], "cell_id long, feature_id long, value double")
     got = {r["feature_id"]: r["value"] for r in effects.knock_out(e, spark.createDataFrame([(5,)], "feature_id long"), 0.5).collect()}

@@ -199,11 +199,10 @@ def _rated(rates: Rates):
     return run
 
 
-def copies(rate: str, doc_id: str, snap: float = 0.1):
-    """Whole copies for a rate: the nearest whole number if within snap, else rounded up or down by a hash of the id."""
+def copies(rate: str, doc_id: str):
+    """Whole copies for a rate: rounded up or down by a hash of the id, so that the expected number is the rate."""
     u = F.pmod(F.xxhash64(doc_id, F.lit("copies")), F.lit(1_000_000)) / 1e6
-    near = F.round(rate)
-    return F.when(F.abs(F.col(rate) - near) <= snap, near).otherwise(F.floor(F.col(rate) + u)).cast("int")
+    return F.floor(F.col(rate) + u).cast("int")
 
 
 def fit(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = TARGETS) -> tuple[Classifier, DataFrame, Rates]:

@@ -336,6 +336,22 @@ def test_mixing_meets_targets(spark, odd, empty, labels):
     assert mixing.mix(empty, labels).count() == 0
 
 
+@pytest.mark.parametrize("rate", [0.04, 0.09, 0.93, 1.07])
+def test_copies_keep_the_expected_total(spark, rate):
+    got = spark.range(40_000).select("id", F.lit(rate).alias("rate")).select(mixing.copies("rate", "id").alias("n")).agg(F.avg("n")).first()[0]
+    assert got == pytest.approx(rate, abs=0.006)
+
+
+def test_copies_meet_targets_on_a_skewed_corpus(spark):
+    p = np.repeat([[0.98, 0.01, 0.01], [0.01, 0.98, 0.01], [0.01, 0.01, 0.98]], [6_000, 6_000, 3_000], axis=0)
+    frame = spark.createDataFrame([(i, x.tobytes(), 50) for i, x in enumerate(p)], "doc_id long, p binary, n_tokens long")
+    rates = mixing.fit_rates(frame.select("p", "n_tokens"), mixing.TARGETS)
+    rated = frame.mapInArrow(mixing._rated(rates), "doc_id long, n_tokens long, p_good double, p_poor double, p_toxic double, rate double")
+    got = rated.withColumn("copies", mixing.copies("rate", "doc_id")).toPandas()
+    total = (got.copies * got.n_tokens).to_numpy() @ got[["p_good", "p_poor", "p_toxic"]].to_numpy()
+    assert total / total.sum() == pytest.approx(np.array(mixing.TARGETS), abs=0.01)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

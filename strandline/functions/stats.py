@@ -1,8 +1,8 @@
-"""Statistical column expressions: tail probabilities, false-discovery control, link functions."""
+"""Statistical column expressions: tail probabilities, evidence scores, link functions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -32,19 +32,6 @@ def pearson_tail(r: Column, n: Column) -> Column:
     return F.when(rest <= 1e-15, F.lit(0.0)).otherwise(f_tail(r * r * (n - 2) / F.when(rest > 1e-15, rest), n - 2))
 
 
-def benjamini_hochberg(df: DataFrame, p: str, by: list[str], out: str = "p_adj") -> DataFrame:
-    """Step-up adjusted p-values within groups; tied p share their largest rank.
-
-    Counts of equal p are taken first, so that the ordered windows see distinct p only.
-    """
-    kinds = df.groupBy(*by, p).agg(F.count("*").alias("_k"))
-    up = Window.partitionBy(*by).orderBy(p)
-    kinds = kinds.withColumn("_r", F.sum("_k").over(up)).withColumn("_m", F.sum("_k").over(Window.partitionBy(*by)))
-    down = Window.partitionBy(*by).orderBy(F.desc(p))
-    kinds = kinds.withColumn(out, F.least(F.min(F.col(p) * F.col("_m") / F.col("_r")).over(down), F.lit(1.0)))
-    return df.join(kinds.select(*by, p, out), [*by, p])
-
-
 def composite_score(p_adj: Column, effect: Column, n: Column, reference: float, alpha: float, least_effect: float) -> Column:
     """Weighted evidence: 0.4 of the p part and 0.6 of the effect part, corrected for degrees of freedom."""
     c = F.pow((F.lit(reference) - 3) / F.greatest(n - 3, F.lit(1)), 2)

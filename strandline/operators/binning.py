@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.ordered import quantiles
+from strandline.storage import written
 
 def bin_count(n: Column, least_cells: int, most_bins: int) -> Column:
     return F.greatest(F.lit(5), F.least(F.floor(n / least_cells), F.lit(most_bins))).cast("int")
@@ -22,14 +24,8 @@ def max_lag(n_bins: int, asked: int | str | None = "auto") -> int:
 
 
 def equal_frequency_edges(cells: DataFrame, n_bins: int) -> DataFrame:
-    """(branch, edges): distinct linear-interpolated quantiles of pseudotime, the outer ones among them.
-
-    Quantiles are taken over counts of distinct times, so what one task holds is the distinct times of a branch.
-    """
-    times = cells.groupBy("branch", "pseudotime").agg(F.count("*").alias("_k"))
-    cuts = F.array(*(F.lit(k / n_bins) for k in range(n_bins + 1)))
-    edges = times.groupBy("branch").agg(F.percentile("pseudotime", cuts, F.col("_k")).alias("edges"))
-    return edges.select("branch", F.array_distinct(F.transform("edges", lambda e: F.round(e, 6))).alias("edges"))
+    """(branch, edges): distinct linear-interpolated quantiles of pseudotime, exact, the outer ones among them."""
+    return quantiles(cells, "branch", "pseudotime", [k / n_bins for k in range(n_bins + 1)]).select("branch", F.array_distinct("edges").alias("edges"))
 
 
 def assign_bins(cells: DataFrame, edges: DataFrame) -> DataFrame:
@@ -48,10 +44,11 @@ def hard_bin_means(entries: DataFrame, binned: DataFrame, empty_as_zero: bool =
     With empty_as_zero every feature has a row in every bin that has cells.
     """
     sizes = binned.groupBy("branch", "bin").agg(F.count("*").alias("n_cells"))
-    sums = entries.join(binned.select("cell_id", "branch", "bin"), "cell_id").groupBy("branch", "bin", "feature_id").agg(F.sum("value").alias("_s"))
+    # entries are aggregated once; those of cells without a bin only name their features
+    sums = written(entries.join(binned.select("cell_id", "branch", "bin"), "cell_id", "left").groupBy("branch", "bin", "feature_id").agg(F.sum("value").alias("_s")), "bin-sums")
     if not empty_as_zero:
         return sums.join(F.broadcast(sizes), ["branch", "bin"]).select("branch", "bin", "feature_id", (F.col("_s") / F.col("n_cells")).alias("value"))
-    grid = sizes.crossJoin(entries.select("feature_id").distinct())
+    grid = sums.select("feature_id").distinct().crossJoin(F.broadcast(sizes))
     return grid.join(sums, ["branch", "bin", "feature_id"], "left").select("branch", "bin", "feature_id", (F.coalesce("_s", F.lit(0.0)) / F.col("n_cells")).alias("value"))
 
 
@@ -125,7 +122,7 @@ def boundary_regions(cells: DataFrame, cuts: DataFrame) -> DataFrame:
 
 def merge_small_branches(cells: DataFrame, least_cells: int) -> DataFrame:
     """Cells with branches below least_cells renamed to the large branch of nearest median time (ties to the smaller name)."""
-    mid = cells.groupBy("branch").agg(F.count("*").alias("n"), F.percentile("pseudotime", 0.5).alias("mid"))
+    mid = written(cells.groupBy("branch").agg(F.count("*").alias("n")).join(quantiles(cells, "branch", "pseudotime", [0.5]).select("branch", F.col("edges")[0].alias("mid")), "branch"), "medians")
     small, large = mid.where(F.col("n") < least_cells), mid.where(F.col("n") >= least_cells)
     pairs = small.select(F.col("branch"), "mid").crossJoin(F.broadcast(large.select(F.col("branch").alias("to"), F.col("mid").alias("to_mid"))))
     moved = pairs.groupBy("branch").agg(F.min_by("to", F.struct(F.abs(F.col("mid") - F.col("to_mid")), "to")).alias("to"))

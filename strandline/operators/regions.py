@@ -6,20 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.names import strip_version
+from strandline.operators.ordered import neighbours_along
 
 
 def band_pairs(peaks: DataFrame, genes: DataFrame, distance: int) -> DataFrame:
-    """Peak and gene pairs of a chromosome with tss in [mid - distance, mid + distance).
+    """Peak and gene pairs of a chromosome with tss in [mid - distance, mid + distance), the peak's mid (start + end) / 2 being exact.
 
     Positions are cut into buckets of the band's width, a peak goes to the two buckets its band can touch, and the band
-    is checked within: an equi join whose keys are spread along the chromosome.
+    is checked within, in half bases: an equi join whose keys are spread along the chromosome.
     """
     width = 2 * distance
-    mid = F.floor((F.col("start") + F.col("end")) / 2)
-    low = F.floor((mid - distance) / width)
-    p = peaks.withColumn("mid", mid).withColumn("_b", F.explode(F.array(low, low + 1)))
+    twice = F.col("start") + F.col("end")
+    low = F.floor((twice - 2 * distance) / (2 * width))
+    p = peaks.withColumn("mid", twice / 2).withColumn("_b", F.explode(F.array(low, low + 1)))
     g = genes.withColumn("_b", F.floor(F.col("tss") / width))
-    return p.join(g, ["chr", "_b"]).where((F.col("tss") >= F.col("mid") - distance) & (F.col("tss") < F.col("mid") + distance)).drop("_b")
+    return p.join(g, ["chr", "_b"]).where((2 * F.col("tss") >= twice - 2 * distance) & (2 * F.col("tss") < twice + 2 * distance)).drop("_b")
 
 
 def overlap_match(requests: DataFrame, peaks: DataFrame, width: int) -> DataFrame:
@@ -35,15 +36,14 @@ def overlap_match(requests: DataFrame, peaks: DataFrame, width: int) -> DataFram
 def nearest_match(requests: DataFrame, peaks: DataFrame) -> DataFrame:
     """For each request the peak with the nearest centre on its chromosome; ties to the smaller id.
 
-    Requests and peaks are ordered together along the chromosome, and only the neighbours on either side are compared.
+    Requests and peaks are ordered together along the chromosome in ranges of positions, and only the neighbours on either
+    side, which may lie in another range, are compared.
     """
-    r = requests.select("chr", (F.col("q_start") + F.col("q_end")).alias("at"), F.lit(1).alias("asked"), "request_id", F.lit(None).cast("long").alias("peak_id"))
-    p = peaks.groupBy("chr", (F.col("start") + F.col("end")).alias("at")).agg(F.min("peak_id").alias("peak_id")).select("chr", "at", F.lit(0).alias("asked"), F.lit(None).cast("long").alias("request_id"), "peak_id")
-    both = r.unionByName(p)
-    here = F.when(F.col("asked") == 0, F.struct("at", "peak_id"))
-    left = Window.partitionBy("chr").orderBy("at", "asked").rowsBetween(Window.unboundedPreceding, 0)
-    right = Window.partitionBy("chr").orderBy(F.desc("at"), "asked").rowsBetween(Window.unboundedPreceding, 0)
-    near = both.withColumn("l", F.last(here, True).over(left)).withColumn("r", F.last(here, True).over(right)).where("asked = 1 and (l is not null or r is not null)")
+    r = requests.select("chr", (F.col("q_start") + F.col("q_end")).alias("at"), F.lit(1).alias("asked"), F.col("request_id").alias("id"))
+    p = peaks.groupBy("chr", (F.col("start") + F.col("end")).alias("at")).agg(F.min("peak_id").alias("id")).select("chr", "at", F.lit(0).alias("asked"), "id")
+    here = F.when(F.col("asked") == 0, F.struct("at", F.col("id").alias("peak_id")))
+    near = neighbours_along(r.unionByName(p), "chr", ["at", "asked", "id"], here).where("asked = 1 and (_left is not null or _right is not null)")
+    near = near.select(F.col("id").alias("request_id"), "at", F.col("_left").alias("l"), F.col("_right").alias("r"))
     dl, dr = F.col("at") - F.col("l.at"), F.col("r.at") - F.col("at")
     take = F.when(dr.isNull() | (dl < dr) | ((dl == dr) & (F.col("l.peak_id") < F.col("r.peak_id"))), F.struct(F.col("l.peak_id").alias("peak_id"), (dl / 2).alias("distance"))).otherwise(F.struct(F.col("r.peak_id").alias("peak_id"), (dr / 2).alias("distance")))
     return near.select("request_id", take.alias("m")).select("request_id", "m.peak_id", "m.distance")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.stats import benjamini_hochberg, composite_score, f_tail, pearson_tail
-from strandline.operators.network import written
+from strandline.functions.stats import composite_score, f_tail, pearson_tail
+from strandline.operators.ordered import counts_below, least_from_here
+from strandline.storage import shuffle_parts, written
 
 
 def granger(rows: DataFrame, keys: list[str], least_variance: float = 1e-6, least_sse: float = 1e-10) -> DataFrame:
@@ -38,14 +39,30 @@ def contemporaneous(rows: DataFrame, keys: list[str], least_variance: float = 1e
     return m.select(*keys, "n", "delta_r2", f.alias("f_stat"), f_tail(f, (F.col("n") - 2).cast("double")).alias("p_value"))
 
 
+def benjamini_hochberg(df: DataFrame, p: str, by: list[str], out: str = "p_adj") -> DataFrame:
+    """Step-up adjusted p-values within groups (all rows if by is empty); tied p share their largest rank, and rows without p go.
+
+    Counts of equal p come first; ranks and minima then run along ranges of distinct p, so that one large group is many tasks.
+    """
+    kinds = counts_below(df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("_k")), by, p, "_k")
+    kinds = least_from_here(kinds, by, p, F.col(p) * F.col("_all") / (F.col("_below") + F.col("_k")))
+    return df.join(kinds.select(*by, p, F.least("_least", F.lit(1.0)).alias(out)), [*by, p])
+
+
 def score_edges(edges: DataFrame, reference: float = 50, alpha: float = 0.1, least_effect: float = 0.02, least_score: float = 0.3) -> DataFrame:
     """Adjusted p, composite score, and the soft and hard keep flags; the edges are written once, as ranking reads them twice."""
     edges = written(edges, "edges")
-    adjusted = benjamini_hochberg(edges.withColumn("_all", F.lit(0)), "p_value", ["_all"]).drop("_all")
+    adjusted = benjamini_hochberg(edges, "p_value", [])
     scored = adjusted.withColumn("composite", composite_score(F.col("p_adj"), F.col("delta_r2"), F.col("n"), reference, alpha, least_effect))
     return scored.withColumn("is_causal", F.col("composite") >= least_score).withColumn("is_hard", (F.col("p_adj") < alpha) & (F.col("delta_r2") > least_effect))
 
 
+def series(values: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, branch, name): each feature's values of a branch as an array by bin, null where a bin has none."""
+    listed = values.groupBy(F.col("feature_id").alias(key), "branch").agg(F.map_from_entries(F.collect_list(F.struct("bin", "value"))).alias("_m"))
+    return listed.select(key, "branch", F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("_m"))), lambda b: F.element_at("_m", b)).alias(name))
+
+
 def local_lag_tests(factor: DataFrame, peak: DataFrame, edges: DataFrame, most_lag: int, rows: int = 12) -> DataFrame:
     """Correlations near each target bin at each lag.
 
@@ -62,9 +79,10 @@ def local_lag_tests(factor: DataFrame, peak: DataFrame, edges: DataFrame, most_l
     near = targets.join(pairs, "branch").where(F.col("k") <= F.col("bin") - F.col("_first"))
     order = Window.partitionBy("branch", "bin", "k").orderBy(F.abs(F.col("t") - F.col("bin")), "t")
     near = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= rows).select("branch", "bin", "k", "t", "s")
-    x = edges.join(factor.select(F.col("feature_id").alias("tf"), "branch", F.col("bin").alias("s"), F.col("value").alias("x")), "tf")
-    y = peak.select(F.col("feature_id").alias("peak_id"), "branch", F.col("bin").alias("t"), F.col("value").alias("y"))
-    both = x.join(F.broadcast(near), ["branch", "s"]).join(y, ["peak_id", "branch", "t"])
+    xs, ys = series(factor, "tf", "xs"), series(peak, "peak_id", "ys")
+    # one row an edge and branch with both series meets the windows; its tests stay in its task
+    both = edges.join(xs, "tf").join(ys, ["peak_id", "branch"]).repartition(shuffle_parts(edges.sparkSession), "tf", "peak_id", "branch")
+    both = both.join(F.broadcast(near), "branch").select("tf", "peak_id", "branch", "bin", "k", F.get("xs", F.col("s")).alias("x"), F.get("ys", F.col("t")).alias("y")).where("x is not null and y is not null")
     m = both.groupBy("tf", "peak_id", "branch", "bin", "k").agg(F.count("*").alias("n"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.covar_pop("x", "y").alias("c"))
     ok = (F.col("n") >= 3) & (F.col("vx") >= 1e-12) & (F.col("vy") > 1e-15)
     r = F.when(ok, F.col("c") / F.sqrt(F.when(ok, F.col("vx") * F.col("vy"))))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators import binning, qc, screening
-from strandline.operators.network import written
-from strandline.plans.frames import ATAC, CELLS, RNA, atac, bins_sql, cells, means_sql, rna, tail_sql
+from strandline.operators import binning, qc, regions, screening
+from strandline.plans.frames import ATAC, BAND, CELLS, GENES, LOCI, PEAKS, RNA, atac, bins_sql, cells, gene_loci, means_sql, peak_loci, read, rna, tail_sql
 from strandline.plans.registry import query
+from strandline.storage import written
 
 
 @query(f"""WITH {RNA}, kept AS (SELECT feature_id FROM rna GROUP BY 1 HAVING count(*) FILTER (value > 0) >= 20),
@@ -110,7 +110,7 @@ def equal_frequency_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {CELLS}, {RNA}, {bins_sql(12)}, {means_sql("rna", "r")} SELECT branch, bin, feature_id, round(value, 6) AS value FROM r""")
 def hard_bin_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = binning.hard_bin_means(rna(spark, sf_dir), binning.equal_frequency_bins(cells(spark, sf_dir), 12))
+    means = binning.hard_bin_means(rna(spark, sf_dir), written(binning.equal_frequency_bins(cells(spark, sf_dir), 12), "bins"))
     return means.select("branch", "bin", "feature_id", F.round("value", 6).alias("value"))
 
 
@@ -179,16 +179,24 @@ def bin_state(spark: SparkSession, sf_dir: str, n_bins: int) -> tuple[DataFrame,
     return binning.hard_bin_means(rna(spark, sf_dir), binned), binning.hard_bin_means(atac(spark, sf_dir), binned)
 
 
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(gene, peak) pairs that lie near each other."""
+    return regions.band_pairs(peak_loci(spark, sf_dir), gene_loci(spark, sf_dir), BAND).select("gene", "peak")
+
+
 def lagged_rows(spark: SparkSession, sf_dir: str, n_bins: int) -> DataFrame:
-    """(gene, peak, y, l, x) of all pairs: y and l from the gene, x from the peak a bin before."""
+    """(gene, peak, branch, bin, y, l, x) of candidate pairs: y and l from the gene, x from the peak a bin before.
+
+    Candidates meet the gene's series by gene, and then the peak's by peak and bin.
+    """
     genes, peaks = bin_state(spark, sf_dir, n_bins)
     y = binning.lag_pairs(genes, 1, ["feature_id", "branch"]).select(F.col("feature_id").alias("gene"), "branch", "bin", F.col("value").alias("y"), F.col("lagged").alias("l"))
     x = peaks.select(F.col("feature_id").alias("peak"), "branch", (F.col("bin") + 1).alias("bin"), F.col("value").alias("x"))
-    return y.join(x, ["branch", "bin"])
+    return candidates(spark, sf_dir).join(y, "gene").join(x, ["peak", "branch", "bin"])
 
 
-LAGGED = f"""{CELLS}, {RNA}, {ATAC}, {bins_sql(16)}, {means_sql("rna", "r")}, {means_sql("atac", "a")},
-rows_ AS (SELECT y.feature_id AS gene, x.feature_id AS peak, y.value AS y, l.value AS l, x.value AS x FROM r y JOIN r l ON l.feature_id = y.feature_id AND l.branch = y.branch AND l.bin = y.bin - 1 JOIN a x ON x.branch = y.branch AND x.bin = y.bin - 1)"""
+LAGGED = f"""{CELLS}, {RNA}, {ATAC}, {bins_sql(16)}, {means_sql("rna", "r")}, {means_sql("atac", "a")}, {LOCI},
+rows_ AS (SELECT y.feature_id AS gene, x.feature_id AS peak, y.value AS y, l.value AS l, x.value AS x FROM candidates c JOIN r y ON y.feature_id = c.gene JOIN r l ON l.feature_id = y.feature_id AND l.branch = y.branch AND l.bin = y.bin - 1 JOIN a x ON x.feature_id = c.peak AND x.branch = y.branch AND x.bin = y.bin - 1)"""
 GRANGER = f"""{LAGGED}, m AS (SELECT gene, peak, count(*) AS n, var_pop(y) AS vy, var_pop(l) AS vl, var_pop(x) AS vx, covar_pop(y, l) / sqrt(var_pop(y) * var_pop(l)) AS ryl, covar_pop(y, x) / sqrt(var_pop(y) * var_pop(x)) AS ryx, covar_pop(l, x) / sqrt(var_pop(l) * var_pop(x)) AS rlx FROM rows_ GROUP BY 1, 2),
 g AS (SELECT gene, peak, n, pow(ryx - ryl * rlx, 2) / ((1 - ryl * ryl) * (1 - rlx * rlx)) AS delta_r2, sqrt(vy / vx) * (ryx - ryl * rlx) / (1 - rlx * rlx) AS coef, ryx AS pearson_r FROM m WHERE vy >= 1e-6 AND vx >= 1e-6 AND vl > 1e-15 AND n > 3),
 p AS (SELECT *, delta_r2 / (1 - delta_r2) * (n - 3) AS f FROM g), q AS (SELECT *, {tail_sql("f", "(n - 3)")} AS p_value FROM p)"""
@@ -199,7 +207,7 @@ b AS (SELECT *, least(1, min(p_value * m / r) OVER (ORDER BY p_value DESC RANGE
 z AS (SELECT *, 0.4 * greatest(0, least(1, 1 - p_adj / (0.1 / c))) + 0.6 * greatest(0, least(2, delta_r2 / greatest(0.02 * c, 1e-10))) / 2 AS composite FROM s)
 SELECT gene, peak, n, round(f, 5) AS f_stat, round(p_value, 6) AS p_value, round(p_adj, 6) AS p_adj, round(delta_r2, 6) AS delta_r2, round(coef, 6) + 0.0 AS coef, round(pearson_r, 6) + 0.0 AS pearson_r, round(composite, 6) AS composite, composite >= 0.3 AS is_causal, p_adj < 0.1 AND delta_r2 > 0.02 AS is_hard FROM z""")
 def granger_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lagged regressions of every gene on every peak with adjusted p-values and composite scores."""
+    """Lagged regressions of genes on their candidate peaks with adjusted p-values and composite scores."""
     s = screening.score_edges(screening.granger(lagged_rows(spark, sf_dir, 16), ["gene", "peak"]))
     return s.select("gene", "peak", "n", F.round("f_stat", 5).alias("f_stat"), *(F.round(c, 6).alias(c) for c in ("p_value", "p_adj", "delta_r2")), *((F.round(c, 6) + 0.0).alias(c) for c in ("coef", "pearson_r")), F.round("composite", 6).alias("composite"), "is_causal", "is_hard")
 
@@ -211,9 +219,14 @@ def granger_contemporaneous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("gene", "peak", "n", F.round("delta_r2", 6).alias("delta_r2"), F.round("p_value", 6).alias("p_value"))
 
 
+def factor_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tf, peak_id) pairs that share a line item."""
+    return read(spark, sf_dir, "lineitem").select((F.col("l_partkey") % GENES).alias("tf"), (F.col("l_suppkey") % PEAKS).alias("peak_id")).distinct()
+
+
 ROUTES = f"""{CELLS}, {RNA}, {ATAC}, {bins_sql(16)}, {means_sql("rna", "r")}, {means_sql("atac", "a")},
 bb AS (SELECT DISTINCT branch, bin FROM a), near AS (SELECT * FROM (SELECT b.branch, b.bin, k, t.bin AS t, t.bin - k AS s, row_number() OVER (PARTITION BY b.branch, b.bin, k ORDER BY abs(t.bin - b.bin), t.bin) AS rn FROM bb b CROSS JOIN range(4) g(k) JOIN bb t ON t.branch = b.branch AND t.bin >= k WHERE k <= b.bin) WHERE rn <= 12),
-e AS (SELECT f AS tf, p AS peak_id FROM range(10) x(f), range(12) y(p)),
+e AS (SELECT DISTINCT l_partkey % 40 AS tf, l_suppkey % 60 AS peak_id FROM lineitem),
 m AS (SELECT tf, peak_id, n.branch, n.bin, k, count(*) AS n, var_pop(x.value) AS vx, var_pop(y.value) AS vy, covar_pop(x.value, y.value) AS c FROM e JOIN r x ON x.feature_id = tf JOIN near n ON n.branch = x.branch AND n.s = x.bin JOIN a y ON y.feature_id = peak_id AND y.branch = n.branch AND y.bin = n.t GROUP BY 1, 2, 3, 4, 5),
 t AS (SELECT *, n >= 3 AND vx >= 1e-12 AND vy > 1e-15 AS ok, CASE WHEN n >= 3 AND vx >= 1e-12 AND vy > 1e-15 THEN greatest(-1, least(1, c / sqrt(vx * vy))) END AS r_ FROM m),
 u AS (SELECT *, CASE WHEN ok THEN CASE WHEN 1 - r_ * r_ <= 1e-15 THEN 0 ELSE {tail_sql("(r_ * r_ * (n - 2) / (1 - r_ * r_))", "(n - 2)")} END END AS p FROM t),
@@ -226,8 +239,7 @@ FROM h JOIN l ON l.tf = h.tf AND l.peak_id = h.peak_id AND l.branch = h.branch A
 def local_lag_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first supported lag of each factor, peak and bin."""
     genes, peaks = bin_state(spark, sf_dir, 16)
-    edges = spark.range(10).select(F.col("id").alias("tf")).crossJoin(spark.range(12).select(F.col("id").alias("peak_id")))
-    routes = screening.local_lag_routes(screening.local_lag_tests(genes, peaks, edges, 3), 0.05)
+    routes = screening.local_lag_routes(screening.local_lag_tests(genes, peaks, factor_edges(spark, sf_dir), 3), 0.05)
     return routes.select("tf", "peak_id", "branch", "bin", "status", "selected_lag", "source_bin", (F.round("weight", 5) + 0.0).alias("weight"), F.round("p_value", 5).alias("p_value"), "n_lag_attempts", "n_stat_tests")
 
 
@@ -235,8 +247,7 @@ def local_lag_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT tf, peak_id, count(*) AS n_bins, round(avg(c / vx), 5) + 0.0 AS weight, round(max(p), 5) AS p_value, round(avg(abs(c / vx) * sqrt(vx)), 5) AS contribution, CAST(min(k) AS INTEGER) AS min_lag, CAST(max(k) AS INTEGER) AS max_lag FROM b GROUP BY 1, 2""")
 def local_lag_edge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     genes, peaks = bin_state(spark, sf_dir, 16)
-    edges = spark.range(10).select(F.col("id").alias("tf")).crossJoin(spark.range(12).select(F.col("id").alias("peak_id")))
-    s = screening.edge_summary(screening.local_lag_routes(screening.local_lag_tests(genes, peaks, edges, 3), 0.05))
+    s = screening.edge_summary(screening.local_lag_routes(screening.local_lag_tests(genes, peaks, factor_edges(spark, sf_dir), 3), 0.05))
     return s.select("tf", "peak_id", "n_bins", (F.round("weight", 5) + 0.0).alias("weight"), F.round("p_value", 5).alias("p_value"), F.round("contribution", 5).alias("contribution"), "min_lag", "max_lag")
 
 

@@ -85,9 +85,9 @@ def accessibility_z_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.select("peak_id", (F.round("delta", 6) + 0.0).alias("delta"), (F.round("z_score", 6) + 0.0).alias("z_score"))
 
 
-PATHS = """f AS (SELECT o_orderpriority AS target_gene, o_custkey % 3 AS source_context, 0 AS branch, CAST(l_linenumber + 3 AS INTEGER) AS bin, CAST(l_linenumber + 3 - l_partkey % 3 AS INTEGER) AS source_bin, l_partkey % 12 AS tf, l_suppkey % 20 AS peak_id, round(sum(l_discount - 0.05), 9) AS delta, CASE WHEN l_partkey % 5 = 0 THEN 'group' ELSE 'single' END AS method FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 30 GROUP BY 1, 2, 3, 4, 5, 6, 7, 9),
-p AS (SELECT o_orderpriority AS target_gene, o_custkey % 3 AS source_context, 0 AS branch, CAST(l_linenumber + 3 AS INTEGER) AS bin, l_partkey % 9 AS gene, l_suppkey % 20 AS peak_id, round(sum(l_tax - 0.04), 9) AS delta, 'single' AS method FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity <= 5 GROUP BY 1, 2, 3, 4, 5, 6),
-e AS (SELECT o_orderpriority AS target_gene, o_custkey % 3 AS source_context, l_partkey % 9 AS gene, sum(CASE WHEN l_partkey % 4 = 0 THEN 0 ELSE l_tax END) AS effect FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 2 = 0 GROUP BY 1, 2, 3)"""
+PATHS = """f AS (SELECT o_orderpriority AS target_gene, o_custkey % 3 AS source_context, 0 AS branch, CAST(l_linenumber + 3 AS INTEGER) AS bin, CAST(l_linenumber + 3 - l_partkey % 3 AS INTEGER) AS source_bin, l_partkey % 12 AS tf, l_suppkey % 20 AS peak_id, round(sum(l_discount - 0.05), 9) AS delta, CASE WHEN l_partkey % 5 = 0 THEN 'group' ELSE 'single' END AS method FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3, 4, 5, 6, 7, 9),
+p AS (SELECT o_orderpriority AS target_gene, o_custkey % 3 AS source_context, 0 AS branch, CAST(l_linenumber + 3 AS INTEGER) AS bin, l_partkey % 9 AS gene, l_suppkey % 20 AS peak_id, round(sum(l_tax - 0.04), 9) AS delta, 'single' AS method FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3, 4, 5, 6),
+e AS (SELECT o_orderpriority AS target_gene, o_custkey % 3 AS source_context, l_partkey % 9 AS gene, sum(CASE WHEN l_partkey % 4 = 0 THEN 0 ELSE l_tax END) AS effect FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)"""
 
 
 def path_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -97,9 +97,9 @@ def path_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     bin_ = (F.col("l_linenumber") + 3).cast("int")
     place = [F.lit(0).alias("branch"), bin_.alias("bin")]
     peak = (F.col("l_suppkey") % 20).alias("peak_id")
-    f = j.where("l_quantity > 30").groupBy(*base, *place, (bin_ - F.col("l_partkey") % 3).cast("int").alias("source_bin"), (F.col("l_partkey") % 12).alias("tf"), peak, F.when(F.col("l_partkey") % 5 == 0, "group").otherwise("single").alias("method")).agg(F.round(F.sum(F.expr("l_discount - 0.05D")), 9).alias("delta"))
-    p = j.where("l_quantity <= 5").groupBy(*base, *place, (F.col("l_partkey") % 9).alias("gene"), peak).agg(F.round(F.sum(F.expr("l_tax - 0.04D")), 9).alias("delta")).withColumn("method", F.lit("single"))
-    e = j.where("l_orderkey % 2 = 0").groupBy(*base, (F.col("l_partkey") % 9).alias("gene")).agg(F.sum(F.when(F.col("l_partkey") % 4 == 0, 0.0).otherwise(F.col("l_tax"))).alias("effect"))
+    f = j.groupBy(*base, *place, (bin_ - F.col("l_partkey") % 3).cast("int").alias("source_bin"), (F.col("l_partkey") % 12).alias("tf"), peak, F.when(F.col("l_partkey") % 5 == 0, "group").otherwise("single").alias("method")).agg(F.round(F.sum(F.expr("l_discount - 0.05D")), 9).alias("delta"))
+    p = j.groupBy(*base, *place, (F.col("l_partkey") % 9).alias("gene"), peak).agg(F.round(F.sum(F.expr("l_tax - 0.04D")), 9).alias("delta")).withColumn("method", F.lit("single"))
+    e = j.groupBy(*base, (F.col("l_partkey") % 9).alias("gene")).agg(F.sum(F.when(F.col("l_partkey") % 4 == 0, 0.0).otherwise(F.col("l_tax"))).alias("effect"))
     return f, p, e
 
 
@@ -151,7 +151,7 @@ def effect_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gene_effects(spark, sf_dir).groupBy(kind.alias("class")).agg(F.count("*").alias("n"), F.countDistinct("gene").alias("n_genes"))
 
 
-UPDOWN = "up AS (SELECT o_custkey % 4 AS cluster, l_partkey % 15 AS tf, l_suppkey % 25 AS peak_id, sum(l_discount - 0.05) AS up FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3), down AS (SELECT o_custkey % 4 AS cluster, l_suppkey % 25 AS peak_id, l_partkey % 18 AS gene, sum(l_tax) AS down FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity < 3 GROUP BY 1, 2, 3)"
+UPDOWN = "up AS (SELECT o_custkey % 4 AS cluster, l_partkey % 15 AS tf, l_suppkey % 25 AS peak_id, sum(l_discount - 0.05) AS up FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3), down AS (SELECT o_custkey % 4 AS cluster, l_suppkey % 25 AS peak_id, l_partkey % 18 AS gene, sum(l_tax) AS down FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)"
 
 
 @query(f"""WITH {UPDOWN}, j AS (SELECT u.cluster, tf, gene, sum(sqrt(abs(up) * abs(down))) AS j FROM up u JOIN down d ON u.cluster = d.cluster AND u.peak_id = d.peak_id GROUP BY 1, 2, 3),
@@ -163,7 +163,7 @@ def contribution_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = line.join(o, line.l_orderkey == o.o_orderkey)
     c, peak = (F.col("o_custkey") % 4).alias("cluster"), (F.col("l_suppkey") % 25).alias("peak_id")
     up = j.groupBy(c, (F.col("l_partkey") % 15).alias("tf"), peak).agg(F.sum(F.expr("l_discount - 0.05D")).alias("up"))
-    down = j.where("l_quantity < 3").groupBy(c, peak, (F.col("l_partkey") % 18).alias("gene")).agg(F.sum("l_tax").alias("down"))
+    down = j.groupBy(c, peak, (F.col("l_partkey") % 18).alias("gene")).agg(F.sum("l_tax").alias("down"))
     return fx.joint_contributions(up, down, 3, 4).withColumn("joint", F.round("joint", 5))
 
 

@@ -35,7 +35,7 @@ def atac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
-    return o.select(F.col("o_orderkey").alias("peak_id"), (F.col("o_custkey") % 20).alias("chr"), F.col("o_orderkey").alias("start"), (F.col("o_orderkey") + 200).alias("end"))
+    return o.select(F.col("o_orderkey").alias("peak_id"), (F.col("o_custkey") % 20).alias("chr"), F.col("o_orderkey").alias("start"), (F.col("o_orderkey") + 200 + F.col("o_custkey") % 2).alias("end"))
 
 
 def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,17 +43,33 @@ def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("gene_id"), F.col("p_name").alias("symbol"), (F.col("p_partkey") % 20).alias("chr"), (F.col("p_partkey") * 7).alias("tss"))
 
 
+def gene_loci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the features of rna."""
+    f = read(spark, sf_dir, "part").select((F.col("p_partkey") % GENES).alias("gene")).distinct()
+    return f.select("gene", (F.col("gene") % 4).alias("chr"), (F.col("gene") * 1000 + 137).alias("tss"))
+
+
+def peak_loci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the features of atac."""
+    f = read(spark, sf_dir, "supplier").select((F.col("s_suppkey") % PEAKS).alias("peak")).distinct()
+    return f.select("peak", (F.col("peak") % 4).alias("chr"), (F.col("peak") * 700).alias("start"), (F.col("peak") * 700 + 301).alias("end"))
+
+
+#: Distance of a candidate peak from a gene's start.
+BAND = 12_000
+LOCI = f"""candidates AS (SELECT gene, peak FROM (SELECT DISTINCT p_partkey % {GENES} AS gene FROM part) g, (SELECT DISTINCT s_suppkey % {PEAKS} AS peak FROM supplier) p
+WHERE gene % 4 = peak % 4 AND gene * 1000 + 137 >= peak * 700 + 150.5 - {BAND} AND gene * 1000 + 137 < peak * 700 + 150.5 + {BAND})"""
 CELLS = f"cells AS (SELECT o_orderkey AS cell_id, CAST(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS pseudotime, o_custkey % {BRANCHES} AS branch FROM orders)"
 RNA = f"rna AS (SELECT l_orderkey AS cell_id, l_partkey % {GENES} AS feature_id, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2)"
 ATAC = f"atac AS (SELECT l_orderkey AS cell_id, l_suppkey % {PEAKS} AS feature_id, CAST(sum(l_linenumber) AS DOUBLE) AS value FROM lineitem GROUP BY 1, 2)"
-PEAK_TABLE = "peaks AS (SELECT o_orderkey AS peak_id, o_custkey % 20 AS chr, o_orderkey AS start, o_orderkey + 200 AS \"end\" FROM orders)"
+PEAK_TABLE = "peaks AS (SELECT o_orderkey AS peak_id, o_custkey % 20 AS chr, o_orderkey AS start, o_orderkey + 200 + o_custkey % 2 AS \"end\" FROM orders)"
 GENE_TABLE = "genes AS (SELECT p_partkey AS gene_id, p_name AS symbol, p_partkey % 20 AS chr, p_partkey * 7 AS tss FROM part)"
 
 
 def bins_sql(n: int) -> str:
     """Equal-frequency bins of cells in n quantiles by branch, right-closed."""
     cuts = ", ".join(repr(k / n) for k in range(n + 1))
-    return f"""edges AS (SELECT branch, list_sort(list_distinct(list_transform(quantile_cont(pseudotime, [{cuts}]), lambda e: round(e, 6)))) AS e FROM cells GROUP BY branch),
+    return f"""edges AS (SELECT branch, list_sort(list_distinct(quantile_cont(pseudotime, [{cuts}]))) AS e FROM cells GROUP BY branch),
 binned AS (SELECT c.*, CAST(len(list_filter(list_slice(e, 2, len(e) - 1), lambda x: x < pseudotime)) AS INTEGER) AS bin FROM cells c JOIN edges USING (branch))"""
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import names
@@ -10,18 +10,18 @@ from strandline.operators import network, regions
 from strandline.plans.frames import GENE_TABLE, PEAK_TABLE, genes, peaks, read
 from strandline.plans.registry import query
 
-REQUESTS = """asked AS (SELECT l_orderkey * 8 + l_linenumber AS request_id, l_orderkey, min(l_partkey) AS part, min(l_suppkey) AS supp FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01' GROUP BY 1, 2),
+REQUESTS = """asked AS (SELECT l_orderkey * 8 + l_linenumber AS request_id, l_orderkey, min(l_partkey) AS part, min(l_suppkey) AS supp FROM lineitem GROUP BY 1, 2),
 requests AS (SELECT request_id, part % 20 AS chr, l_orderkey + (supp % 5) * 37 AS q_start, l_orderkey + (supp % 5) * 37 + 20 + part % 180 AS q_end FROM asked)"""
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = read(spark, sf_dir, "lineitem").where("l_shipdate < timestamp '1996-01-01'")
+    line = read(spark, sf_dir, "lineitem")
     asked = line.groupBy((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("request_id"), "l_orderkey").agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp"))
     start = F.col("l_orderkey") + (F.col("supp") % 5) * 37
     return asked.select("request_id", (F.col("part") % 20).alias("chr"), start.alias("q_start"), (start + 20 + F.col("part") % 180).alias("q_end"))
 
 
-@query(f"""WITH {PEAK_TABLE}, {GENE_TABLE} SELECT peak_id, gene_id, tss - (start + "end") // 2 AS distance FROM peaks p JOIN genes g ON p.chr = g.chr AND tss >= (start + "end") // 2 - 2000 AND tss < (start + "end") // 2 + 2000""")
+@query(f"""WITH {PEAK_TABLE}, {GENE_TABLE} SELECT peak_id, gene_id, tss - (start + "end") / 2 AS distance FROM peaks p JOIN genes g ON p.chr = g.chr AND tss >= (start + "end") / 2 - 2000 AND tss < (start + "end") / 2 + 2000""")
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peaks and genes within 2,000 bases, the upper end excluded."""
     pairs = regions.band_pairs(peaks(spark, sf_dir), genes(spark, sf_dir), 2000)
@@ -29,7 +29,7 @@ def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OVERLAP = 'o AS (SELECT request_id, peak_id, least("end", q_end) - greatest(start, q_start) AS overlap, start FROM requests r JOIN peaks p ON r.chr = p.chr AND start < q_end AND "end" > q_start), ov AS (SELECT request_id, peak_id, overlap FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY overlap DESC, start, peak_id) AS k FROM o) WHERE k = 1)'
-NEAR = 'nr AS (SELECT request_id, peak_id, d AS distance FROM (SELECT request_id, peak_id, abs((start + "end") - (q_start + q_end)) / 2 AS d, row_number() OVER (PARTITION BY request_id ORDER BY abs((start + "end") - (q_start + q_end)), peak_id) AS k FROM requests r JOIN peaks p ON r.chr = p.chr) WHERE k = 1)'
+NEAR = 'nr AS (SELECT request_id, m.p AS peak_id, m.d / 2 AS distance FROM (SELECT request_id, min({d: abs((start + "end") - (q_start + q_end)), p: peak_id}) AS m FROM requests r JOIN peaks p ON r.chr = p.chr GROUP BY 1))'
 
 
 @query(f"WITH {PEAK_TABLE}, {REQUESTS}, {OVERLAP} SELECT * FROM ov")
@@ -99,43 +99,49 @@ def peak_name_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("id", "chr", "start", "stop", names.feature_type(F.col("name")).alias("feature_type"), F.upper("name").like("MT-%").alias("mitochondrial"), names.tss(F.col("strand"), F.col("start"), F.col("stop")).alias("tss"))
 
 
-@query("""SELECT r_regionkey, replace('1,2' || r_regionkey || '0–3,000', ',', '') AS raw, replace(replace('1,2' || r_regionkey || '0–3,000', ',', ''), '–', '-') AS plain, upper(regexp_replace(lower(r_name) || '12', '[0-9]+$', '')) AS root, true AS flag FROM region""")
+@query("""SELECT o_orderkey, replace(replace('chr' || o_custkey % 20 || ':1,' || lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0') || '–2,000', ',', ''), '–', '-') AS plain, upper(regexp_replace(lower(replace(o_orderpriority, '-', '')) || o_custkey, '[0-9]+$', '')) AS root, o_orderstatus = 'F' AS flag FROM orders""")
 def name_normalisers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = read(spark, sf_dir, "region")
-    asked = F.concat(F.lit("1,2"), "r_regionkey", F.lit("0–3,000"))
-    return r.select("r_regionkey", F.replace(asked, F.lit(","), F.lit("")).alias("raw"), names.plain_coordinates(asked).alias("plain"), names.root_name(F.concat(F.lower("r_name"), F.lit("12"))).alias("root"), names.strict_flag(F.lit(" True ")).alias("flag"))
+    """Coordinate requests, root names and textual flags of every order."""
+    o = read(spark, sf_dir, "orders")
+    asked = F.concat(F.lit("chr"), F.col("o_custkey") % 20, F.lit(":1,"), F.lpad((F.col("o_custkey") % 1000).cast("string"), 3, "0"), F.lit("–2,000"))
+    symbol = F.concat(F.lower(F.replace("o_orderpriority", F.lit("-"), F.lit(""))), "o_custkey")
+    flag = F.when(F.col("o_orderstatus") == "F", " True ").otherwise("no")
+    return o.select("o_orderkey", names.plain_coordinates(asked).alias("plain"), names.root_name(symbol).alias("root"), names.strict_flag(flag).alias("flag"))
 
 
-EDGES = "edges AS (SELECT DISTINCT l_partkey % 400 AS src, 1000 + l_suppkey % 300 AS dst FROM lineitem WHERE l_orderkey % 97 = 0 UNION SELECT DISTINCT 1000 + l_suppkey % 300, l_partkey % 400 FROM lineitem WHERE l_orderkey % 89 = 0)"
+EDGES = "edges AS (SELECT DISTINCT l_partkey AS src, 1000000000000 + l_orderkey AS dst FROM lineitem UNION SELECT DISTINCT 1000000000000 + l_orderkey, l_suppkey FROM lineitem)"
 
 
 def regulatory_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sparse graph of genes (below 1000) and peaks (from 1000)."""
+    """A graph of genes (parts, suppliers) and peaks (orders, from 10**12)."""
     line = read(spark, sf_dir, "lineitem")
-    gene, peak = F.col("l_partkey") % 400, 1000 + F.col("l_suppkey") % 300
-    there = line.where("l_orderkey % 97 = 0").select(gene.alias("src"), peak.alias("dst"))
-    return there.union(line.where("l_orderkey % 89 = 0").select(peak, gene)).distinct()
+    peak = (1000000000000 + F.col("l_orderkey")).alias("peak")
+    return line.select(F.col("l_partkey").alias("src"), peak.alias("dst")).union(line.select(peak, "l_suppkey")).distinct()
 
 
 @query(f"""WITH RECURSIVE {EDGES}, walk(node, depth) AS (SELECT CAST(x AS BIGINT), 0 FROM range(5) t(x) UNION SELECT dst, depth + 1 FROM walk JOIN edges ON src = node WHERE depth < 5) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY 1""")
 def regulatory_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes reached from five genes, alternating genes and peaks, within five rounds."""
-    return network.closure(regulatory_edges(spark, sf_dir), spark.range(5).select(F.col("id").alias("node")), 5, 10_000_000)
+    return network.closure(regulatory_edges(spark, sf_dir), spark.range(5).select(F.col("id").alias("node")), 5)
 
 
-@query(f"""WITH RECURSIVE {EDGES}, u AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), walk(a, b) AS (SELECT a, a FROM u UNION SELECT w.a, u.b FROM walk w JOIN u ON w.b = u.a) SELECT a AS node, min(b) AS component FROM walk GROUP BY 1""")
+@query("""WITH RECURSIVE o AS (SELECT o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS dst FROM orders), u AS (SELECT src AS a, coalesce(dst, src) AS b FROM o UNION SELECT dst, src FROM o WHERE dst IS NOT NULL),
+walk(a, b) AS (SELECT a, a FROM u UNION SELECT w.a, u.b FROM walk w JOIN u ON w.b = u.a) SELECT a AS node, min(b) AS component FROM walk GROUP BY 1""")
 def network_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.components(regulatory_edges(spark, sf_dir))
+    """Components of all orders, each linked with its customer's next one."""
+    nxt = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    chain = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), nxt.alias("dst"))
+    return network.components(chain.withColumn("dst", F.coalesce("dst", "src")))
 
 
-@query("""WITH tp AS (SELECT DISTINCT l_partkey % 100 AS tf, l_suppkey % 50 AS peak FROM lineitem WHERE l_quantity > 40), pg AS (SELECT DISTINCT l_suppkey % 50 AS peak, l_orderkey % 100 AS gene FROM lineitem WHERE l_quantity < 5),
-own AS (SELECT * FROM tp WHERE tf IN (1, 2)), down AS (SELECT * FROM pg WHERE peak IN (SELECT peak FROM own) AND gene < 30)
+@query("""WITH tp AS (SELECT DISTINCT l_partkey AS tf, l_suppkey AS peak FROM lineitem), pg AS (SELECT DISTINCT l_suppkey AS peak, l_orderkey AS gene FROM lineitem),
+own AS (SELECT * FROM tp WHERE tf IN (1, 2)), down AS (SELECT * FROM pg WHERE peak IN (SELECT peak FROM own) AND gene < 3000)
 SELECT tf AS src, peak AS dst, 'target_peak' AS layer FROM own WHERE peak IN (SELECT peak FROM down) UNION ALL SELECT peak, gene, 'peak_gene' FROM down UNION ALL SELECT tf, peak, 'factor_peak' FROM tp WHERE tf NOT IN (1, 2) AND peak IN (SELECT peak FROM down)""")
 def network_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = read(spark, sf_dir, "lineitem")
-    tp = line.where("l_quantity > 40").select((F.col("l_partkey") % 100).alias("tf"), (F.col("l_suppkey") % 50).alias("peak")).distinct()
-    pg = line.where("l_quantity < 5").select((F.col("l_suppkey") % 50).alias("peak"), (F.col("l_orderkey") % 100).alias("gene")).distinct()
-    return network.layered_subgraph(tp, pg, spark.range(1, 3).select(F.col("id").alias("gene")), spark.range(30).select(F.col("id").alias("gene")))
+    tp = line.select(F.col("l_partkey").alias("tf"), F.col("l_suppkey").alias("peak")).distinct()
+    pg = line.select(F.col("l_suppkey").alias("peak"), F.col("l_orderkey").alias("gene")).distinct()
+    return network.layered_subgraph(tp, pg, spark.range(1, 3).select(F.col("id").alias("gene")), spark.range(3000).select(F.col("id").alias("gene")))
 
 
 @query("""WITH c AS (SELECT c_nationkey AS node, count(*) AS n FROM customer GROUP BY 1), w AS (SELECT c_nationkey AS s, s_nationkey AS d, count(*) AS w FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey < s_nationkey GROUP BY 1, 2)

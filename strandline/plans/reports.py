@@ -10,7 +10,7 @@ from strandline.operators import reports
 from strandline.plans.frames import read
 from strandline.plans.registry import query
 
-UP = "up AS (SELECT l_linenumber AS cluster, l_suppkey % 9 AS source, l_partkey % 25 AS middle, sum(l_discount - 0.05) AS up FROM lineitem WHERE l_quantity > 25 GROUP BY 1, 2, 3), down AS (SELECT l_linenumber AS cluster, l_partkey % 25 AS middle, l_orderkey % 30 AS gene, sum(l_tax) AS down FROM lineitem WHERE l_quantity < 4 GROUP BY 1, 2, 3)"
+UP = "up AS (SELECT l_linenumber AS cluster, l_suppkey % 9 AS source, l_partkey % 25 AS middle, sum(l_discount - 0.05) AS up FROM lineitem GROUP BY 1, 2, 3), down AS (SELECT l_linenumber AS cluster, l_partkey % 25 AS middle, l_orderkey % 30 AS gene, sum(l_tax) AS down FROM lineitem GROUP BY 1, 2, 3)"
 
 
 @query(f"WITH {UP} SELECT cluster, source, gene, count(*) AS n_middles, round(sum(sqrt(abs(up * down))), 4) AS strength FROM up JOIN down USING (cluster, middle) GROUP BY 1, 2, 3")
@@ -18,8 +18,8 @@ def indirect_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upstream and downstream parts joined by their middle."""
     line = read(spark, sf_dir, "lineitem")
     cluster, middle = F.col("l_linenumber").alias("cluster"), (F.col("l_partkey") % 25).alias("middle")
-    up = line.where("l_quantity > 25").select(cluster, (F.col("l_suppkey") % 9).alias("source"), middle, F.expr("l_discount - 0.05D").alias("weight"))
-    down = line.where("l_quantity < 4").select(cluster, middle, (F.col("l_orderkey") % 30).alias("gene"), F.col("l_tax").alias("weight"))
+    up = line.select(cluster, (F.col("l_suppkey") % 9).alias("source"), middle, F.expr("l_discount - 0.05D").alias("weight"))
+    down = line.select(cluster, middle, (F.col("l_orderkey") % 30).alias("gene"), F.col("l_tax").alias("weight"))
     return reports.indirect_routes(up, down).groupBy("cluster", "source", "gene").agg(F.count("*").alias("n_middles"), F.round(F.sum("strength"), 4).alias("strength"))
 
 
@@ -31,13 +31,13 @@ def purely_indirect_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.purely_indirect(pick("l_quantity > 20"), pick("l_discount > 0.08"), pick("l_tax > 0.06"))
 
 
-@query("""WITH a AS (SELECT DISTINCT l_suppkey % 40 AS input_id, l_partkey % 60 AS target_id FROM lineitem WHERE l_orderkey % 30 = 0), b AS (SELECT DISTINCT l_suppkey % 40 AS input_id, l_partkey % 60 AS target_id FROM lineitem WHERE l_orderkey % 30 = 0 OR l_orderkey % 701 = 1)
+@query("""WITH a AS (SELECT DISTINCT l_suppkey AS input_id, l_partkey AS target_id FROM lineitem WHERE l_linestatus = 'F'), b AS (SELECT DISTINCT l_suppkey AS input_id, l_partkey AS target_id FROM lineitem WHERE l_linestatus <> 'F')
 SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'right' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def topology_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relations in one registry and not in the other."""
+    """Relations in one registry (closed items) and not in the other (all others)."""
     line = read(spark, sf_dir, "lineitem")
-    pick = lambda c: line.where(c).select((F.col("l_suppkey") % 40).alias("input_id"), (F.col("l_partkey") % 60).alias("target_id")).distinct()
-    return reports.topology_differences(pick("l_orderkey % 30 = 0"), pick("l_orderkey % 30 = 0 or l_orderkey % 701 = 1"))
+    pick = lambda c: line.where(c).select(F.col("l_suppkey").alias("input_id"), F.col("l_partkey").alias("target_id")).distinct()
+    return reports.topology_differences(pick("l_linestatus = 'F'"), pick("l_linestatus <> 'F'"))
 
 
 @query("""WITH o AS (SELECT c_nationkey AS cluster, o_custkey AS gene, min(year(o_orderdate)) AS bin FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2), b AS (SELECT n_nationkey AS cluster, y AS bin FROM nation, range(1995, 2002) t(y))
@@ -51,10 +51,10 @@ def cumulative_onsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.cumulative_onsets(first, bins)
 
 
-@query("""WITH e AS (SELECT DISTINCT l_suppkey % 50 AS source, l_partkey % 500 AS gene FROM lineitem WHERE l_orderkey % 40 = 0) SELECT source, gene, count(*) OVER (PARTITION BY gene) > 1 AS shared FROM e""")
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS source, l_orderkey AS gene FROM lineitem) SELECT source, gene, count(*) OVER (PARTITION BY gene) > 1 AS shared FROM e""")
 def shared_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = read(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0")
-    return reports.shared_targets(line.select((F.col("l_suppkey") % 50).alias("source"), (F.col("l_partkey") % 500).alias("gene")).distinct()).select("source", "gene", "shared")
+    line = read(spark, sf_dir, "lineitem")
+    return reports.shared_targets(line.select(F.col("l_suppkey").alias("source"), F.col("l_orderkey").alias("gene")).distinct()).select("source", "gene", "shared")
 
 
 @query("""SELECT l_suppkey % 40 AS peak_id, count(DISTINCT l_partkey % 80) AS n_genes, count(DISTINCT (l_partkey % 80, l_linenumber)) AS n_edges, round(avg(l_extendedprice), 4) AS baseline, round(avg(l_extendedprice * (1 - l_discount)), 4) AS perturbed, round(avg(l_extendedprice * (1 - l_discount)) - avg(l_extendedprice), 4) AS delta FROM lineitem GROUP BY 1""")
@@ -92,11 +92,11 @@ def extreme_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.unionByName(g.orderBy("delta", "gene").limit(1).select(F.lit("lowest").alias("kind"), "gene"))
 
 
-@query("""WITH f AS (SELECT DISTINCT 'Tf' || l_suppkey % 60 AS tf, l_partkey % 40 AS peak_id FROM lineitem WHERE l_quantity > 48), s AS (SELECT DISTINCT 'TF' || s_suppkey AS symbol FROM supplier WHERE s_nationkey % 2 = 0) SELECT peak_id, tf FROM f WHERE upper(tf) IN (SELECT upper(symbol) FROM s)""")
+@query("""WITH f AS (SELECT DISTINCT 'Tf' || l_suppkey AS tf, l_partkey AS peak_id FROM lineitem), s AS (SELECT DISTINCT 'TF' || s_suppkey AS symbol FROM supplier WHERE s_nationkey % 2 = 0) SELECT peak_id, tf FROM f WHERE upper(tf) IN (SELECT upper(symbol) FROM s)""")
 def expressed_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assignments whose factor is expressed, whatever the case of its symbol."""
     from strandline.operators.motif import present_factors
 
-    line = read(spark, sf_dir, "lineitem").where("l_quantity > 48")
-    a = line.select((F.col("l_partkey") % 40).alias("peak_id"), F.concat(F.lit("Tf"), F.col("l_suppkey") % 60).alias("tf")).distinct()
+    line = read(spark, sf_dir, "lineitem")
+    a = line.select(F.col("l_partkey").alias("peak_id"), F.concat(F.lit("Tf"), "l_suppkey").alias("tf")).distinct()
     return present_factors(a, read(spark, sf_dir, "supplier").where("s_nationkey % 2 = 0").select(F.concat(F.lit("TF"), "s_suppkey").alias("symbol")))

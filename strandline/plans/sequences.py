@@ -18,12 +18,15 @@ MOTIFS = [
 ]
 MOTIF_SQL = "motifs AS (SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{t}', {c}, {str(k).lower()})" for i, t, c, k in MOTIFS) + ") v(motif_id, tf_names, counts, curated))"
 PWM_SQL = "pwms AS (SELECT motif_id, tf_names, list_transform(counts, lambda r: list_transform(r, lambda x: log2((CAST(x AS DOUBLE) + 0.01) / (CAST(list_sum(r) AS DOUBLE) + 0.04) / 0.25))) AS pwm FROM motifs)"
-SEQ_SQL = "seqs AS (SELECT doc_id AS peak_id, translate(md5(text) || md5(text || 'x'), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM documents)"
+#: Each letter of a text stands for a base, n and all else for a masked one.
+LETTERS = "".join(c for c in "abcdefghijklmnopqrstuvwxyz" if c != "n")
+BASES = "".join("ACGT"[k * 7 % 13 % 4] for k in range(len(LETTERS)))
+SEQ_SQL = f"seqs AS (SELECT doc_id AS peak_id, translate(regexp_replace(text, '[^A-Za-z]', 'n', 'g'), '{LETTERS}{LETTERS.upper()}', '{BASES}{BASES}') AS seq FROM documents)"
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequences that both engines derive alike from texts."""
-    seq = F.translate(F.concat(F.md5("text"), F.md5(F.concat("text", F.lit("x")))), "0123456789abcdef", "ACGTACGTACGTACGT")
+    """Sequences of all whole texts that both engines derive alike."""
+    seq = F.translate(F.regexp_replace("text", "[^A-Za-z]", "n"), LETTERS + LETTERS.upper(), BASES * 2)
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("peak_id"), seq.alias("seq"))
 
 
@@ -32,7 +35,7 @@ def motifs(spark: SparkSession) -> DataFrame:
     return m.withColumn("pwm", motif.log_odds(F.col("counts"))).withColumn("information", motif.information(F.col("counts")))
 
 
-HITS = f"""{MOTIF_SQL}, {PWM_SQL}, {SEQ_SQL}, w AS (SELECT peak_id, motif_id, list_transform(range(1, len(seq) - len(pwm) + 2), lambda i: list_sum(list_transform(range(1, len(pwm) + 1), lambda j: pwm[j][strpos('ACGT', substr(seq, CAST(i + j - 1 AS BIGINT), 1))]))) AS w FROM seqs CROSS JOIN pwms),
+HITS = f"""{MOTIF_SQL}, {PWM_SQL}, {SEQ_SQL}, w AS (SELECT peak_id, motif_id, list_transform(range(1, len(seq) - len(pwm) + 2), lambda i: CASE WHEN regexp_matches(substr(seq, CAST(i AS BIGINT), len(pwm)), '^[ACGT]*$') THEN list_sum(list_transform(range(1, len(pwm) + 1), lambda j: pwm[j][strpos('ACGT', substr(seq, CAST(i + j - 1 AS BIGINT), 1))])) END) AS w FROM seqs CROSS JOIN pwms),
 m AS (SELECT peak_id, motif_id, list_max(w) AS best, list_avg(w) AS mean, list_stddev_pop(w) AS sd FROM w), h AS (SELECT *, greatest(0, least(1, 1 - exp(-exp(-(best - (mean - 0.5772156649015329 * sd * sqrt(6) / pi())) / (sd * sqrt(6) / pi()))))) AS p_value FROM m WHERE sd > 1e-9), hits AS (SELECT * FROM h WHERE p_value < 0.05)"""
 
 
@@ -62,11 +65,10 @@ def factor_family_borrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motif.borrow_family(a, family, spark.createDataFrame([("TF1",)], "tf string"))
 
 
-@query("""WITH l AS (SELECT DISTINCT l_suppkey % 200 AS peak_id, 'G' || l_partkey % 90 AS gene FROM lineitem WHERE l_quantity > 45), t AS (SELECT DISTINCT 'G' || s_suppkey AS tf FROM supplier)
+@query("""WITH l AS (SELECT DISTINCT l_orderkey AS peak_id, 'G' || l_partkey AS gene FROM lineitem), t AS (SELECT DISTINCT 'G' || s_suppkey AS tf FROM supplier)
 SELECT peak_id, gene AS tf, CAST(rk AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY peak_id ORDER BY gene) AS rk FROM l WHERE gene IN (SELECT tf FROM t)) WHERE rk <= 5""")
 def factor_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = read(spark, sf_dir, "lineitem").where("l_quantity > 45")
-    links = line.select((F.col("l_suppkey") % 200).alias("peak_id"), F.concat(F.lit("G"), F.col("l_partkey") % 90).alias("gene"))
+    links = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("peak_id"), F.concat(F.lit("G"), "l_partkey").alias("gene"))
     return motif.fallback_factors(links, read(spark, sf_dir, "supplier").select(F.concat(F.lit("G"), "s_suppkey").alias("tf")).distinct())
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators import response, screening
-from strandline.operators.network import written
+from strandline.storage import written
 from strandline.plans.cohort import bin_state, lagged_rows
 from strandline.plans.frames import cells
 from strandline.plans.registry import query

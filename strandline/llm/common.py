@@ -2,37 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.storage import new_path, shared_dir, shuffle_parts
+from strandline.storage import written as materialize
+
+__all__ = ["ascii_lower", "id_crc", "materialize", "new_path", "shared_dir", "shuffle_parts", "small_batches", "table"]
+
 #: The ASCII white space that separates words in the contracts.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df to the shared folder and read it again: lineage is cut and a lost executor loses nothing."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most 1,000 rows and 8 MB: rows hold whole texts, and workers need a few batches at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
@@ -51,7 +33,3 @@ def id_crc(col: str = "doc_id") -> Column:
 
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
-
-
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

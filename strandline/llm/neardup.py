@@ -9,8 +9,7 @@ Buckets are never expanded into all pairs. Equal word sequences are one class fr
 bucket first compares its members with two of them, its smallest and a random one; where the confirmed
 links already join a whole bucket, no further comparison can change the result. In buckets that still
 span several components, every pair across components is then compared, by set sizes, by bit sketches
-and then by hashed sets inside the join, so that only links leave it and no pair that shares a bucket is
-given up.
+and then by hashed sets inside the join, so that only likely links leave it. Links are confirmed on the words themselves.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import materialize
-from strandline.llm.textkernel import chunk_ranges, mix, random_odds, shingle_hashes, utf8, word_hashes
+from strandline.llm.textkernel import chunk_ranges, mix, random_odds, sequence_digests, shingle_codes, shingle_hashes, utf8, word_codes, word_hashes
 
 #: Bits of a sketch: one of each of the first signature values.
 SKETCH = 192
@@ -44,6 +43,7 @@ def _signatures(permutations: int, rows: int, words: int, seed: int):
                 part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 w, at = word_hashes(part, o)
                 h, begin = shingle_hashes(w, at, words)
+                codes, _ = shingle_codes(word_codes(part, o)[0], at, words)
                 n, full = j - i, np.flatnonzero(np.diff(begin) > 0)
                 first = begin[full]
                 sig = np.zeros((n, 2 * permutations), np.uint64)
@@ -53,18 +53,10 @@ def _signatures(permutations: int, rows: int, words: int, seed: int):
                         y = h * factors[k]
                         sig[full, 2 * k] = np.minimum.reduceat(y, first)
                         sig[full, 2 * k + 1] = np.maximum.reduceat(y, first)
-                    owner = np.repeat(np.arange(n, dtype=np.uint64), np.diff(begin))
-                    own = np.sort((owner << np.uint64(52)) | (h >> np.uint64(12)))
-                    new = np.ones(len(own), bool)
-                    new[1:] = own[1:] != own[:-1]
-                    distinct = np.bincount((own[new] >> np.uint64(52)).astype(np.int64), minlength=n)
-                seq = np.zeros(n, np.uint64)
-                some = np.flatnonzero(np.diff(at) > 0)
-                if len(some):
-                    place = np.arange(len(w)) - np.repeat(at[:-1], np.diff(at))
-                    seq[some] = np.add.reduceat(w * mix(place.astype(np.uint64) + np.uint64(1)), at[some])
+                    owner = np.repeat(np.arange(n), np.diff(begin))
+                    distinct = np.bincount(np.unique((owner << 32) | codes) >> 32, minlength=n)
+                keys = sequence_digests(part, o)
                 bands = mix((sig.reshape(n, n_bands, rows) * salts).sum(axis=2, dtype=np.uint64) + tag)
-                whole = mix(bands.sum(axis=1, dtype=np.uint64))
                 bits = (mix(sig) & np.uint64(1)).astype(np.uint8)[:, :SKETCH]
                 bits = np.pad(bits, ((0, 0), (0, SKETCH - bits.shape[1])))
                 sketch = np.packbits(bits, axis=1).view(np.int64).reshape(-1)
@@ -72,8 +64,7 @@ def _signatures(permutations: int, rows: int, words: int, seed: int):
                     [
                         batch.column(0).slice(i, n),
                         pa.array(distinct, pa.int64()),
-                        pa.array(seq.view(np.int64)),
-                        pa.array(whole.view(np.int64)),
+                        *(pa.array(np.ascontiguousarray(keys[:, c])) for c in range(2)),
                         pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(sketch)),
                         pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * n_bands), pa.array(bands.reshape(-1).view(np.int64))),
                     ],
@@ -88,27 +79,29 @@ def signatures(docs: DataFrame, permutations: int = 100, rows: int = 5, words: i
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_signatures(permutations, rows, words, seed), SIGNATURES)
 
 
+def links_of(left: pa.Array, right: pa.Array, words: int, percent: int) -> np.ndarray:
+    """Whether the shingle sets of each pair of texts are alike enough; words and shingles are compared themselves, not by hashes."""
+    n = len(left)
+    data, off = utf8(pa.chunked_array([left, right]))
+    codes, _, at = word_codes(data, off)
+    grams, begin = shingle_codes(codes, at, words)
+    owner = np.repeat(np.tile(np.arange(n), 2), np.diff(begin))
+    key = (owner << 32) | grams
+    a, b = np.unique(key[: begin[n]]), np.unique(key[begin[n] :])
+    size = np.bincount(a >> 32, minlength=n) + np.bincount(b >> 32, minlength=n)
+    both = np.bincount(np.intersect1d(a, b, assume_unique=True) >> 32, minlength=n)
+    return (both > 0) & (100 * both >= percent * (size - both))
+
+
 def _confirm(words: int, percent: int):
     """mapInArrow function: (a, b, text_a, text_b) to the pairs whose sets are alike enough."""
 
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        data, off = utf8(column)
-        out = []
-        for i, j in chunk_ranges(off):
-            w, at = word_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i])
-            h, begin = shingle_hashes(w, at, words)
-            out += [np.unique(h[begin[d] : begin[d + 1]]) for d in range(j - i)]
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                keep = []
-                for x, y in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
-                    keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        for batch in batches:
+            size = np.diff(utf8(batch.column(2))[1]) + np.diff(utf8(batch.column(3))[1])
+            for i, j in chunk_ranges(np.concatenate([[0], np.cumsum(size)])):
+                part = batch.slice(i, j - i)
+                yield part.select([0, 1]).filter(pa.array(links_of(part.column(2), part.column(3), words, percent)))
 
     return run
 
@@ -178,13 +171,16 @@ def components(links: DataFrame) -> DataFrame:
     return label
 
 
-def near_duplicates(docs: DataFrame, permutations: int = 100, rows: int = 5, words: int = 5, percent: int = 75) -> DataFrame:
+def near_duplicates(docs: DataFrame, permutations: int = 100, rows: int = 5, words: int = 5, percent: int = 75, block: int = 4096) -> DataFrame:
     """Near-duplicate groups of documents(doc_id, text, ...).
 
     Returns one row per input row: doc_id, n_shingles (distinct shingles), component_id (smallest doc_id
     reachable over links, its own included) and kept (doc_id = component_id). Rows with the same doc_id are
     one node. Null and empty texts have no shingles and no links; a null doc_id takes no part: its
     component_id is null and it is kept. Extra columns are ignored.
+
+    Two steps may lose a link, both by chance and measured in the tests: a pair at exactly the similarity shares no band with
+    probability about 2e-5, and passes the bound on differing sketch bits but for 1e-7. What is linked is linked by its words.
     """
     sig = materialize(signatures(docs, permutations, rows, words), "near-signatures")
     some = sig.where("n_shingles > 0 and doc_id is not null")
@@ -215,12 +211,17 @@ def near_duplicates(docs: DataFrame, permutations: int = 100, rows: int = 5, wor
     open_ = materialize(labelled.join(split, "bucket").where("doc.rep <> centre.rep and doc.rep <> pivot.rep").select("bucket", "doc", "component"), "near-open")
     if not open_.isEmpty():
         sets = shingle_sets(open_.select(F.col("doc.rep").alias("doc_id")), docs, words)
-        x = open_.withColumn("rep", F.col("doc.rep")).join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("bucket", F.col("doc").alias("x"), F.col("component").alias("cx"), F.col("items").alias("sx"))
-        y = x.select("bucket", F.col("x").alias("y"), F.col("cx").alias("cy"), F.col("sx").alias("sy"))
+        # a bucket is cut into blocks of members, and every pair of its blocks is a key of its own
+        blocks = open_.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+        full = open_.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("doc.rep", "bucket"), F.col("n")).cast("int"))
+        full = full.withColumn("rep", F.col("doc.rep")).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+        x = full.select("bucket", F.explode(F.sequence("own", F.col("n") - 1)).alias("j"), F.col("own").alias("i"), F.col("doc").alias("x"), F.col("component").alias("cx"), F.col("items").alias("sx"))
+        y = full.select("bucket", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("doc").alias("y"), F.col("component").alias("cy"), F.col("items").alias("sy"))
         both = F.size(F.array_intersect("sx", "sy"))
         enough = both * (100 + percent) >= (F.size("sx") + F.size("sy")) * percent
-        cross = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("x.rep") < F.col("y.rep")) & (F.col("cx") != F.col("cy")) & alike("x", "y") & enough)
-        rest = materialize(cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "near-pairs")
+        once = (F.col("x.rep") < F.col("y.rep")) | ((x["i"] < x["j"]) & (F.col("x.rep") != F.col("y.rep")))
+        cross = x.join(y, (x["bucket"] == y["bucket"]) & (x["i"] == y["i"]) & (x["j"] == y["j"]) & once & (F.col("cx") != F.col("cy")) & alike("x", "y") & enough)
+        rest = materialize(cross.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct(), "near-pairs")
         found = materialize(confirm_pairs(rest, docs, words, percent), "near-confirmed")
         if not found.isEmpty():
             ends = label.select("node", "component")

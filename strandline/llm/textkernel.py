@@ -6,6 +6,7 @@ CHUNK_BYTES of text, so that temporaries stay small whatever the batch size is.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,18 +17,17 @@ CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240917))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_FOLD = np.arange(256)
+_FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-#: A random value for each byte, equal for A-Z and a-z.
-_LOWER_VALUE = _BYTE[_FOLD]
-_BASE = int(_rng.integers(1 << 62, 1 << 63)) * 2 + 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _MIX1, _MIX2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 _SHINGLE = _rng.integers(1, 1 << 63, 16, dtype=np.uint64) * _U(2) + _U(1)
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
+_SIZE = _rng.integers(1, 1 << 63, 1, dtype=np.uint64) * _U(2) + _U(1)
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer spans are hashed one by one.
+STEPPED = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,20 +40,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, at least n of each."""
-    global _powers, _inverse
-    if len(_powers) < n:
-        size = 1 << max(n - 1, 1 << 16).bit_length()
-        inv = pow(_BASE, -1, 1 << 64)
-        steps = np.full(size, _BASE, np.uint64)
-        steps[0] = 1
-        _powers = np.multiply.accumulate(steps)
-        steps[1:] = inv
-        _inverse = np.multiply.accumulate(steps)
-    return _powers, _inverse
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -99,15 +85,70 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """A 64-bit hash of each byte span, the same for equal bytes (A-Z as a-z if fold)."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    powers, inverse = power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    values = (_LOWER_VALUE if fold else _BYTE)[data]
-    values *= powers[: len(data)]
-    np.cumsum(values, out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts])
+    """A 64-bit hash of each byte span, the same for equal bytes (A-Z as a-z if fold).
+
+    Spans are mixed in 8 bytes at a time, and long ones by a cryptographic hash. Equal hashes only suggest equal bytes: what has to
+    be exact compares words (word_codes).
+    """
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * _SIZE)
+    if not len(size):
+        return out
+    raw = np.concatenate([_FOLD[data] if fold else data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, np.uint64, raw, 0, (1,))
+    todo, k = np.flatnonzero((size > 0) & (size <= STEPPED)), 0
+    while len(todo):
+        left = size[todo] - k
+        out[todo] = mix(out[todo] ^ (eight[starts[todo] + k] & _HEAD[np.minimum(left, 8)]))
+        todo, k = todo[left > 8], k + 8
+    for i in np.flatnonzero(size > STEPPED).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
+    """The lower-cased words of all documents, and each document's first word (one more at the end)."""
+    starts, ends, at = word_spans(data, offsets)
+    folded = _FOLD[data][~_SPACE[data]]
+    place = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(place), pa.py_buffer(folded)), at
+
+
+def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.StringArray, np.ndarray]:
+    """A number for each lower-cased word, equal for equal words only; the words by number; and each document's first word."""
+    words, at = words_of(data, offsets)
+    coded = words.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary, at
+
+
+def shingle_codes(codes: np.ndarray, at: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each of the documents' k-word shingles (the whole sequence if shorter), equal for equal ones only, and where each document's begin."""
+    n = np.diff(at)
+    counts = np.where(n >= k, n - k + 1, (n > 0).astype(np.int64))
+    begin = np.concatenate([[0], np.cumsum(counts)])
+    first = np.repeat(at[:-1] - begin[:-1], counts) + np.arange(int(begin[-1]))
+    padded = np.concatenate([codes, np.full(k, -1, codes.dtype)]).astype(np.int32)
+    grams = padded[first[:, None] + np.arange(k)]
+    short = np.flatnonzero((n > 0) & (n < k))
+    grams[begin[short]] = np.where(np.arange(k) < n[short, None], grams[begin[short]], -1)
+    rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * k), len(grams), [None, pa.py_buffer(np.ascontiguousarray(grams))])
+    return rows.dictionary_encode().indices.to_numpy(), begin
+
+
+def sequence_digests(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """128-bit digests of the documents' lower-cased word sequences, as two 64-bit columns."""
+    starts, _, at = word_spans(data, offsets)
+    keep = ~_SPACE[data]
+    later = np.ones(len(starts), bool)
+    later[at[:-1][np.diff(at) > 0]] = False
+    gap = starts[later] - 1
+    text = _FOLD[data]
+    text[gap] = 0x20
+    keep[gap] = True
+    place = np.concatenate([[0], np.cumsum(keep)])[offsets].tolist()
+    raw = memoryview(text[keep])
+    joined = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(place, place[1:]))
+    return np.frombuffer(joined, np.int64).reshape(-1, 2)
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,40 +186,3 @@ def shingle_hashes(words: np.ndarray, at: np.ndarray, k: int = 5) -> tuple[np.nd
 
 def random_odds(n: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 63, n, dtype=np.uint64) * _U(2) + _U(1)
-
-
-def table_find(key: np.ndarray, value: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Values of the hashes h in an open-addressing table (0 marks a free slot), -1 where absent."""
-    out = np.full(len(h), -1, np.int64)
-    mask, todo, slot = len(key) - 1, np.arange(len(h)), (h >> _U(20)).astype(np.int64)
-    while len(todo):
-        slot &= mask
-        own = key[slot]
-        hit = own == h[todo]
-        out[todo[hit]] = value[slot[hit]]
-        go = ~hit & (own != 0)
-        todo, slot = todo[go], slot[go] + 1
-    return out
-
-
-def table_put(key: np.ndarray, value: np.ndarray, h: np.ndarray, first: int = 0) -> None:
-    """Add absent, distinct hashes with values counting up from `first`."""
-    mask, todo, slot = len(key) - 1, np.arange(len(h)), (h >> _U(20)).astype(np.int64)
-    while len(todo):
-        slot &= mask
-        free = np.flatnonzero(key[slot] == 0)
-        place, at = np.unique(slot[free], return_index=True)
-        put = todo[free[at]]
-        key[place] = h[put]
-        value[place] = first + put
-        left = np.ones(len(todo), bool)
-        left[free[at]] = False
-        todo, slot = todo[left], slot[left] + 1
-
-
-def hash_index(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A table of distinct non-zero hashes to their positions."""
-    size = 1 << max(2 * len(h), 2).bit_length()
-    key, value = np.zeros(size, np.uint64), np.zeros(size, np.int32)
-    table_put(key, value, h)
-    return key, value

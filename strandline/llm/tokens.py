@@ -1,8 +1,8 @@
 """Byte-level BPE ids of whole Arrow text columns.
 
-Text is cut into pre-tokens with array operations over code points (the byte-level pattern below), every
-pre-token is looked up in a bounded per-worker lexicon by a 64-bit hash, and only pre-tokens not met before
-are merged by the library. The ids equal those of the tokenizer file read by `tokenizers`.
+Text is cut at the file's added tokens and into pre-tokens with array operations over code points, every pre-token
+is looked up by its bytes in a bounded per-worker lexicon, and only pre-tokens not met before are merged by the library.
+The ids equal those of the tokenizer file read by `tokenizers` with add_special_tokens=False.
 """
 
 from __future__ import annotations
@@ -14,10 +14,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from strandline.llm.textkernel import chunk_ranges, span_hashes, table_find, table_put, utf8
+from strandline.llm.textkernel import chunk_ranges, utf8
 
-#: The published pre-tokenisation pattern of the byte-level vocabulary.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Unicode White_Space, as published.
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 OTHER, LETTER, NUMBER, SPACE, UNKNOWN = range(5)
@@ -46,7 +44,11 @@ def byte_values() -> dict[str, int]:
 
 
 def pre_tokens(cp: np.ndarray, doc_at: np.ndarray) -> np.ndarray:
-    """Sorted start positions of the pre-tokens of documents that begin at doc_at in the code points cp."""
+    """Sorted start positions of the pre-tokens of documents that begin at doc_at in the code points cp.
+
+    The published rule, each match as long as it can be: 's, 't, 're, 've, 'm, 'll, 'd; letters, numbers or other marks, each with
+    one blank before them; white space, without its last character where something else follows.
+    """
     n = len(cp)
     kind = classes()[cp]
     head = np.zeros(n + 1, bool)
@@ -71,45 +73,58 @@ def pre_tokens(cp: np.ndarray, doc_at: np.ndarray) -> np.ndarray:
 
 
 class Lexicon:
-    """Ids of pre-tokens, kept in an open-addressing table of at most `most` entries."""
+    """Ids of pre-tokens by their bytes, for at most `most` pre-tokens at a time; merging is the library's."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 400_000):
         import tiktoken
 
-        values = byte_values()
-        vocabulary = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
-        ranks = {bytes(values[c] for c in t): i for t, i in vocabulary.items() if all(c in values for c in t) and t != "<|endoftext|>"}
-        self.bpe = tiktoken.Encoding("byte", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.most, self.size = most, 1 << (2 * most - 1).bit_length()
+        file = json.load(open(path, encoding="utf-8"))
+        values, vocabulary = byte_values(), file["model"]["vocab"]
+        self.added = {t["content"].encode(): t["id"] for t in file["added_tokens"]}
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in file["added_tokens"]):
+            raise ValueError("added tokens that take in their surroundings are not supported")
+        ranks = {bytes(values[c] for c in t): i for t, i in vocabulary.items() if all(c in values for c in t) and t.encode() not in self.added}
+        self.bpe = tiktoken.Encoding("piece", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+        self.path, self.most = path, most
         self.clear()
 
     def clear(self) -> None:
-        self.key = np.zeros(self.size, np.uint64)
-        self.value = np.zeros(self.size, np.int32)
-        self.at = np.zeros(self.most + 1, np.int64)
+        self.entry: dict[bytes, int] = {piece: k for k, piece in enumerate(self.added)}
         self.ids = np.zeros(4 * self.most, np.uint32)
-        self.n = 0
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The entry of each hash, -1 where there is none."""
-        return table_find(self.key, self.value, h)
-
-    def put(self, h: np.ndarray, pieces: list[bytes]) -> None:
-        """Add hashes that are absent and differ from each other."""
-        flat: list[int] = []
-        lengths = []
-        merge = self.bpe._encode_single_piece
-        for piece in pieces:
-            ids = merge(piece)
-            flat += ids
-            lengths.append(len(ids))
-        end = self.at[self.n]
-        if end + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), np.uint32)])
-        self.ids[end : end + len(flat)] = flat
-        self.at[self.n + 1 : self.n + len(h) + 1] = end + np.cumsum(lengths)
-        table_put(self.key, self.value, h, self.n)
-        self.n += len(h)
+        self.ids[: len(self.added)] = list(self.added.values())
+        self.at = np.arange(self.most + len(self.added) + 1)
+
+    def entries(self, pieces: list[bytes]) -> np.ndarray:
+        """The entry of each of some distinct pre-tokens, new ones merged first."""
+        entry = self.entry
+        new = [p for p in pieces if p not in entry]
+        if len(entry) + len(new) > self.most:
+            self.most = max(self.most, len(pieces) + len(self.added))
+            self.clear()
+            entry = self.entry
+            new = [p for p in pieces if p not in entry]
+        n, end = len(entry), int(self.at[len(entry)])
+        for piece in new:
+            ids = self.bpe.encode_ordinary(piece.decode())
+            if end + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
+            self.ids[end : end + len(ids)] = ids
+            end += len(ids)
+            entry[piece] = n
+            n += 1
+            self.at[n] = end
+        return np.fromiter((entry[p] for p in pieces), np.int64, len(pieces))
+
+    def added_spans(self, raw: bytes, offsets: np.ndarray) -> list[tuple[int, int]]:
+        """Byte spans of added tokens, each inside one document."""
+        out = []
+        for content in self.added:
+            p = raw.find(content)
+            while p >= 0:
+                if p + len(content) <= offsets[np.searchsorted(offsets, p, "right")]:
+                    out.append((p, p + len(content)))
+                p = raw.find(content, p + 1)
+        return sorted(out)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents in turn, and each document's first id (one more at the end)."""
@@ -121,34 +136,31 @@ class Lexicon:
         lead = np.flatnonzero((data & 0xC0) != 0x80)
         doc_at = np.searchsorted(lead, offsets)
         if (classes()[cp] == UNKNOWN).any():
-            ids = [self.bpe.encode_ordinary(raw[offsets[d] : offsets[d + 1]].decode()) for d in range(n_docs)]
+            ids = [e.ids for e in library(self.path).encode_batch([raw[offsets[d] : offsets[d + 1]].decode() for d in range(n_docs)], add_special_tokens=False)]
             return np.array([x for one in ids for x in one], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
-        start = pre_tokens(cp, doc_at)
+        spans = np.searchsorted(lead, np.array(self.added_spans(raw, offsets), np.int64).reshape(-1, 2))
+        start = pre_tokens(cp, np.unique(np.concatenate([doc_at, spans.ravel()])))
+        if len(spans):
+            within = np.searchsorted(spans[:, 0], start, "left") - 1
+            start = start[(within < 0) | (start >= spans[np.maximum(within, 0), 1])]
         a = lead[start]
-        b = np.append(a[1:], len(data))
-        h = span_hashes(data, a, b, fold=False)
-        h[h == 0] = 1
-        entry = self.find(h)
-        miss = np.flatnonzero(entry < 0)
-        if len(miss):
-            new, first = np.unique(h[miss], return_index=True)
-            if self.n + len(new) > self.most:
-                self.clear()
-                new, first = np.unique(h, return_index=True)
-                miss = np.arange(len(h))
-                if len(new) > self.most:
-                    self.most = len(new)
-                    self.size = 1 << (2 * self.most - 1).bit_length()
-                    self.clear()
-            first = miss[first]
-            self.put(new, [raw[s:e] for s, e in zip(a[first].tolist(), b[first].tolist(), strict=True)])
-            entry[miss] = self.find(h[miss])
+        places = np.append(a, len(data)).astype(np.int32)
+        coded = pa.BinaryArray.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(places), pa.py_buffer(raw)]).dictionary_encode()
+        entry = self.entries(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         n = self.at[entry + 1] - self.at[entry]
         end = np.cumsum(n)
         flat = self.ids[np.repeat(self.at[entry] - (end - n), n) + np.arange(int(end[-1]))]
         return flat, np.concatenate([[0], end])[np.searchsorted(start, doc_at)]
 
 
+@lru_cache(2)
+def library(path: str):
+    """The tokenizer file read by its library."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @lru_cache(2)
 def lexicon(path: str) -> Lexicon:
     """The worker's lexicon of a tokenizer file."""

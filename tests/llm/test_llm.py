@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,12 @@ ODD = [
 ]
 
 
+#: Two words of 1,024 letters that every polynomial hash modulo 2**64 takes for one.
+TWINS = ["a", "b"]
+for _ in range(10):
+    TWINS = [TWINS[0] + TWINS[1], TWINS[1] + TWINS[0]]
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     return spark.createDataFrame([(i, t, x, "s", len(t or ""), 0.5, 0.5, 0.5, 0.5, 0.5) for i, t, x in ODD], SCHEMA).repartition(3)
@@ -99,6 +106,37 @@ def test_components_of_long_chains(spark):
     assert got == want
 
 
+def test_words_are_told_apart(spark):
+    rows = [(1, " ".join(TWINS[0] for _ in range(5))), (2, " ".join(TWINS[1] for _ in range(5))), (3, TWINS[0]), (4, TWINS[1])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    assert {r["n"] for r in lm.word_counts(frame.select("text")).collect()} == {6}
+    left, right = pa.array(["p q r s t u v w", TWINS[0], "", "x y"]), pa.array(["P q  r s t u v w", TWINS[1], "", "x\ny"])
+    assert neardup.links_of(left, right, 5, 75).tolist() == [True, False, False, True]
+
+
+def test_sketches_pass_links():
+    """Bits of min-max signatures of pairs at similarity 0.75: the bound on differing bits leaves 5.5 deviations of room."""
+    rng = np.random.default_rng(4)
+    off = []
+    for k in range(300):
+        h = rng.integers(0, 1 << 63, 700, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        bits = []
+        for own in (h[:600], h[100:]):
+            y = own[:, None] * neardup.random_odds(100, k)[None]
+            bits.append((neardup.mix(np.stack([y.min(axis=0), y.max(axis=0)], axis=1).ravel()) & np.uint64(1))[: neardup.SKETCH])
+        off.append(int((bits[0] != bits[1]).sum()))
+    chance = (1 - 500 / 700) / 2
+    assert np.mean(off) == pytest.approx(neardup.SKETCH * chance, rel=0.05) and max(off) < neardup.SKETCH * 0.125 + 5.5 * (neardup.SKETCH * 0.125 * 0.875) ** 0.5
+
+
+def test_near_duplicates_across_blocks_of_a_bucket(spark):
+    base = [f"t{i}" for i in range(84)]
+    rows = [(100 - k, " ".join(base[:60] + [f"z{k}_{j}" if j < 2 * k else base[60 + j] for j in range(24)])) for k in range(12)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=2).collect()}
+    assert got == brute_components(rows)
+
+
 def test_near_duplicates_of_drifting_texts(spark):
     rows = [(k + 1, " ".join(f"t{i}" for i in range(3 * k, 3 * k + 40))) for k in range(160)]
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -116,12 +154,10 @@ def test_near_duplicates_odd(odd, empty):
 
 
 def test_tokens_equal_the_library():
-    import pyarrow as pa
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_path())
-    t.encode_special_tokens = True
-    texts = [x for _, x, _ in ODD if x and len(x) < 100_000] + ["don't we'll  it's 'tis ''s 're'd", "\n\n  x \n y\t\tz", " 's  's\n's", "naïve café’s ½ ² 𝒳 😀😀", "  ", "a'd'll'veb"]
+    texts = [x for _, x, _ in ODD if x and len(x) < 100_000] + ["don't we'll  it's 'tis ''s 're'd", "\n\n  x \n y\t\tz", " 's  's\n's", "naïve café’s ½ ² 𝒳 😀😀", "  ", "a'd'll'veb", "x<|endoftext|>y", "a  <|endoftext|> 's<|endof", "text|><|endoftext|>", *TWINS, "\u0378 <|endoftext|>"]
     got = []
     for i, j, ids, at in tokens.encode_column(pa.array(texts), tokens.default_path()):
         got += [ids[at[k] : at[k + 1]].tolist() for k in range(j - i)]
@@ -159,9 +195,8 @@ def test_first_fit_decreasing_places_first():
 
 
 def test_token_counts_round_trip(docs, odd, empty):
-    lex = tokens.lexicon(tokens.default_path())
     for frame in (docs, odd):
-        want = sorted(len(lex.bpe.encode_ordinary(r["text"] or "")) for r in frame.select("text").collect())
+        want = sorted(len(e.ids) for e in tokens.library(tokens.default_path()).encode_batch([r["text"] or "" for r in frame.select("text").collect()], add_special_tokens=False))
         got = tokencount.count_documents(frame).toPandas()
         assert sorted(got.n_tokens) == want and got.closed.all()
     assert tokencount.count_documents(empty).count() == 0
@@ -301,20 +336,57 @@ def test_language_model_base_and_gain(spark, odd, empty):
     assert lm.score_documents(empty).count() == 0
 
 
-def test_class_probabilities_sum_to_one(docs):
-    train = docs.select("text")
-    counts = lm.word_counts(train)
-    m = lm.fit(train, counts, classes=6, top=50, middle=200, bands=2, lexicon_words=400)
-    kinds = len(m.total)
-    emitted = np.bincount(m.cls, m.counts + lm.ADD, kinds)
-    rare = counts.where(F.col("n") < m.least).agg(F.sum("n"), F.count("*")).first()
-    emitted[kinds - 1] = rare[0] + lm.ADD * (rare[1] + 1)
-    emitted[kinds - 2] = m.ends + lm.ADD
-    some = emitted > 0
-    assert np.log10(emitted[some]) == pytest.approx(m.total[some], abs=1e-9)
+def test_language_model_equals_naive_class_model(docs):
+    """Classes as found; everything else by plain loops over words."""
+    rows = [(r["doc_id"], words(r["text"])) for r in docs.limit(60).collect()]
+    frame = docs.sparkSession.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    small = dict(classes=6, top=40, sweeps=2)
+    got = {r["doc_id"]: r for r in lm.score_documents(frame, lexicon_words=300, **small).collect()}
+    train = [(i, w) for i, w in rows if zlib.crc32(str(i).encode()) % 10]
+    count = Counter(x for _, w in train for x in w)
+    kept = {}
+    for n in sorted(set(count.values()), reverse=True):
+        more = [w for w, c in count.items() if c == n]
+        if len(kept) + len(more) > 300:
+            break
+        kept |= dict.fromkeys(more)
+    names = sorted(kept, key=lambda w: (-count[w], w.encode()))
+    own = np.array([count[w] for w in names])
+    number = {w: k for k, w in enumerate(names)}
+    code = [[*(number.get(x, lm.REST) for x in w), lm.END] for _, w in train]
+    coded = docs.sparkSession.createDataFrame([(c,) for c in code], "codes array<int>")
+    m = lm.fit(coded, own, (sum(count.values()), len(count)), len(train), **small)
+    kinds = 8
+    of = lambda x: kinds - 2 if x == lm.END else kinds - 1 if x == lm.REST else int(m.cls[x])
+    trans, emitted, members = np.zeros((kinds, kinds)), np.zeros(kinds), [set() for _ in range(kinds)]
+    for (_, w), c in zip(train, code, strict=True):
+        before = kinds - 2
+        for name, x in zip([*w, "</s>"], c, strict=True):
+            trans[before, of(x)] += 1
+            emitted[of(x)] += 1
+            members[of(x)].add(name)
+            before = of(x)
+    members[kinds - 1].add("<new>")
+    base = (trans.sum(axis=0) + 0.1) / (trans.sum() + 0.1 * kinds)
+    for i, w in rows:
+        before, total = kinds - 2, 0.0
+        for x, name in zip([*(number.get(x, lm.REST) for x in w), lm.END], [*w, None], strict=True):
+            c = of(x)
+            keep = trans[before].sum() / max(trans[before].sum() + (trans[before] > 0).sum(), 1)
+            total += np.log10(keep * trans[before, c] / max(trans[before].sum(), 1) + (1 - keep) * base[c])
+            if name is not None:
+                total += np.log10((count[name] + 0.1) / (emitted[c] + 0.1 * len(members[c])))
+            before = c
+        assert got[i]["score"] == pytest.approx(total, rel=1e-9)
     assert (10**m.transition).sum(axis=1) == pytest.approx(np.ones(kinds), abs=1e-9)
 
 
+def test_sweeps_put_words_of_like_use_together():
+    between = np.array([[1, 90, 5, 4], [90, 1, 5, 4], [5, 5, 0, 0], [4, 4, 0, 0]], float)
+    contexts = np.array([[[9, 0, 0, 0], [8, 0, 0, 0]], [[0, 9, 0, 0], [0, 8, 0, 0]]], float)
+    assert lm.best_classes(contexts, between, 2).tolist() == [1, 0]
+
+
 def test_exchange_groups_words_of_like_use():
     pairs = np.zeros((8, 8), int)
     for a in (0, 2, 4):

@@ -250,11 +250,11 @@ def _dense(df: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def lexicon(counts: DataFrame, most: int) -> tuple[pa.Array, np.ndarray, int]:
-    """Words above the lowest count that keeps them at most `most`, by falling count, their counts, and that count."""
+def lexicon(counts: DataFrame, most: int, least_count: int) -> tuple[pa.Array, np.ndarray, int]:
+    """Words of least_count or, if more, the lowest count that keeps them at most `most`, by falling count, their counts, and that count."""
     by_count = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most).toPandas()
     fits = by_count["n"].to_numpy(np.int64)[by_count["words"].cumsum().to_numpy() <= most]
-    least = int(fits[-1]) if len(fits) else 1 << 62
+    least = max(int(fits[-1]), least_count) if len(fits) else 1 << 62
     got = counts.where(F.col("n") >= least).select("w", F.col("n").cast("long").alias("n")).toArrow().sort_by([("n", "descending"), ("w", "ascending")])
     return got["w"].combine_chunks().cast(pa.string()), got["n"].to_numpy(), least
 
@@ -326,19 +326,20 @@ def _score(shared):
     return run
 
 
-def score_documents(docs: DataFrame, folds: int = 10, lexicon_words: int = 1 << 18, **sizes: int) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 10, lexicon_words: int = 1 << 18, least_count: int = 3, **sizes: int) -> DataFrame:
     """Scores of every row of documents(doc_id, text, ...), learnt from ids whose crc32 is not 0 modulo folds.
 
     Returns doc_id, held_out, n_tokens (words and one end), n_known, train_tokens, base_score (smoothed unigrams) and score (the class
     model), both log10 of the text's probability. Null texts count as empty: the end token alone. Repeated rows score
-    alike; extra columns are ignored. Without training rows both models know no word.
+    alike; extra columns are ignored. Without training rows both models know no word. Words met less than least_count times
+    share the class of those beyond the lexicon, at every size: they tell how likely new words are.
     """
     held = F.pmod(id_crc(), F.lit(folds)) == 0
     frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~held).alias("train"), F.col("text").cast("string").alias("text"))
     counts = materialize(word_counts(frame.where("train").select("text")), "lm-words")
     totals = counts.agg(F.sum("n"), F.count("*")).first()
     whole = int(totals[0] or 0), int(totals[1])
-    words, own, least = lexicon(counts, lexicon_words)
+    words, own, least = lexicon(counts, lexicon_words, least_count)
     context = docs.sparkSession.sparkContext
     coded = materialize(frame.mapInArrow(_encode(context.broadcast(words)), CODED), "lm-codes")
     train = coded.where("train").select("codes")

@@ -341,7 +341,7 @@ def test_language_model_equals_naive_class_model(docs):
     rows = [(r["doc_id"], words(r["text"])) for r in docs.limit(60).collect()]
     frame = docs.sparkSession.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
     small = dict(classes=6, top=40, sweeps=2)
-    got = {r["doc_id"]: r for r in lm.score_documents(frame, lexicon_words=300, **small).collect()}
+    got = {r["doc_id"]: r for r in lm.score_documents(frame, lexicon_words=300, least_count=1, **small).collect()}
     train = [(i, w) for i, w in rows if zlib.crc32(str(i).encode()) % 10]
     count = Counter(x for _, w in train for x in w)
     kept = {}

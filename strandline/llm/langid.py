@@ -19,60 +19,64 @@ from strandline.llm.common import id_crc
 from strandline.llm.textkernel import chunk_ranges, utf8
 from strandline.llm.tokens import LETTER, classes
 
-SYMBOLS = 64
-#: Bytes of text in a chunk; a chunk counts every n-gram it holds for each of its documents.
-CHUNK = 1 << 19
+#: Bytes of text in a chunk, and n-gram kinds whose vectors are held at a time.
+CHUNK, KINDS = 1 << 19, 8192
 
 
 @lru_cache(1)
-def symbols() -> np.ndarray:
-    """A small alphabet over all code points: 0 for non-letters, 1 to 26 for a to z in either case, the other letters dealt to the rest by their lower-case code."""
-    letter = classes() == LETTER
-    lower = np.arange(0x110000, dtype=np.int64)
-    for i in np.flatnonzero(letter[:0x3000]).tolist():
+def letters() -> np.ndarray:
+    """The lower-case code point of each letter, 0 for all else."""
+    out = np.where(classes() == LETTER, np.arange(0x110000), 0)
+    for i in np.flatnonzero(out).tolist():
         low = chr(i).lower()
-        lower[i] = ord(low) if len(low) == 1 else i
-    out = 27 + (lower * 2654435761 >> 7) % (SYMBOLS - 27)
-    plain = (lower >= 97) & (lower <= 122)
-    out[plain] = lower[plain] - 96
-    out[~letter] = 0
-    return out.astype(np.uint8)
+        if len(low) == 1:
+            out[i] = ord(low)
+    return out.astype(np.int32)
 
 
-@lru_cache(2)
-def letter_vectors(dim: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    base = np.random.Generator(np.random.PCG64(seed)).choice(np.array([-1, 1], np.float32), (SYMBOLS, dim))
-    return np.roll(base, 2, 1), np.roll(base, 1, 1), base
+@lru_cache(1 << 17)
+def letter_vector(letter: int, dim: int, seed: int) -> np.ndarray:
+    """A letter's own random signs; what is no letter has a vector too, that of 0."""
+    return np.random.Generator(np.random.PCG64([seed, letter])).integers(0, 2, dim, dtype=np.int8) * 2 - 1
 
 
 def bundles(data: np.ndarray, offsets: np.ndarray, dim: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """The vector of each document, and whether it has a letter."""
     n = len(offsets) - 1
+    total, some = np.zeros((n, dim), np.float32), np.zeros(n, bool)
     if not len(data):
-        return np.zeros((n, dim), np.float32), np.zeros(n, bool)
-    s = symbols()[np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)]
+        return total, some
+    s = letters()[np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)]
+    alphabet, s = np.unique(s, return_inverse=True)
+    if alphabet[0] != 0:
+        alphabet, s = np.append(0, alphabet), s + 1
+    size = len(alphabet)
     at = np.searchsorted(np.flatnonzero((data & 0xC0) != 0x80), offsets)
     # each document as 0 letters 0 letters ... 0
-    wide = np.zeros(len(s) + 2 * n, np.uint8)
+    wide = np.zeros(len(s) + 2 * n, np.int64)
     owner = np.repeat(np.arange(n), np.diff(at))
     wide[np.arange(len(s)) + 2 * owner + 1] = s
     doc = np.repeat(np.arange(n), np.diff(at) + 2)
     keep = np.ones(len(wide), bool)
     keep[1:] = (wide[1:] != 0) | (wide[:-1] != 0)
-    wide, doc = wide[keep].astype(np.int32), doc[keep]
+    wide, doc = wide[keep], doc[keep]
     mid = np.flatnonzero(wide[1:-1]) + 1
-    gram, doc = wide[mid - 1] * (SYMBOLS * SYMBOLS) + wide[mid] * SYMBOLS + wide[mid + 1], doc[mid]
-    seen = np.zeros(SYMBOLS**3, bool)
-    seen[gram] = True
-    kinds = np.flatnonzero(seen)
-    if not len(kinds):
-        return np.zeros((n, dim), np.float32), np.zeros(n, bool)
-    place = np.zeros(SYMBOLS**3, np.int32)
-    place[kinds] = np.arange(len(kinds))
-    counts = np.bincount(doc * len(kinds) + place[gram], minlength=n * len(kinds)).reshape(n, len(kinds)).astype(np.float32)
-    a, b, c = letter_vectors(dim, seed)
-    vectors = a[kinds // (SYMBOLS * SYMBOLS)] * b[kinds // SYMBOLS % SYMBOLS] * c[kinds % SYMBOLS]
-    return counts @ vectors, counts.any(axis=1)
+    kinds, gram = np.unique((wide[mid - 1] * size + wide[mid]) * size + wide[mid + 1], return_inverse=True)
+    doc = doc[mid]
+    some[doc] = True
+    base = np.stack([letter_vector(int(x), dim, seed) for x in alphabet]).astype(np.float32)
+    first, second = np.roll(base, 2, 1), np.roll(base, 1, 1)
+    order = np.argsort(gram, kind="stable") if len(kinds) > KINDS else None
+    for lo in range(0, len(kinds), KINDS):
+        part = kinds[lo : lo + KINDS]
+        if order is None:
+            g, d = gram, doc
+        else:
+            own = order[np.searchsorted(gram[order], lo) : np.searchsorted(gram[order], lo + len(part))]
+            g, d = gram[own] - lo, doc[own]
+        counts = np.bincount(d * len(part) + g, minlength=n * len(part)).reshape(n, len(part)).astype(np.float32)
+        total += counts @ (first[part // (size * size)] * second[part // size % size] * base[part % size])
+    return total, some
 
 
 def _profile(dim: int, seed: int):
@@ -93,8 +97,8 @@ def _profile(dim: int, seed: int):
 def fit_profiles(docs: DataFrame, dim: int = 512, seed: int = 11, rows_per_lang: int = 20_000) -> tuple[list[str], np.ndarray]:
     """Languages in order and their unit prototypes, from documents (text, lang) with a language.
 
-    At most about rows_per_lang documents of a language are used, chosen by a hash of text and lang. What reaches the driver is
-    one vector per language.
+    At most about rows_per_lang documents of a language are used, chosen by a hash of their text; copies of a text go together.
+    What reaches the driver is one vector for each language.
     """
     known = docs.where("lang is not null and text is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     share = {r["lang"]: min(1.0, rows_per_lang / r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}

@@ -1,10 +1,12 @@
 """Mixing documents to target domain weights with soft memberships.
 
-A classifier learnt from a labelled table gives every document posteriors over domains. Nonnegative rates, one for
-each document, are then fitted so that the expected token totals of the domains meet targets: least squares on the
-totals with a small pull of each rate to 1, by accelerated projected gradient steps. Each step is one pass over
-the documents' posteriors that returns as many sums as there are domains; a document's own rate follows
-from its posteriors and the history of those sums, so no rate is stored between steps.
+A classifier learnt from a labelled table gives every document posteriors over domains. Rates between 0 and a most
+that a document may be repeated, one for each document, are then fitted so that the expected token totals of the domains
+meet targets: least squares on the totals, each relative to the domain's present one, with a small pull of each rate
+to 1, by accelerated projected gradient steps. The domain of the largest weight keeps its total and so sets the others';
+one too scarce for its target is repeated as far as rates go, and otherwise misses it. Each step is one pass over the
+documents' posteriors that returns as many sums as there are domains; a document's own rate follows from its posteriors
+and the history of those sums, so no rate is stored between steps. Tokens are those of the tokenizer that packing uses.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from strandline.llm.common import materialize
 from strandline.llm.quality import FEATURES, statistics
 from strandline.llm.textkernel import chunk_ranges, span_hashes, utf8, word_spans
+from strandline.llm.tokens import default_path, encode_column
 
 HASHED = 1 << 16
 #: A document's words weigh one over this power of their number.
@@ -30,15 +33,15 @@ DOMAINS = ("good", "poor", "toxic")
 TARGETS = (0.90, 0.08, 0.02)
 
 
-def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashed words of each document, without a mark at either end (flat, and where each document's begin), its statistics, and its words."""
+def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashed words of each document, without a mark at either end (flat, and where each document's begin), and its statistics."""
     n = len(off) - 1
     s, e, at = word_spans(data, off)
     s, e = s + (_MARK[data[s]] & (e - s > 1)), e - (_MARK[data[e - 1]] & (e - s > 2))
     w = span_hashes(data, s, e)
     doc = np.repeat(np.arange(n), np.diff(at))
     key = np.unique(doc * HASHED + (w >> np.uint64(40)).astype(np.int64) % HASHED)
-    return key % HASHED, np.searchsorted(key, np.arange(n + 1) * HASHED), statistics(data, off), np.diff(at)
+    return key % HASHED, np.searchsorted(key, np.arange(n + 1) * HASHED), statistics(data, off)
 
 
 @dataclass
@@ -65,21 +68,21 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = utf8(batch.column(1))
         for i, j in chunk_ranges(off):
-            ids, at, stats, _ = features(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            ids, at, stats = features(data[off[i] : off[j]], off[i : j + 1] - off[i])
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists, pa.array([s.tobytes() for s in stats], pa.binary())], ["domain", "ids", "stats"])
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, label_rows: int = 12_000, epochs: int = 12, seed: int = 9) -> Classifier:
-    """Fit on at most about label_rows documents of labels(doc_id, domain), chosen by a hash of the id; domain counts from 0, other rows do not count."""
+    """Fit on at most about label_rows documents of labels(doc_id, domain), chosen by a hash of the id; domain counts from 0, other rows do not count, and of an id's labels the last domain does."""
     k = len(DOMAINS)
-    own = labels.where(F.col("domain").between(0, k - 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain").cast("int").alias("domain")).dropDuplicates(["doc_id"])
+    own = labels.where(F.col("domain").between(0, k - 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain").cast("int").alias("domain")).groupBy("doc_id").agg(F.max("domain").alias("domain"))
     n = own.count()
     if n > label_rows:
         own = own.where(F.pmod(F.xxhash64("doc_id", F.lit("mixing")), F.lit(1_000_000)) < 1e6 * label_rows / n)
-    own = own.limit(2 * label_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own), "doc_id")
-    got = rows.select("domain", "text", "doc_id").mapInArrow(_extract, "domain int, ids array<int>, stats binary").limit(2 * label_rows).toArrow().combine_chunks()
+    # of documents with the same id the first by text, so that repeated rows do not outgrow the sample
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own), "doc_id").groupBy("doc_id").agg(F.min("domain").alias("domain"), F.min("text").alias("text"))
+    got = rows.select("domain", "text").mapInArrow(_extract, "domain int, ids array<int>, stats binary").toArrow().combine_chunks()
     model = Classifier(np.zeros((HASHED, k)), np.zeros((len(FEATURES), k)), np.zeros(k), np.zeros(len(FEATURES)), np.ones(len(FEATURES)))
     if not got.num_rows:
         return model
@@ -117,13 +120,16 @@ class Rates:
     """The gradient history that gives a document's rate from its posteriors."""
 
     pull: float
+    most: float
     gradients: list[np.ndarray] = field(default_factory=list)
+    target: np.ndarray | None = None
+    reached: np.ndarray | None = None
 
     def of(self, p: np.ndarray) -> np.ndarray:
         r = y = np.ones(len(p))
         step, t = 1 / (1 + self.pull), 1.0
         for g in self.gradients:
-            new = np.maximum(0, y - step * (p @ g + self.pull * (y - 1)))
+            new = np.clip(y - step * (p @ g + self.pull * (y - 1)), 0, self.most)
             after = (1 + np.sqrt(1 + 4 * t * t)) / 2
             y, r, t = new + (t - 1) / after * (new - r), new, after
         self.ahead = y
@@ -145,39 +151,51 @@ def _sums(rates: Rates):
     return run
 
 
-def fit_rates(members: DataFrame, weights: tuple[float, ...] = TARGETS, pull: float = 0.002, most: int = 40, close: float = 2e-3) -> Rates:
-    """Rates for members(p, n_tokens) whose expected domain totals meet the weights.
+def targets_of(now: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Target totals in the ratio of the weights: the domain of the largest weight that has any tokens keeps its own."""
+    w = weights / weights.sum()
+    some = np.flatnonzero((w > 0) & (now > 0))
+    return w * (now[some[w[some].argmax()]] / w[some].max()) if len(some) else np.zeros(len(w))
 
-    The targets' sum is the largest that needs no domain's total raised, so rates above 1 stay few and small.
+
+def fit_rates(members: DataFrame, weights: tuple[float, ...] = TARGETS, pull: float = 0.001, most: float = 4.0, steps: int = 100, close: float = 2e-3) -> Rates:
+    """Rates for members(p, n_tokens) whose expected domain totals meet the weights, none above `most`.
+
+    Steps end when the totals are within `close` of all targets, or where they no longer move because rates are at their bounds;
+    totals that still move after `steps` are an error.
     """
-    w = np.array(weights) / sum(weights)
-    rates = Rates(pull)
-    k = len(w)
-    target = whole = None
-    for _ in range(most):
+    rates = Rates(pull, most)
+    k = len(weights)
+    scale = last = None
+    still = 0
+    for _ in range(steps):
         rows = members.mapInArrow(_sums(rates), "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()
         x = np.zeros(2 * k)
         for r in rows:
             x[r["k"]] = r["x"]
         now, ahead = x[:k], x[k:]
-        if target is None:
-            whole = max(float(now.sum()), 1.0)
-            some = (w > 0) & (now > 0)
-            target = w * (min(now[some] / w[some]) if some.any() else 0.0)
-        if np.abs(now - target).max() <= close * whole:
-            break
-        rates.gradients.append((ahead - target) / whole)
-    return rates
+        if scale is None:
+            rates.target, scale = targets_of(now, np.array(weights, float)), np.maximum(now, 1.0)
+        rates.reached = now
+        whole = max(float(rates.target.sum()), 1.0)
+        still = still + 1 if last is not None and np.abs(now - last).max() <= 0.05 * close * whole else 0
+        if np.abs(now - rates.target).max() <= close * whole or still >= 3:
+            return rates
+        last = now
+        rates.gradients.append(np.where(now > 0, (ahead - rates.target) / scale, 0.0))
+    raise RuntimeError(f"mixing rates did not settle in {steps} steps: totals {now.tolist()}, targets {rates.target.tolist()}")
 
 
-def _posteriors(model: Classifier):
+def _posteriors(model: Classifier, column: int, path: str):
+    """Adds p and n_tokens to rows whose text is in a column."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = utf8(batch.column(1))
-            for i, j in chunk_ranges(off):
-                ids, at, stats, words = features(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            data, off = utf8(batch.column(column))
+            for i, j, token_ids, token_at in encode_column(batch.column(column), path):
+                ids, at, stats = features(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 p = model.posteriors(ids, at, stats)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in p], pa.binary()), pa.array(words, pa.int64())], ["doc_id", "p", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), pa.array([x.tobytes() for x in p], pa.binary()), pa.array(np.diff(token_at).astype(np.int64))], [*batch.schema.names, "_p", "_n_tokens"])
 
     return run
 
@@ -205,40 +223,42 @@ def copies(rate: str, doc_id: str):
     return F.floor(F.col(rate) + u).cast("int")
 
 
-def fit(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = TARGETS) -> tuple[Classifier, DataFrame, Rates]:
+def schema_of(df: DataFrame) -> str:
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields)
+
+
+def fit(docs: DataFrame, labels: DataFrame, keep: list[str], weights: tuple[float, ...] = TARGETS, path: str | None = None) -> tuple[DataFrame, Rates]:
+    """The columns `keep` of docs with posteriors _p and _n_tokens, written once, and the rates."""
     model = fit_classifier(docs, domain_labels(labels))
-    frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    members = materialize(frame.mapInArrow(_posteriors(model), "doc_id long, p binary, n_tokens long"), "mix-members")
-    return model, members, fit_rates(members.select("p", "n_tokens"), weights)
+    frame = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").cast("string").alias("text"))
+    rows = frame.mapInArrow(_posteriors(model, frame.columns.index("text"), path or default_path()), schema_of(frame) + "_p binary, _n_tokens long")
+    members = materialize(rows.select(*keep, "_p", "_n_tokens"), "mix-members")
+    return members, fit_rates(members.select("_p", "_n_tokens"), weights)
 
 
 def mixture(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = TARGETS) -> DataFrame:
-    """doc_id, n_tokens (words), posteriors p_<domain>, rate and copies of every row of documents(doc_id, text, ...).
+    """doc_id, n_tokens, posteriors p_<domain>, rate and copies of every row of documents(doc_id, text, ...).
 
     Null texts count as empty: no tokens, and the posteriors of their statistics. Without labels all posteriors are equal,
-    and rates only follow the totals. Repeated rows have equal rates; extra columns are ignored.
+    and rates only follow the totals. Repeated rows have equal rates and copies; extra columns are ignored.
     """
-    _, members, rates = fit(docs, labels, weights)
-    out = members.mapInArrow(_rated(rates), "doc_id long, n_tokens long, " + "".join(f"p_{d} double, " for d in DOMAINS) + "rate double")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    members, rates = fit(docs, labels, ["doc_id"], weights)
+    out = members.select("doc_id", "_p", "_n_tokens").mapInArrow(_rated(rates), "doc_id long, n_tokens long, " + "".join(f"p_{d} double, " for d in DOMAINS) + "rate double")
     return out.withColumn("copies", copies("rate", "doc_id"))
 
 
-def _rate_column(model: Classifier, rates: Rates, column: int):
+def _rate_column(rates: Rates):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = utf8(batch.column(column))
-            out = [np.zeros(0)]
-            for i, j in chunk_ranges(off):
-                ids, at, stats, _ = features(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                out.append(rates.of(model.posteriors(ids, at, stats)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out))], [*batch.schema.names, "_rate"])
+            p = np.frombuffer(b"".join(batch.column(batch.num_columns - 2).to_pylist()), np.float64).reshape(-1, len(DOMAINS))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(rates.of(p))], [*batch.schema.names[:-2], "_rate"])
 
     return run
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = TARGETS) -> DataFrame:
-    """docs with each row as often as its copies say, other columns as they are."""
-    model, _, rates = fit(docs, labels, weights)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _rate double"
-    rated = docs.mapInArrow(_rate_column(model, rates, docs.columns.index("text")), schema).withColumn("_copies", copies("_rate", "doc_id")).where("_copies > 0")
+    """docs with each row as often as its copies say, other columns as they are; rows are handled as mixture says."""
+    members, rates = fit(docs, labels, docs.columns, weights)
+    rated = members.mapInArrow(_rate_column(rates), schema_of(docs) + "_rate double").withColumn("_copies", copies("_rate", "doc_id")).where("_copies > 0")
     return rated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -29,7 +29,9 @@ def _distinct(owner: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.
     at = np.flatnonzero(new)
     who = (key[at] >> np.uint64(50)).astype(np.int64)
     top = np.zeros(n)
-    np.maximum.at(top, who, np.diff(np.append(at, len(key))))
+    if len(at):
+        first = np.flatnonzero(np.diff(who, prepend=-1))
+        top[who[first]] = np.maximum.reduceat(np.diff(np.append(at, len(key))), first)
     return np.bincount(who, minlength=n).astype(float), top
 
 
@@ -160,7 +162,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, label_rows
     """doc_id, held_out, score and predicted of every document.
 
     Labels (doc_id, quality) teach only for ids whose crc32 is not 0 modulo folds, at most about label_rows
-    of them, chosen by a hash of the id; a repeated label counts as often, a null one not at all. Null texts count
+    of them, chosen by a hash of the id; a repeated label counts as often (16 times at most, a weight), a null one not at all.
+    Of documents with the same id one, by its statistics, is learnt from. Null texts count
     as empty, and empty ones get the score of their statistics. Without usable labels every score is 0.5, or near
     the one label there is.
     """
@@ -170,7 +173,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, label_rows
     n = y.count()
     if n > label_rows:
         y = y.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_000)) < 1e6 * label_rows / n)
-    rows = y.join(x, "doc_id").select("doc_id", "x", "y").limit(2 * label_rows).toPandas().sort_values(["doc_id", "y"])
+    # one row a document and label value, so that neither repeated documents nor repeated labels outgrow the sample
+    rows = y.groupBy("doc_id", "y").agg(F.count("*").alias("times")).join(x, "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x"), F.min("times").alias("times")).toPandas().sort_values(["doc_id", "y"])
+    rows = rows.loc[rows.index.repeat(rows["times"].clip(upper=16))]
     matrix = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), len(FEATURES))
     trees = fit_trees(matrix, rows["y"].to_numpy(float))
     scored = x.select("doc_id", held.alias("held_out"), "x").mapInArrow(_score(trees), "doc_id long, held_out boolean, score double")

@@ -225,6 +225,39 @@ def test_languages_held_out(docs, odd, empty):
     assert {r["lang_pred"] for r in langid.held_out_languages(unlabelled).collect()} == {"und"}
 
 
+def test_language_profiles_equal_plain_loops(spark):
+    rows = [(1, "Ab, cd é", "x"), (2, "жук abc", "y"), (3, "日本 日", "x"), (4, "abé", None), (5, None, "y")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    dim, seed = 64, 3
+
+    def bundle(text):
+        out = np.zeros(dim)
+        for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            v = [langid.letter_vector(x, dim, seed).astype(float) for x in (0, *map(ord, word), 0)]
+            out += sum(np.roll(a, 2) * np.roll(b, 1) * c for a, b, c in zip(v, v[1:], v[2:]))
+        return out
+
+    names, prototypes = langid.fit_profiles(frame, dim, seed)
+    want = np.stack([sum(bundle(t) for _, t, x in rows if x == name) for name in ("x", "y")])
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    assert names == ["x", "y"] and prototypes == pytest.approx(want, abs=1e-6)
+    for r in langid.identify(frame, frame, ["doc_id", "text"], dim, seed).collect():
+        v = bundle(r["text"])
+        if not v.any():
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+        else:
+            cosine = want @ v / np.linalg.norm(v)
+            assert r["lang_pred"] == names[cosine.argmax()] and r["score"] == pytest.approx(max(cosine.max(), 0), abs=1e-6)
+
+
+def test_language_profiles_of_many_kinds(monkeypatch):
+    data = np.frombuffer("the quick brown fox and other long words жук".encode(), np.uint8)
+    off = np.array([0, 20, len(data)])
+    want = langid.bundles(data, off, 32, 1)[0]
+    monkeypatch.setattr(langid, "KINDS", 5)
+    assert langid.bundles(data, off, 32, 1)[0] == pytest.approx(want)
+
+
 def test_quality_held_out(spark, docs, labels, odd, empty):
     big, more = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = quality.score_quality(big, more).join(more, "doc_id").where("held_out").toPandas()
@@ -414,14 +447,39 @@ def test_copies_keep_the_expected_total(spark, rate):
     assert got == pytest.approx(rate, abs=0.006)
 
 
-def test_copies_meet_targets_on_a_skewed_corpus(spark):
-    p = np.repeat([[0.98, 0.01, 0.01], [0.01, 0.98, 0.01], [0.01, 0.01, 0.98]], [6_000, 6_000, 3_000], axis=0)
-    frame = spark.createDataFrame([(i, x.tobytes(), 50) for i, x in enumerate(p)], "doc_id long, p binary, n_tokens long")
+def dense_rates(p, tokens_, weights, pull, most):
+    """Plain projected gradient on all rates at once."""
+    r = np.ones(len(p))
+    scale = np.maximum(tokens_ @ p, 1)
+    target = mixing.targets_of(tokens_ @ p, np.array(weights))
+    for _ in range(20_000):
+        r = np.clip(r - (p @ (((r * tokens_) @ p - target) / scale) + pull * (r - 1)) / (1 + pull), 0, most)
+    return r, target
+
+
+@pytest.mark.parametrize("sizes", [(6_000, 6_000, 3_000), (9_000, 900, 9), (3_000, 9_000, 600)])
+def test_copies_meet_targets_on_skewed_corpora(spark, sizes):
+    rng = np.random.default_rng(2)
+    p = np.concatenate([rng.dirichlet([20 if d == k else 0.5 for d in range(3)], n) for k, n in enumerate(sizes)])
+    tokens_ = rng.integers(20, 80, len(p))
+    frame = spark.createDataFrame([(i, x.tobytes(), int(n)) for i, (x, n) in enumerate(zip(p, tokens_, strict=True))], "doc_id long, p binary, n_tokens long")
     rates = mixing.fit_rates(frame.select("p", "n_tokens"), mixing.TARGETS)
     rated = frame.mapInArrow(mixing._rated(rates), "doc_id long, n_tokens long, p_good double, p_poor double, p_toxic double, rate double")
-    got = rated.withColumn("copies", mixing.copies("rate", "doc_id")).toPandas()
-    total = (got.copies * got.n_tokens).to_numpy() @ got[["p_good", "p_poor", "p_toxic"]].to_numpy()
-    assert total / total.sum() == pytest.approx(np.array(mixing.TARGETS), abs=0.01)
+    got = rated.withColumn("copies", mixing.copies("rate", "doc_id")).toPandas().sort_values("doc_id")
+    want, target = dense_rates(p, tokens_, mixing.TARGETS, rates.pull, rates.most)
+    assert (want * tokens_) @ p == pytest.approx((got.rate * got.n_tokens).to_numpy() @ p, rel=0.02, abs=0.004 * target.sum())
+    # steps end near the optimum, which is flat in single rates
+    assert np.abs(got.rate - want).mean() < 0.05 and got.rate.max() <= rates.most
+    total = (got.copies * got.n_tokens).to_numpy() @ p
+    assert total[0] == pytest.approx(float(tokens_ @ p[:, 0]), rel=0.02)
+    if min(sizes) > 100:
+        assert total / total.sum() == pytest.approx(np.array(mixing.TARGETS), abs=0.012)
+
+
+def test_mixing_counts_the_tokens_that_packing_packs(docs, labels):
+    got = {r["doc_id"]: r["n_tokens"] for r in mixing.mixture(docs, labels).collect()}
+    packed = {r["doc_id"]: r["doc_tokens"] for r in packing.pack(docs).collect()}
+    assert {i: n + 1 for i, n in got.items()} == packed
 
 
 def test_pipeline(spark):

@@ -22,14 +22,27 @@ BROADCAST_IDS = 1_000_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told; those without text or without a letter go."""
+    """Documents whose letters look like one of the languages that labelled documents have.
+
+    A document goes if it has no letter, or if its cosine with every language is below half of what 99 of 100 labelled documents
+    reach with their own: noise of letters. Null and empty texts go; very long ones are read whole; repeated rows fare alike;
+    other columns than those of documents are dropped. Without labelled documents every one with a letter stays.
+    """
     small_batches(spark)
     docs = docs.select(*COLUMNS)
-    return identify(docs, docs, COLUMNS).where("lang_pred <> 'und'").select(*COLUMNS)
+    scored = materialize(identify(docs, docs, COLUMNS), "stage-languages")
+    own = scored.where("lang = lang_pred")
+    if own.isEmpty():
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    cut = own.approxQuantile("score", [0.01], 0.002)[0] / 2
+    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= cut)).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id, once."""
+    """One document of each near-duplicate group: the one with the smallest doc_id, once.
+
+    Null and empty texts are in no group and stay, as do null ids; of rows with the same id one stays, the first by a hash of its text.
+    """
     small_batches(spark)
     docs = docs.select(*COLUMNS)
     groups = materialize(near_duplicates(docs), "stage-groups")
@@ -47,18 +60,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with every personal data span replaced by its kind."""
+    """Documents with every personal data span replaced by its kind, n_chars renewed; null texts, empty ones and repeated rows stay as they are."""
     small_batches(spark)
     return mask(docs.select(*COLUMNS))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their fitted rates say; good ones stay once, poor and toxic ones are thinned to their target weight."""
+    """Documents as often as their fitted rates say: the good ones keep their tokens, poor and toxic ones get their target weight.
+
+    Null and empty texts have no tokens and rates of their statistics; repeated rows fare alike. Without labels all posteriors are equal.
+    """
     return mix(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 1024 tokens."""
+    """Pieces of all documents in sequences of 1024 tokens; null and empty texts are one piece with the end alone."""
     small_batches(spark)
     return pack(docs)
 

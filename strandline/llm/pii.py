@@ -12,6 +12,7 @@ Exact-pattern spans are always kept; the classifier adds loose ones that overlap
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -160,6 +161,24 @@ def shape_code(t: str, kind: int, s: int, e: int) -> int:
 Found = tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]
 
 
+class Taken:
+    """What spans (start, kind, end) in order of start cover, as separate stretches, so that a question is one bisection."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, _, e in spans:
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, s: int, e: int) -> bool:
+        k = bisect_right(self.ends, s)
+        return k < len(self.starts) and self.starts[k] < e
+
+
 def find(t: str, at: bool = True, plus: bool = True, digits: bool = True) -> Found:
     """Exact spans (start, kind, end) in order, and candidates (kind, start, end, code), loose ones only where they overlap no exact span; the flags say what the text may hold."""
     good, bad = cards(t) if digits else ([], [])
@@ -169,7 +188,8 @@ def find(t: str, at: bool = True, plus: bool = True, digits: bool = True) -> Fou
     if plus:
         exact += [(s, 3, e) for s, e in phones(t)]
     exact.sort()
-    cand = [(k, s, e, True) for s, k, e in exact] + [(k, s, e, False) for k, s, e in loose(t, bad) if all(e <= a or s >= b for a, _, b in exact)]
+    taken = Taken(exact)
+    cand = [(k, s, e, True) for s, k, e in exact] + [(k, s, e, False) for k, s, e in loose(t, bad) if not taken.meets(s, e)]
     return exact, [(k, s, e, (votes(t, k, s, e, x) * SHAPES + shape_code(t, k, s, e)) * 4 + k) for k, s, e, x in cand]
 
 
@@ -261,10 +281,11 @@ def fit(docs: DataFrame, cut: float = 0.5) -> dict[int, bool]:
 def accepted(found: Found, model: dict[int, bool]) -> list[tuple[int, int, int]]:
     """All spans (start, kind, end) in order: the exact ones, and accepted candidates that overlap no span before them."""
     exact, cand = found
-    spans = list(exact)
+    spans, taken, end = list(exact), Taken(exact), 0
     for k, s, e, code in sorted(cand, key=lambda c: (c[1], c[0], -c[2])):
-        if model.get(code) and all(e <= a or s >= b for a, _, b in spans):
+        if model.get(code) and s >= end and not taken.meets(s, e):
             spans.append((s, k, e))
+            end = e
     return sorted(spans)
 
 

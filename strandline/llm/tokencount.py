@@ -12,32 +12,53 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import new_path
+from strandline.llm.common import materialize, new_path
 from strandline.llm.tokens import default_path, encode_column
 
 BLOCKS = "file string, block long, n_ids long, n_ends long, head long, tail long, inner array<long>"
 
 
-def _payload(path: str):
+def _payload(path: str, width: int, row_bytes: int):
+    """Rows of documents' ids, each one more than the tokenizer's, with the end after all but a row's last document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, ids, at in encode_column(batch.column(0), path):
-                flat = (ids + 1).astype("<u2")
-                yield pa.RecordBatch.from_arrays([pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((2 * at).astype(np.int32)), pa.py_buffer(flat)])], ["ids"])
+                if len(ids) and int(ids.max()) + 1 >= 1 << 8 * width:
+                    raise ValueError(f"id {int(ids.max())} does not fit {width} bytes")
+                flat = np.insert(ids.astype(f"<u{width}") + np.array(1, f"<u{width}"), at[1:], 0)
+                ends = (at + np.arange(len(at)))[1:] * width
+                cut, last = [0], 0
+                for e in ends.tolist():
+                    if e - last >= row_bytes or e == ends[-1]:
+                        cut.append(e)
+                        last = e
+                raw = flat.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([raw[i : j - width] for i, j in zip(cut, cut[1:])], pa.binary())], ["ids"])
 
     return run
 
 
-def write_token_files(docs: DataFrame, at: str, path: str | None = None, rows_per_file: int = 100_000) -> None:
-    """Write documents' texts as flat token files: little-endian 16-bit ids, each one more than the tokenizer's, 0 ending a document.
+def write_token_files(docs: DataFrame, at: str, path: str | None = None, width: int = 2, row_bytes: int = 1 << 20, rows_per_file: int = 64) -> None:
+    """Write documents' texts as flat token files: little-endian ids of `width` bytes, each one more than the tokenizer's, 0 ending a document.
 
-    The files are written by Spark's own writer, one per task or rows_per_file documents, whatever store `at` is in.
+    The files are written by Spark's own writer, whatever store `at` is in, in the order of each partition's rows. A file
+    holds at most rows_per_file runs of about row_bytes, or of one longer document: some 64 MB.
     """
-    ids = docs.select(F.col("text").cast("string")).mapInArrow(_payload(path or default_path()), "ids binary")
-    ids.select(F.col("ids").cast("string")).write.option("lineSep", "\0\0").option("maxRecordsPerFile", rows_per_file).text(at)
+    ids = docs.select(F.col("text").cast("string")).mapInArrow(_payload(path or default_path(), width, row_bytes), "ids binary")
+    ids.select(F.col("ids").cast("string")).write.option("lineSep", "\0" * width).option("maxRecordsPerFile", rows_per_file).text(at)
+
+
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, row = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        n = batch.num_rows
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(n, part)), pa.array(np.arange(row, row + n))], ["doc_id", "part", "row"])
+        row += n
 
 
 def _scan(end_id: int, width: int, block_bytes: int):
@@ -64,25 +85,44 @@ def separator_scan(parts: DataFrame, end_id: int = 0, width: int = 2, block_byte
     (from 0 in its file), n_tokens without the separator, and closed, which is false for ids after a file's last
     separator. Files without ids give no row; a document may span any number of blocks.
     """
-    blocks = parts.select("file", F.col("first_block").cast("long"), "content").mapInArrow(_scan(end_id, width, block_bytes), BLOCKS)
+    scanned = parts.select("file", F.col("first_block").cast("long"), "content").mapInArrow(_scan(end_id, width, block_bytes), BLOCKS)
+    blocks = materialize(scanned, "token-blocks")
+    # the scan over blocks sees their summaries only; lengths inside a block wait for its number
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    runs = blocks.withColumn("run", F.sum((F.col("n_ends") > 0).cast("int")).over(order)).withColumn("first", F.coalesce(F.sum("n_ends").over(before), F.lit(0)))
+    runs = blocks.drop("inner").withColumn("run", F.sum((F.col("n_ends") > 0).cast("int")).over(order)).withColumn("first", F.coalesce(F.sum("n_ends").over(before), F.lit(0)))
     carried = runs.withColumn("open", F.sum("tail").over(Window.partitionBy("file", "run").orderBy("block"))).withColumn("carry", F.coalesce(F.lag("open").over(order), F.lit(0))).withColumn("last", F.lead("block").over(order).isNull())
-    ended = F.when(F.col("n_ends") > 0, F.concat(F.array(F.col("carry") + F.col("head")), "inner")).otherwise(F.array().cast("array<long>"))
-    closed = carried.select("file", "first", F.posexplode(ended).alias("k", "n_tokens")).select("file", (F.col("first") + F.col("k")).alias("doc_index"), "n_tokens", F.lit(True).alias("closed"))
+    carried = materialize(carried, "token-carry")
+    whole = carried.where("n_ends > 0").join(blocks.select("file", "block", "inner"), ["file", "block"])
+    closed = whole.select("file", "first", F.posexplode(F.concat(F.array(F.col("carry") + F.col("head")), "inner")).alias("k", "n_tokens")).select("file", (F.col("first") + F.col("k")).alias("doc_index"), "n_tokens", F.lit(True).alias("closed"))
     rest = carried.where("last and open > 0").select("file", (F.col("first") + F.col("n_ends")).alias("doc_index"), F.col("open").alias("n_tokens"), F.lit(False).alias("closed"))
     return closed.unionAll(rest)
 
 
 def token_files(spark: SparkSession, at: str) -> DataFrame:
-    """Token files of a folder as parts for separator_scan, a file a part."""
+    """Token files of a folder as parts for separator_scan, a file (below 2 GB) a part; larger ones have to be given in parts."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(at)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.lit(0).alias("first_block"), "content")
 
 
-def count_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Token counts of documents by way of flat token files in the shared folder; null text gives 0 ids."""
-    at = new_path(docs.sparkSession, "token-files")
-    write_token_files(docs, at, path)
-    return separator_scan(token_files(docs.sparkSession, at))
+def count_documents(docs: DataFrame, path: str | None = None, width: int = 2) -> DataFrame:
+    """doc_id, file, doc_index and n_tokens of every row of documents(doc_id, text, ...), by way of flat token files in the shared folder.
+
+    Null and empty texts have 0 ids; repeated rows and null ids count each on its own; extra columns are ignored. The files hold
+    no ids of documents: those come from a second read of docs, which has to give the same rows in the same order as the
+    first, as a stored table does (write other frames before). A row without a counterpart is an error.
+    """
+    spark = docs.sparkSession
+    at = new_path(spark, "token-files")
+    write_token_files(docs, at, path, width)
+    counted = separator_scan(token_files(spark, at), width=width)
+    # part-00017-...-c003.txt is the fourth file of partition 17
+    named = counted.withColumn("part", F.regexp_extract("file", r"part-(\d+)", 1).cast("long")).withColumn("number", F.regexp_extract("file", r"-c(\d+)", 1).cast("int"))
+    sizes = named.groupBy("file", "part", "number").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    rows = named.join(starts, "file").select("part", (F.col("start") + F.col("doc_index")).alias("row"), "file", "doc_index", "n_tokens")
+    index = docs.select(F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_number, "doc_id long, part long, row long").withColumn("known", F.lit(True))
+    both = rows.join(index, ["part", "row"], "full")
+    sound = F.col("known").isNotNull() & F.col("file").isNotNull()
+    return both.select("doc_id", F.when(sound, F.col("file")).otherwise(F.raise_error(F.lit("documents changed between two reads")).cast("string")).alias("file"), "doc_index", "n_tokens")

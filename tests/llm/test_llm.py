@@ -194,12 +194,24 @@ def test_first_fit_decreasing_places_first():
     assert bins.tolist() == [2, 0, 0, 1, 1, 1] and offsets.tolist() == [0, 0, 7, 0, 6, 8]
 
 
-def test_token_counts_round_trip(docs, odd, empty):
-    for frame in (docs, odd):
-        want = sorted(len(e.ids) for e in tokens.library(tokens.default_path()).encode_batch([r["text"] or "" for r in frame.select("text").collect()], add_special_tokens=False))
-        got = tokencount.count_documents(frame).toPandas()
-        assert sorted(got.n_tokens) == want and got.closed.all()
+def test_token_counts_round_trip(spark, docs, odd, empty, tmp_path):
+    odd.write.parquet(str(tmp_path / "odd"))
+    for frame in (docs, spark.read.parquet(str(tmp_path / "odd"))):
+        rows = [(r["doc_id"], r["text"] or "") for r in frame.select("doc_id", "text").collect()]
+        want = sorted((str(i), len(e.ids)) for (i, _), e in zip(rows, tokens.library(tokens.default_path()).encode_batch([t for _, t in rows], add_special_tokens=False), strict=True))
+        assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in tokencount.count_documents(frame).collect()) == want
     assert tokencount.count_documents(empty).count() == 0
+    with pytest.raises(Exception, match="does not fit"):
+        tokencount.count_documents(docs, width=1).count()
+
+
+def test_token_files_are_cut_by_bytes(spark, docs, tmp_path):
+    tokencount.write_token_files(docs.coalesce(1), str(tmp_path / "t"), row_bytes=4096, rows_per_file=3)
+    sizes = [f.stat().st_size for f in (tmp_path / "t").glob("part-*")]
+    assert len(sizes) > 10
+    got = tokencount.separator_scan(tokencount.token_files(spark, str(tmp_path / "t")), block_bytes=1000)
+    assert got.count() == docs.count() and got.where("not closed").count() == 0
+    assert got.agg(F.sum("n_tokens")).first()[0] * 2 + 2 * docs.count() == sum(sizes)
 
 
 def test_separator_scan_stitches_blocks(spark):
@@ -291,6 +303,40 @@ def test_personal_data_base_equals_plain_patterns(docs, odd, empty):
     assert pii.personal_data(empty).count() == 0
 
 
+def test_accepted_spans_equal_pairwise_checks():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        spans = sorted((int(s), int(rng.integers(4)), int(s + rng.integers(1, 9))) for s in rng.integers(0, 60, rng.integers(0, 8)))
+        cand = [(k, s, e, 0) for s, k, e in spans] + [(int(rng.integers(4)), int(s), int(s + rng.integers(1, 9)), int(rng.integers(2))) for s in rng.integers(0, 60, 8)]
+        want = list(spans)
+        for k, s, e, code in sorted(cand, key=lambda c: (c[1], c[0], -c[2])):
+            if code and all(e <= a or s >= b for a, _, b in want):
+                want.append((s, k, e))
+        assert pii.accepted((spans, cand), {1: True}) == sorted(want)
+
+
+def test_many_numbers_in_a_text_end():
+    text = " ".join(f"call +1 555 {k:07d} or 555-123-{k % 10000:04d}, card 4111 1111 1111 {k % 10000:04d}" for k in range(20_000))
+    exact, cand = pii.find(text)
+    assert len(exact) >= 20_000 and len(pii.accepted((exact, cand), {c[3]: True for c in cand})) >= 40_000
+
+
+def test_reliabilities_equal_plain_loops():
+    v, n = np.array([[2, 2, 1], [2, 0, 1], [0, 0, 2], [1, 2, 0], [0, 1, 1]]), np.array([30.0, 7, 40, 3, 11])
+    p = [1 / (1 + np.exp(-sum(x - 1 for x in row))) for row in v]
+    for _ in range(60):
+        prior = (sum(a * b for a, b in zip(n, p)) + 1) / (n.sum() + 2)
+        table = {}
+        for k in range(3):
+            for c in (0, 1):
+                w = [a * (b if c else 1 - b) for a, b in zip(n, p)]
+                t = [sum(x for x, row in zip(w, v) if row[k] == z) + ((0.5, 0.5, 1.0) if c else (1.0, 0.5, 0.5))[z] for z in range(3)]
+                table[k, c] = [x / sum(t) for x in t]
+        odds = [np.log(prior / (1 - prior)) + sum(np.log(table[k, 1][row[k]] / table[k, 0][row[k]]) for k in range(3)) for row in v]
+        p = [1 / (1 + np.exp(-x)) for x in odds]
+    assert pii.reliabilities(v, n)[0] == pytest.approx(p, abs=1e-9)
+
+
 def test_personal_data_masks(spark):
     text = "é mail bo.b@mail.example.com or call +1 (555) 555-1234 from 10.20.30.40"
     got = pii.mask(spark.createDataFrame([(1, text, 5), (2, None, 0)], "doc_id long, text string, n_chars long")).orderBy("doc_id").collect()
@@ -343,13 +389,27 @@ def test_nearest_vectors(spark):
 
 
 def test_nearest_vectors_odd(spark):
-    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1.0]), (8, [0.0, 3.0]), (None, [1.0, 1.0]), (9, [1e300, 1e300])]
-    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = ann.nearest(e, e.where("vec_id in (0, 3, 8)")).orderBy("query_id", "rank").collect()
-    assert [(r["query_id"], r["vec_id"]) for r in got] == [(0, 1), (0, 2), (0, 9), (0, 8), (8, 9), (8, 0), (8, 1), (8, 2)]
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1.0]), (8, [0.0, 3.0]), (None, [1.0, 1.0]), (9, [1e300, 1e300]), (10, [-2.0]), (8, [0.0, 5.0])]
+    e = spark.createDataFrame([(*r, 0.5, 1) for r in rows], "vec_id long, embedding array<double>, score double, rank int")
+    got = ann.nearest(e, e.where("vec_id in (0, 3, 8, 7)")).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"]) for r in got] == [(0, 1), (0, 2), (0, 9), (0, 8), (7, 10), (8, 9), (8, 0), (8, 1), (8, 2)]
     assert ann.nearest(e.limit(0), e.limit(0)).count() == 0
 
 
+def test_centroid_graph_finds_the_nearest():
+    rng = np.random.default_rng(8)
+    c = ann.unit(rng.normal(size=(3000, 16)))
+    x = ann.unit(rng.normal(size=(200, 16)))
+    ids, sims = ann.Graph(c).search(x, 48)
+    want = np.argsort(-(x @ c.T), axis=1)[:, :16]
+    assert np.mean([len(set(a) & set(b)) / 16 for a, b in zip(ids, want, strict=True)]) > 0.95
+    assert (np.diff(sims, axis=1) <= 0).all() and all(len(set(r)) == 48 for r in ids)
+    for k in (1, 2, 5):
+        ids, _ = ann.Graph(c[:k]).search(x, 48)
+        assert ids.shape[1] == k and (np.sort(ids, axis=1) == np.arange(k)).all()
+    assert len(ann.balanced_centroids(c, 700)) == pytest.approx(700, abs=30)
+
+
 def test_language_model_base_and_gain(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = lm.score_documents(docs).toPandas()

@@ -259,7 +259,7 @@ def lexicon(counts: DataFrame, most: int, least_count: int) -> tuple[pa.Array, n
     return got["w"].combine_chunks().cast(pa.string()), got["n"].to_numpy(), least
 
 
-def fit(coded: DataFrame, own: np.ndarray, whole: tuple[int, int], ends: int, classes: int = 60, top: int = 1000, sweeps: int = 3, settled: float = 0.02) -> ClassModel:
+def fit(coded: DataFrame, own: np.ndarray, whole: tuple[int, int], ends: int, classes: int = 60, top: int = 1000, sweeps: int = 2, settled: float = 0.02) -> ClassModel:
     """The model of training codes whose lexicon words have counts `own`; `whole` has the number of all words and of distinct ones.
 
     The `top` most frequent words are exchanged one by one; each sweep then moves all others, till less than a share `settled` of them moves.

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.storage import written
+
 MODEL = "target_id long, input_id long, family string, status string, params array<double>, low double, high double, rmse double, r2 double, n long, low_x double, high_x double"
 
 
@@ -123,20 +125,32 @@ def prune_responses(models: DataFrame, least_r2: float) -> DataFrame:
     return models.withColumn("excluded", reason)
 
 
-def saturating_value(x: Column, params: Column, low: Column, high: Column) -> Column:
-    """A saturating single as a column expression, constants included."""
-    z = (x - F.get(params, 2)) / F.exp(F.get(params, 3))
-    full = F.get(params, 0) + F.get(params, 1) * z / (1 + F.abs(z))
-    return F.least(F.greatest(F.when(F.size(params) == 1, F.get(params, 0)).otherwise(full), low), high)
+def model_value(family: Column, x: Column, params: Column, low: Column, high: Column) -> Column:
+    """A single's value as a column expression, by its family; a family that is none of them is an error."""
+    p = lambda k: F.get(params, F.lit(k))
+    total = lambda terms: F.aggregate(F.array(*terms), F.lit(0.0), lambda a, t: a + t)
+    squash = lambda z: low + (high - low) / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
+    z = (x - p(2)) / F.exp(p(3))
+    hinges = [p(3), p(4) * x, *(p(5 + k) * F.pow(F.greatest(x - p(k), F.lit(0.0)), F.lit(3.0)) for k in range(3))]
+    units = [p(8 + k) * F.tanh(x * p(k) + p(4 + k)) for k in range(4)]
+    value = (
+        F.when(family == "constant", p(0)).when(family == "saturation", p(0) + p(1) * z / (1 + F.abs(z))).when(family == "spline", squash(total(hinges))).when(family == "network", squash(total([*units, p(12)])))
+        .otherwise(F.raise_error(F.concat(F.lit("unknown family "), F.coalesce(family, F.lit("null")))).cast("double"))
+    )
+    return F.least(F.greatest(value, low), high)
+
+
+def _values(states: DataFrame) -> tuple[Column, Column]:
+    return tuple(model_value(F.col("family"), F.col(c), F.col("params"), F.col("low"), F.col("high")) for c in ("x_old", "x_new"))
 
 
 def predict_deltas(models: DataFrame, weights: DataFrame, states: DataFrame) -> DataFrame:
-    """Change of each target from its inputs' states(input_id, bin, x_old, x_new), singles weighted by weights(target_id, input_id, alpha).
+    """Change of each target from its inputs' states(input_id, bin, x_old, x_new), singles of any family weighted by weights(target_id, input_id, alpha).
 
     Both sums are cut to the target's bounds before the difference.
     """
     joined = models.join(weights, ["target_id", "input_id"]).join(states, "input_id")
-    old, new = (saturating_value(F.col(c), F.col("params"), F.col("low"), F.col("high")) for c in ("x_old", "x_new"))
+    old, new = _values(joined)
     sums = joined.groupBy("target_id", "bin").agg(F.sum(F.col("alpha") * old).alias("_o"), F.sum(F.col("alpha") * new).alias("_n"), F.max("low").alias("_l"), F.max("high").alias("_h"))
     cut = lambda c: F.least(F.greatest(F.col(c), F.col("_l")), F.col("_h"))
     return sums.select("target_id", "bin", (cut("_n") - cut("_o")).alias("delta"))
@@ -145,15 +159,12 @@ def predict_deltas(models: DataFrame, weights: DataFrame, states: DataFrame) ->
 def contributions(models: DataFrame, weights: DataFrame, states: DataFrame) -> DataFrame:
     """Each input's own part alpha (f(x_new) - f(x_old)) of a target's change."""
     joined = models.join(weights, ["target_id", "input_id"]).join(states, "input_id")
-    old, new = (saturating_value(F.col(c), F.col("params"), F.col("low"), F.col("high")) for c in ("x_old", "x_new"))
+    old, new = _values(joined)
     return joined.select("target_id", "input_id", "bin", (F.col("alpha") * (new - old)).alias("delta"))
 
 
-STATE = "context long, intervention long, branch long, bin int, layer string, feature_id long, control double, perturbed double, status string, origins string"
-
-
 def propagate(state: DataFrame, relations: DataFrame, interventions: DataFrame) -> DataFrame:
-    """Bin-by-bin propagation of knock-outs, one group a context and intervention.
+    """Bin-by-bin propagation of knock-outs; each bin and layer is a join of the relations with the states that they read.
 
     state(context, branch, bin, layer, feature_id, value) is control; layers are gene and peak. relations(layer, target_id, input_id,
     lag, alpha, family, params, low, high): a gene reads peaks at an earlier bin, a peak reads genes at the same or an earlier one.
@@ -161,51 +172,58 @@ def propagate(state: DataFrame, relations: DataFrame, interventions: DataFrame)
     inputs all lie before the branch's first bin keeps its control value with status no_history. A target with an input that the
     state lacks, or that is itself unavailable, is unavailable: perturbed is null, and origins names the inputs that are missing.
     Each other target moves by the difference of its weighted models and stays within its bounds.
+
+    Returns context, intervention, branch, bin, layer, feature_id, control, perturbed, status and origins. A step's result is written,
+    and the next one reads what lies within the largest lag; keys are context, intervention, branch and feature, so work spreads over all of them.
     """
-    contexts = interventions.select("context").distinct()
-    models = relations.crossJoin(F.broadcast(contexts))
-    side = interventions.withColumn("asked", F.lit(True)).unionByName(models.withColumn("asked", F.lit(False)), allowMissingColumns=True)
-
-    def run(key: tuple, control: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        asked = given[given["asked"]]
-        if control.empty or asked.empty:
-            return pd.DataFrame(columns=[c.split()[0] for c in STATE.split(", ")])
-        frames = []
-        by_target: dict[tuple, list[dict]] = {}
-        for r in given[~given["asked"]].sort_values(["layer", "target_id", "input_id"]).to_dict("records"):
-            by_target.setdefault((r["layer"], r["target_id"]), []).append(r)
-        for number, own in asked.groupby("intervention"):
-            strength = dict(zip(own["feature_id"], own["strength"], strict=True))
-            for branch, part in control.groupby("branch"):
-                old = {(a, f, b): v for a, f, b, v in zip(part["layer"], part["feature_id"], part["bin"], part["value"], strict=True)}
-                new = {k: v * (1 - strength[k[1]]) if k[0] == "gene" and k[1] in strength else v for k, v in old.items()}
-                status = {k: "direct" if k[0] == "gene" and k[1] in strength else "ok" for k in old}
-                first, origins = part["bin"].min(), {k: {f"{k[0]} {int(k[1])}"} for k, v in old.items() if v is None or v != v}
-                status |= dict.fromkeys(origins, "unavailable")
-                for b in sorted(part["bin"].unique()):
-                    for layer, source in (("gene", "peak"), ("peak", "gene")):
-                        for (a, target), inputs in by_target.items():
-                            here = (a, target, b)
-                            if a != layer or here not in old or status[here] in ("direct", "unavailable"):
-                                continue
-                            seen = [r for r in inputs if b - r["lag"] >= first]
-                            if not seen:
-                                status[here] = "no_history"
-                                continue
-                            lost = set()
-                            for k in ((source, r["input_id"], b - r["lag"]) for r in seen):
-                                lost |= origins.get(k, set()) if k in old else {f"{k[0]} {int(k[1])}"}
-                            if lost:
-                                status[here], origins[here], new[here] = "unavailable", lost, None
-                                continue
-                            if all(new[source, r["input_id"], b - r["lag"]] == old[source, r["input_id"], b - r["lag"]] for r in seen):
-                                continue
-                            both = []
-                            for values in (old, new):
-                                both.append(sum(r["alpha"] * float(response(r["family"], np.array(r["params"]), np.array([values[source, r["input_id"], b - r["lag"]]]), r["low"], r["high"])[0]) for r in seen))
-                            low, high = seen[0]["low"], seen[0]["high"]
-                            new[here] = float(np.clip(old[here] + np.clip(both[1], low, high) - np.clip(both[0], low, high), low, max(high, old[here])))
-                frames.append(pd.DataFrame([(key[0], number, branch, b, a, f, v, new[a, f, b], status[a, f, b], ", ".join(sorted(origins.get((a, f, b), ()))) or None) for (a, f, b), v in old.items()], columns=[c.split()[0] for c in STATE.split(", ")]))
-        return pd.concat(frames)
-
-    return state.groupBy("context").cogroup(side.groupBy("context")).applyInPandas(run, STATE)
+    keys = ["context", "intervention", "branch"]
+    name = lambda layer, feature: F.concat(layer, F.lit(" "), feature.cast("string"))
+    lost = F.col("value").isNull() | F.isnan("value")
+    asked = interventions.groupBy("context", "intervention", F.col("feature_id")).agg(F.max("strength").alias("strength")).withColumn("layer", F.lit("gene"))
+    control = state.join(interventions.select("context", "intervention").distinct(), "context").join(asked, ["context", "intervention", "layer", "feature_id"], "left")
+    first = F.min("bin").over(Window.partitionBy("context", "branch"))
+    known = written(control.withColumn("first", first).select(*keys, "bin", "first", "layer", "feature_id", F.col("value").alias("control"), "strength", lost.alias("lost")), "control")
+    origin = F.when(F.col("lost"), F.array(name(F.col("layer"), F.col("feature_id")))).otherwise(F.array().cast("array<string>"))
+    steps = {(r["bin"], r["layer"]) for r in known.select("bin", "layer").distinct().collect()}
+    relations = written(relations, "relations")
+    reach = int(relations.agg(F.max("lag")).first()[0] or 0)
+    past: dict[tuple[int, str], DataFrame] = {}
+    out = None
+    for bin_, layer in sorted(steps, key=lambda s: (s[0], s[1] != "gene")):
+        here = known.where((F.col("bin") == bin_) & (F.col("layer") == layer))
+        source = "peak" if layer == "gene" else "gene"
+        reads = here.where("strength is null and not lost").join(relations.where(F.col("layer") == layer).withColumnRenamed("target_id", "feature_id").drop("layer"), "feature_id")
+        reads = reads.withColumn("from", F.col("bin") - F.col("lag")).where(F.col("from") >= F.col("first"))
+        seen = None
+        for (b, side), frame in past.items():
+            if side == source and b >= bin_ - reach:
+                part = frame.select(*keys, F.col("bin").alias("from"), F.col("feature_id").alias("input_id"), F.col("control").alias("x_old"), F.col("perturbed").alias("x_new"), F.col("origin_list").alias("of"))
+                seen = part if seen is None else seen.unionByName(part)
+        if seen is None:
+            moved = here.select(*keys, "feature_id", F.lit(0).alias("n"), *(F.lit(None).cast(t).alias(c) for c, t in (("old", "double"), ("new", "double"), ("same", "boolean"), ("low", "double"), ("high", "double"), ("of", "array<string>"))))
+        else:
+            both = reads.join(seen, [*keys, "from", "input_id"], "left")
+            missing = F.when(F.col("of").isNull(), F.array(name(F.lit(source), F.col("input_id")))).otherwise(F.col("of"))
+            old, new = _values(both)
+            fit = F.size(missing) == 0
+            moved = both.groupBy(*keys, "feature_id").agg(
+                F.count("*").alias("n"), F.sum(F.when(fit, F.col("alpha") * old)).alias("old"), F.sum(F.when(fit, F.col("alpha") * new)).alias("new"), F.coalesce(F.bool_and(F.col("x_old") == F.col("x_new")), F.lit(False)).alias("same"),
+                F.max("low").alias("low"), F.max("high").alias("high"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(missing)))).alias("of"),
+            )
+        got = here.join(moved, [*keys, "feature_id"], "left")
+        cut = lambda c: F.least(F.greatest(F.col(c), F.col("low")), F.col("high"))
+        target = F.least(F.greatest(F.col("control") + cut("new") - cut("old"), F.col("low")), F.greatest("high", "control"))
+        direct = F.col("strength").isNotNull()
+        none = F.coalesce("n", F.lit(0)) == 0
+        gone = F.col("lost") | (~direct & F.coalesce(F.size("of") > 0, F.lit(False)))
+        has_inputs = relations.where(F.col("layer") == layer).select(F.col("target_id").alias("feature_id")).distinct().withColumn("modelled", F.lit(True))
+        got = got.join(has_inputs, "feature_id", "left")
+        status = F.when(F.col("lost"), "unavailable").when(direct, "direct").when(gone, "unavailable").when(none & F.col("modelled"), "no_history").otherwise("ok")
+        value = F.when(gone, F.lit(None).cast("double")).when(direct, F.col("control") * (1 - F.col("strength"))).when(none | F.col("same"), F.col("control")).otherwise(target)
+        listed = F.when(F.col("lost"), origin).when(direct, F.array().cast("array<string>")).otherwise(F.coalesce("of", F.array().cast("array<string>")))
+        step = written(got.select("context", "intervention", "branch", "bin", F.col("layer"), "feature_id", "control", value.alias("perturbed"), status.alias("status"), listed.alias("origin_list")), "propagated")
+        past[bin_, layer] = step
+        out = step if out is None else out.unionByName(step)
+    if out is None:
+        out = known.limit(0).select(*keys, "bin", "layer", "feature_id", "control", F.col("control").alias("perturbed"), F.lit("").alias("status"), F.array().cast("array<string>").alias("origin_list"))
+    return out.withColumn("origins", F.when(F.size("origin_list") > 0, F.array_join("origin_list", ", "))).drop("origin_list")

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators import response, screening
-from strandline.storage import written
 from strandline.plans.cohort import bin_state, lagged_rows
 from strandline.plans.frames import cells
 from strandline.plans.registry import query
+from strandline.storage import written
 
 
 def pair_rows(spark: SparkSession, sf_dir: str, n_bins: int = 16) -> DataFrame:
@@ -53,7 +53,7 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for layer, lag, rows in (("gene", 1, down), ("peak", 0, up)):
         models = written(response.fit_responses(rows, "saturation"), "models")
-        seen = rows.join(models, ["target_id", "input_id"]).withColumn("value", response.saturating_value(F.col("x"), F.col("params"), F.col("low"), F.col("high"))).withColumn("supported", F.lit(True))
+        seen = rows.join(models, ["target_id", "input_id"]).withColumn("value", response.model_value(F.col("family"), F.col("x"), F.col("params"), F.col("low"), F.col("high"))).withColumn("supported", F.lit(True))
         alpha = screening.frozen_weights(screening.adjacent_changes(seen, ["branch", "target_id", "input_id"]), ["target_id"], ["input_id"]).select("target_id", "input_id", F.coalesce("alpha", F.lit(0.0)).alias("alpha"))
         part = models.join(alpha, ["target_id", "input_id"]).select(F.lit(layer).alias("layer"), "target_id", "input_id", F.lit(lag).alias("lag"), "alpha", "family", "params", "low", "high")
         out = part if out is None else out.unionByName(part)

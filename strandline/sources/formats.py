@@ -3,34 +3,71 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import asdict, dataclass, fields, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.names import feature_type as infer_type
 from strandline.functions.names import file_prefix
 
 
-def read_matrix_market(spark: SparkSession, folder: str, feature_type: str | None = None) -> DataFrame:
-    """(cell_id, feature_id, feature_type, value) of a 10x folder: barcodes, features and matrix, gzipped or not."""
-    numbered = lambda name, cols: spark.read.csv(f"{folder}/{name}*", sep="\t", schema=", ".join(f"{c} string" for c in cols)).withColumn("_i", F.monotonically_increasing_id())
+def first_of(spark: SparkSession, folder: str, *names: str) -> str | None:
+    """The first of some files that a folder has."""
+    for name in names:
+        try:
+            spark.read.text(f"{folder}/{name}")
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+        else:
+            return f"{folder}/{name}"
+    return None
+
+
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(block, place, value): the lines of one file; (block, place) grow along the file, a block being one of its splits."""
+    return spark.read.text(path).select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+
 
-    def with_rank(df: DataFrame) -> DataFrame:
-        """1-based line numbers: each axis file is one file, so ids only grow by line."""
-        return df.withColumn("_i", F.row_number().over(Window.orderBy("_i")))
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(i, value): the lines of one file numbered from 1, block by block."""
+    lines = ordered_lines(spark, path)
+    sizes = lines.groupBy("block").agg(F.count("*").alias("n"))
+    start = F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    here = F.row_number().over(Window.partitionBy("block").orderBy("place"))
+    return lines.withColumn("_r", here).join(F.broadcast(sizes.select("block", start.alias("_s"))), "block").select((F.col("_r") + F.col("_s")).alias("i"), "value")
 
-    cells = with_rank(numbered("barcodes.tsv", ["cell_id"]))
-    features = with_rank(numbered("features.tsv", ["feature_id", "symbol", "feature_type"]))
-    lines = spark.read.text(f"{folder}/matrix.mtx*").where(~F.col("value").startswith("%"))
+
+def read_matrix_market(spark: SparkSession, folder: str, feature_type: str | None = None) -> DataFrame:
+    """(cell_id, feature_id, symbol, feature_type, value) of a 10x folder: barcodes, features and matrix, plain or (where there is no plain file) gzipped.
+
+    A feature without a type is a peak if its name is one. Without a features file peaks.bed names the rows. A size line that does not
+    agree with the axes and the number of entries is an error.
+    """
+    paths = {name: first_of(spark, folder, name, f"{name}.gz") for name in ("barcodes.tsv", "features.tsv", "genes.tsv", "peaks.bed", "matrix.mtx")}
+    rows = paths["features.tsv"] or paths["genes.tsv"] or paths["peaks.bed"]
+    if not (paths["barcodes.tsv"] and paths["matrix.mtx"] and rows):
+        raise ValueError(f"{folder} needs barcodes.tsv, matrix.mtx and one of features.tsv, genes.tsv, peaks.bed")
+    cells = numbered_lines(spark, paths["barcodes.tsv"]).select(F.col("i").alias("c"), F.split("value", "\t")[0].alias("cell_id"))
+    part = lambda k: F.get(F.split("value", "\t"), F.lit(k))
+    if rows == paths["peaks.bed"]:
+        name = F.concat(part(0), F.lit(":"), part(1), F.lit("-"), part(2))
+        features = numbered_lines(spark, rows).select(F.col("i").alias("r"), name.alias("feature_id"), name.alias("symbol"), F.lit("Peaks").alias("feature_type"))
+    else:
+        features = numbered_lines(spark, rows).select(F.col("i").alias("r"), part(0).alias("feature_id"), F.coalesce(part(1), part(0)).alias("symbol"), F.coalesce(part(2), infer_type(part(0))).alias("feature_type"))
+    lines = ordered_lines(spark, paths["matrix.mtx"]).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    head = lines.agg(F.min(F.struct("block", "place", "value")).alias("h")).first()["h"]
+    if head is None:
+        raise ValueError(f"{paths['matrix.mtx']} has no size line")
     parts = F.split(F.trim("value"), r"\s+")
-    entries = lines.select(parts[0].cast("long").alias("r"), parts[1].cast("long").alias("c"), parts[2].cast("double").alias("value"))
-    joined = entries.join(features.withColumnRenamed("_i", "r"), "r").join(cells.withColumnRenamed("_i", "c"), "c").select("cell_id", "feature_id", "symbol", "feature_type", "value")
-    # the size line repeats the axes' lengths and the number of entries; it is the only one with the last row and last column and more than all others
-    sizes = lines.limit(1).select(parts[2].cast("double").alias("n")).first()
-    count = entries.count() - 1
-    if sizes and sizes["n"] == count:
-        first = lines.limit(1).select(parts[0].cast("long").alias("r"), parts[1].cast("long").alias("c"), parts[2].cast("double").alias("value"))
-        joined = entries.exceptAll(first).join(features.withColumnRenamed("_i", "r"), "r").join(cells.withColumnRenamed("_i", "c"), "c").select("cell_id", "feature_id", "symbol", "feature_type", "value")
+    entries = lines.where(~((F.col("block") == head["block"]) & (F.col("place") == head["place"]))).select(parts[0].cast("long").alias("r"), parts[1].cast("long").alias("c"), parts[2].cast("double").alias("value"))
+    said, found = [int(x) for x in head["value"].split()], [features.count(), cells.count(), entries.count()]
+    if said != found:
+        raise ValueError(f"{paths['matrix.mtx']} says {said} rows, columns and entries, but there are {found}")
+    joined = entries.join(features, "r").join(cells, "c").select("cell_id", "feature_id", "symbol", "feature_type", "value")
     return joined if feature_type is None else joined.where(F.col("feature_type") == feature_type)
 
 
@@ -52,18 +89,57 @@ def read_gtf_genes(spark: SparkSession, path: str) -> DataFrame:
     return genes.withColumn("ref_id", F.when(twice > 1, F.raise_error(F.concat(F.lit("conflicting annotations of "), "ref_id")).cast("string")).otherwise(F.col("ref_id")))
 
 
+def read_gtf_loosely(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """(name, chr, tss) of wanted(name) genes by gene_name, else gene_id; short lines are passed over, and the last line of a name counts."""
+    cols = F.split(F.trim("value"), "\t")
+    lines = ordered_lines(spark, path).where(~F.col("value").startswith("#") & (F.size(cols) >= 9)).select("block", "place", cols.alias("c")).where(F.col("c")[2] == "gene")
+    attribute = lambda k: F.nullif(F.regexp_extract(F.col("c")[8], rf'(?:^|;)\s*{k}[ =]\s*"?([^";]*)"?', 1), F.lit(""))
+    tss = F.when(F.col("c")[6] == "+", F.col("c")[3]).otherwise(F.col("c")[4]).cast("long")
+    found = lines.select("block", "place", F.col("c")[0].alias("chr"), tss.alias("tss"), F.posexplode(F.array(attribute("gene_name"), attribute("gene_id"))).alias("k", "name"))
+    named = found.join(F.broadcast(wanted.select("name").distinct()), "name")
+    one = named.groupBy("block", "place").agg(F.min(F.struct("k", "name", "chr", "tss")).alias("m"))
+    return one.groupBy(F.col("m.name").alias("name")).agg(F.max_by(F.struct("m.chr", "m.tss"), F.struct("block", "place")).alias("l")).select("name", "l.chr", "l.tss")
+
+
+#: Bases of a piece at most.
+PIECE = 4096
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, seq) of FASTA records, one record a row."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    head = F.regexp_extract("value", r"^([^\s]+)", 1)
-    return records.select(head.alias("chrom"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n", ""), r"\s", "").alias("seq"))
+    """(chrom, at, seq): the lines of FASTA records as pieces of at most PIECE bases with their place from 0.
+
+    Places are counted along a file's blocks: within a block by windows, and between blocks over one row each, so that no
+    record has to fit a row or a task.
+    """
+    base = ordered_lines(spark, path).where(F.trim("value") != "").withColumn("head", F.col("value").startswith(">")).withColumn("n", F.when(F.col("head"), 0).otherwise(F.length(F.trim("value"))))
+    order = Window.partitionBy("block").orderBy("place")
+    runs = base.withColumn("run", F.sum(F.col("head").cast("int")).over(order)).withColumn("name", F.last(F.when(F.col("head"), F.regexp_extract("value", r"^>\s*([^\s]+)", 1)), True).over(order))
+    ends = runs.groupBy("block").agg(F.max("run").alias("heads"), F.max_by("name", "place").alias("name"))
+    tails = runs.join(F.broadcast(ends.select("block", "heads")), "block").where(F.col("run") == F.col("heads")).groupBy("block").agg(F.sum("n").alias("tail"))
+    line = Window.orderBy("block")
+    before = line.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = ends.join(tails, "block").withColumn("seg", F.sum((F.col("heads") > 0).cast("int")).over(line))
+    blocks = blocks.withColumn("open", F.sum("tail").over(Window.partitionBy("seg").orderBy("block"))).withColumn("carry", F.coalesce(F.lag("open").over(line), F.lit(0))).withColumn("carried", F.last("name", True).over(before))
+    here = F.sum("n").over(Window.partitionBy("block", "run").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    placed = runs.withColumn("at", F.coalesce(here, F.lit(0))).join(F.broadcast(blocks.select("block", "carry", "carried")), "block").where("not head")
+    first = F.col("run") == 0
+    pieces = placed.select(F.when(first, F.col("carried")).otherwise(F.col("name")).alias("chrom"), (F.col("at") + F.when(first, F.col("carry")).otherwise(0)).alias("at"), F.posexplode(F.expr(f"regexp_extract_all(trim(value), '.{{1,{PIECE}}}', 0)")).alias("k", "seq"))
+    return pieces.select("chrom", (F.col("at") + F.col("k") * PIECE).alias("at"), "seq")
 
 
 def peak_sequences(peaks: DataFrame, genome: DataFrame) -> DataFrame:
-    """(peak_id, seq) of peaks(peak_id, chr, start, end) within their chromosomes, with or without chr in the name."""
+    """(peak_id, seq) of peaks(peak_id, chr, start, end) that lie within their chromosomes, with or without chr in the name.
+
+    genome has pieces (chrom, at, seq); peaks meet the pieces of the stretches of PIECE bases that they touch.
+    """
     bare = lambda c: F.regexp_replace(c, "^chr", "")
-    joined = peaks.withColumn("_k", bare(F.col("chr"))).join(genome.withColumn("_k", bare(F.col("chrom"))), "_k")
-    return joined.where((F.col("start") >= 0) & (F.col("end") <= F.length("seq")) & (F.col("end") > F.col("start"))).select("peak_id", F.substring("seq", F.col("start") + 1, F.col("end") - F.col("start")).alias("seq"))
+    spread = lambda a, b: F.explode(F.sequence(F.floor(a / PIECE), F.floor(b / PIECE)))
+    p = peaks.where((F.col("start") >= 0) & (F.col("end") > F.col("start"))).select("peak_id", "start", "end", bare(F.col("chr")).alias("_k"), spread(F.col("start"), F.col("end") - 1).alias("_b"))
+    g = genome.withColumn("_to", F.col("at") + F.length("seq")).select("at", "_to", "seq", bare(F.col("chrom")).alias("_k"), spread(F.col("at"), F.col("_to") - 1).alias("_b"))
+    both = p.join(g, ["_k", "_b"]).where((F.col("at") < F.col("end")) & (F.col("_to") > F.col("start")))
+    cut = F.substring("seq", F.greatest(F.col("start") - F.col("at"), F.lit(0)).cast("int") + 1, (F.least("_to", "end") - F.greatest("at", "start")).cast("int"))
+    whole = both.groupBy("peak_id", "start", "end").agg(F.array_sort(F.collect_set(F.struct(F.col("at"), cut.alias("s")))).alias("l"))
+    return whole.select("peak_id", "start", "end", F.array_join(F.transform("l", lambda x: x["s"]), "").alias("seq")).where(F.length("seq") == F.col("end") - F.col("start")).select("peak_id", "seq")
 
 
 def read_motifs(spark: SparkSession, path: str) -> DataFrame:
@@ -73,6 +149,13 @@ def read_motifs(spark: SparkSession, path: str) -> DataFrame:
     return records.select(F.regexp_extract("value", r"^([^\s]+)", 1).alias("motif_id"), F.transform(F.slice(rows, 2, F.size(rows)), lambda r: F.split(F.trim(r), r"\s+").cast("array<double>")).alias("counts"))
 
 
+def read_motif_factors(spark: SparkSession, path: str) -> DataFrame:
+    """(motif_id, tf_names) of a two-column motif and factor file: factors upper case, joined by :: in order."""
+    parts = F.split(F.trim("value"), "\t")
+    rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.size(parts) >= 2))
+    return rows.groupBy(parts[0].alias("motif_id")).agg(F.array_join(F.array_sort(F.collect_set(F.upper(F.trim(parts[1])))), "::").alias("tf_names")).where("motif_id <> 'Motif'")
+
+
 def read_targets(spark: SparkSession, path: str) -> DataFrame:
     """(token, kind) of a target list: a gene and optionally TF or TARGET a line, # for comments; ALL stands for every feature."""
     text = F.trim(F.regexp_replace("value", "#.*$", ""))
@@ -122,6 +205,77 @@ def append_hits(new: DataFrame, path: str) -> int:
     return n
 
 
+def lookup_hits(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Stored hits of a batch of keys (150 at most): the condition reaches the files' statistics."""
+    if len(keys) > 150:
+        raise ValueError("at most 150 keys a look-up; join larger sets")
+    return spark.read.parquet(path).where(F.col("key").isin(keys))
+
+
+def read_history(spark: SparkSession, path: str, schema: str, genes: list[str], column: str = "gene") -> DataFrame:
+    """Rows of some genes of a CSV history with a header; the condition is pushed into the scan."""
+    return spark.read.csv(path, header=True, schema=schema).where(F.col(column).isin(genes))
+
+
+def write_variable_genes(features: DataFrame, path: str) -> None:
+    """Names of truly variable features(feature_id, highly_variable, forced); those only kept by request are left out."""
+    features.where("highly_variable and not coalesce(forced, false)").select("feature_id").orderBy("feature_id").write.text(path)
+
+
+def deep_merge(base: dict, given: dict) -> dict:
+    """base with given's values; mappings in both are merged key by key."""
+    return base | {k: deep_merge(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in given.items()}
+
+
+def load_config(text: str, defaults: dict) -> dict:
+    """A configuration in JSON (or in YAML, where its parser is installed) over defaults."""
+    try:
+        given = json.loads(text)
+    except json.JSONDecodeError:
+        try:
+            import yaml
+        except ImportError as error:
+            raise ValueError("the configuration is not JSON, and no YAML parser is installed") from error
+        given = yaml.safe_load(text)
+    if not isinstance(given, dict):
+        raise ValueError("a configuration is a mapping")
+    return deep_merge(defaults, given)
+
+
+def batch_plans(manifest: dict, base: dict, order: list[str] | None = None) -> list[dict]:
+    """Plans (name, config, targets) of a manifest's tasks: base, then its defaults, then the task's own input, output and overrides.
+
+    Names are unique and safe for folders, fields are known ones, and no two tasks share an output folder; order names tasks once each.
+    """
+    defaults, tasks = manifest.get("defaults", {}), manifest.get("tasks")
+    if not isinstance(defaults, dict) or not isinstance(tasks, list) or not tasks:
+        raise ValueError("a manifest has a mapping of defaults and a list of tasks")
+    plans: dict[str, dict] = {}
+    for task in tasks:
+        name = task.get("name") if isinstance(task, dict) else None
+        if not isinstance(name, str) or not re.fullmatch(r"[A-Za-z0-9_.-]+", name) or name in plans or name in (".", ".."):
+            raise ValueError(f"task names are unique and safe for folders: {name!r}")
+        options = deep_merge(defaults, task)
+        unknown = set(options) - {"name", "input", "output", "knockout_genes", "joint_knockout", "overrides"}
+        if unknown:
+            raise ValueError(f"{name}: unknown fields {sorted(unknown)}")
+        config = deep_merge(base, deep_merge(options.get("overrides", {}), {k: options[k] for k in ("input", "output") if k in options}))
+        joint = options.get("joint_knockout", False)
+        if not isinstance(joint, bool):
+            raise ValueError(f"{name}: joint_knockout is true or false")
+        if not config.get("output", {}).get("dir"):
+            raise ValueError(f"{name}: output.dir is missing")
+        plans[name] = {"name": name, "config": deep_merge(config, {"perturbation": {"joint_knockout": joint}}), "targets": list(options.get("knockout_genes") or [])}
+    folders = [p["config"]["output"]["dir"] for p in plans.values()]
+    if len(set(folders)) != len(folders):
+        raise ValueError("two tasks share an output folder")
+    if order is None:
+        return list(plans.values())
+    if len(set(order)) != len(order) or set(order) - set(plans):
+        raise ValueError("the order names unknown tasks or one twice")
+    return [plans[name] for name in order]
+
+
 @dataclass(frozen=True)
 class Settings:
     """Screening settings with the library's defaults; `shipped` are the stricter ones of the delivered configuration."""

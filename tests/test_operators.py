@@ -16,21 +16,21 @@ from strandline.streaming import bins
 
 
 def test_granger_equals_least_squares(spark):
-    rng = np.random.default_rng(7421)
-    x = rng.normal(size=41)
-    y = np.zeros(41)
-    for i in range(1, 41):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=53)
+    y = np.zeros(53)
+    for i in range(1, 53):
         y[i] = 0.5 + 0.3 * y[i - 1] + 0.7 * x[i - 1] + 0.8 * rng.normal()
-    rows = [(1, float(y[i]), float(y[i - 1]), float(x[i - 1])) for i in range(1, 41)]
+    rows = [(1, float(y[i]), float(y[i - 1]), float(x[i - 1])) for i in range(1, 53)]
     got = screening.granger(spark.createDataFrame(rows, "k long, y double, l double, x double"), ["k"]).first()
     a, b, c = (np.array([r[j] for r in rows]) for j in (1, 2, 3))
-    reduced = np.column_stack([np.ones(40), b])
+    reduced = np.column_stack([np.ones(52), b])
     full = np.column_stack([reduced, c])
     sse = [((a - m @ np.linalg.lstsq(m, a, rcond=None)[0]) ** 2).sum() for m in (reduced, full)]
     assert got["sse_reduced"] == pytest.approx(sse[0], rel=1e-9)
     assert got["sse_full"] == pytest.approx(sse[1], rel=1e-9)
     assert got["coef"] == pytest.approx(np.linalg.lstsq(full, a, rcond=None)[0][2], rel=1e-9)
-    assert got["f_stat"] == pytest.approx((sse[0] - sse[1]) / (sse[1] / 37), rel=1e-9)
+    assert got["f_stat"] == pytest.approx((sse[0] - sse[1]) / (sse[1] / 49), rel=1e-9)
 
 
 def test_granger_skips_degenerate_series(spark):
@@ -229,9 +229,9 @@ def test_strict_flags(spark):
 
 
 def test_formats(spark, tmp_path):
-    (tmp_path / "g.gtf").write_text('#c\n1\ts\tgene\t8314246\t10613001\t.\t-\t.\tgene_id "E1.2"; gene_name "PTPRD";\n1\ts\texon\t1\t2\t.\t-\t.\tgene_id "E1.2";\n')
+    (tmp_path / "g.gtf").write_text('#c\n1\ts\tgene\t1200\t4801\t.\t-\t.\tgene_id "E1.2"; gene_name "SYMB";\n1\ts\texon\t1\t2\t.\t-\t.\tgene_id "E1.2";\n')
     g = formats.read_gtf_genes(spark, str(tmp_path / "g.gtf")).select("ref_id", "symbol", names.tss(F.col("strand"), F.col("start"), F.col("end")).alias("tss")).first()
-    assert tuple(g) == ("E1.2", "PTPRD", 10613000)
+    assert tuple(g) == ("E1.2", "SYMB", 4800)
     (tmp_path / "bad.gtf").write_text("1\ts\tgene\n")
     with pytest.raises(Exception, match="9 columns"):
         formats.read_gtf_genes(spark, str(tmp_path / "bad.gtf")).collect()
@@ -239,6 +239,13 @@ def test_formats(spark, tmp_path):
     genome = formats.read_fasta(spark, str(tmp_path / "x.fa"))
     peaks = spark.createDataFrame([(1, "1", 2, 6), (2, "chr2", 0, 9)], "peak_id long, chr string, start long, end long")
     assert [tuple(r) for r in formats.peak_sequences(peaks, genome).collect()] == [(1, "GTAC")]
+    long = "".join("ACGT"[k * k % 7 % 4] for k in range(10_000))
+    (tmp_path / "y.fa").write_text(">one\n" + long + "\n>two x\n" + "\n".join(long[k : k + 61] for k in range(0, len(long), 61)) + "\n")
+    asked = [(k, c, a, b) for k, (c, a, b) in enumerate([("one", 0, 9000), ("two", 4090, 4200), ("chrtwo", 9990, 10000), ("two", 9990, 10001), ("one", 8191, 8193)])]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    got = {r["peak_id"]: r["seq"] for r in formats.peak_sequences(spark.createDataFrame(asked, "peak_id long, chr string, start long, end long"), formats.read_fasta(spark, str(tmp_path / "y.fa"))).collect()}
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {k: long[a:b] for k, _, a, b in asked if b <= len(long)}
     (tmp_path / "m.pfm").write_text(">M1\n1 2 3 4\n5 6 7 8\n")
     assert formats.read_motifs(spark, str(tmp_path / "m.pfm")).first()["counts"] == [[1.0, 2.0, 3.0, 4.0], [5.0, 6.0, 7.0, 8.0]]
     (tmp_path / "t.txt").write_text("A TF\n# note\nB\n")
@@ -251,6 +258,113 @@ def test_formats(spark, tmp_path):
     assert {(r["cell_id"], r["feature_id"], r["value"]) for r in formats.read_matrix_market(spark, str(m)).collect()} == {("c1", "E1", 5.0), ("c1", "chr1:1-2", 1.0), ("c2", "E1", 7.0)}
 
 
+def test_matrix_folders(spark, tmp_path):
+    m = tmp_path / "mtx"
+    m.mkdir()
+    (m / "barcodes.tsv").write_text("c1\nc2\n")
+    (m / "peaks.bed").write_text("chr1\t1\t20\nchr2\t5\t9\n")
+    (m / "matrix.mtx").write_text("%%MatrixMarket\n%\n2 2 2\n1 1 5\n2 2 2\n")
+    assert sorted((r["cell_id"], r["feature_id"], r["feature_type"], r["value"]) for r in formats.read_matrix_market(spark, str(m)).collect()) == [("c1", "chr1:1-20", "Peaks", 5.0), ("c2", "chr2:5-9", "Peaks", 2.0)]
+    (m / "features.tsv").write_text("E1\tA\nchr1:1-2\tchr1:1-2\n")
+    assert {r["feature_type"] for r in formats.read_matrix_market(spark, str(m)).collect()} == {"Gene Expression", "Peaks"}
+    (m / "matrix.mtx").write_text("%%MatrixMarket\n2 2 9\n1 1 5\n2 2 2\n")
+    with pytest.raises(ValueError, match="says"):
+        formats.read_matrix_market(spark, str(m))
+
+
+def test_loose_gtf_and_factor_files(spark, tmp_path):
+    (tmp_path / "g.gtf").write_text('1\ts\tgene\t10\t20\t.\t+\t.\tgene_id "E1"; gene_name "A";\nshort\n2\ts\tgene\t30\t40\t.\t-\t.\tgene_id=E2;gene_name=B\n3\ts\tgene\t50\t60\t.\t+\t.\tgene_id "E9"; gene_name "A";\n')
+    wanted = spark.createDataFrame([("A",), ("E2",)], "name string")
+    assert sorted(tuple(r) for r in formats.read_gtf_loosely(spark, str(tmp_path / "g.gtf"), wanted).collect()) == [("A", "3", 50), ("E2", "2", 40)]
+    (tmp_path / "f.txt").write_text("Motif\tFactor\nM1\tb\nM1\tA\nM2\tc\n")
+    assert sorted(tuple(r) for r in formats.read_motif_factors(spark, str(tmp_path / "f.txt")).collect()) == [("M1", "A::B"), ("M2", "C")]
+
+
+def test_configurations_and_manifests():
+    assert formats.load_config('{"a": {"b": 1}}', {"a": {"b": 0, "c": 2}, "d": 3}) == {"a": {"b": 1, "c": 2}, "d": 3}
+    tasks = [{"name": "x", "output": {"dir": "o1"}, "knockout_genes": ["A"]}, {"name": "y", "output": {"dir": "o2"}, "overrides": {"k": {"m": 5}}}]
+    plans = formats.batch_plans({"defaults": {"input": {"f": "i"}}, "tasks": tasks}, {"k": {"m": 1, "n": 2}}, ["y", "x"])
+    assert [p["name"] for p in plans] == ["y", "x"] and plans[0]["config"]["k"] == {"m": 5, "n": 2} and plans[1]["config"]["input"] == {"f": "i"}
+    for bad in ([{"name": "../x", "output": {"dir": "o"}}], [tasks[0], tasks[0]], [{"name": "z"}], [tasks[0], {"name": "w", "output": {"dir": "o1"}}], [{"name": "x", "output": {"dir": "o"}, "typo": 1}]):
+        with pytest.raises(ValueError):
+            formats.batch_plans({"tasks": bad}, {})
+
+
+def test_writers_round_trip(spark, tmp_path):
+    bed = spark.createDataFrame([("chr1", 1, 5, "x", 7)], "chrom string, start long, end long, name string, score int")
+    formats.write_bed(bed, str(tmp_path / "b"))
+    assert [tuple(r) for r in formats.read_bed(spark, str(tmp_path / "b")).select("chr", "start", "end", "name").collect()] == [("chr1", 1, 5, "x")]
+    assert formats.write_results({"a": bed, "routes": bed}, str(tmp_path / "r")) == ["a"]
+    formats.write_by_intervention(spark.createDataFrame([("T/1", 2.0), ("T_1", 3.0)], "target_gene string, delta double"), str(tmp_path / "i"))
+    assert len(list((tmp_path / "i").glob("target=*"))) == 2
+    formats.write_variable_genes(spark.createDataFrame([("A", True, False), ("B", True, True), ("C", False, None)], "feature_id string, highly_variable boolean, forced boolean"), str(tmp_path / "v"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "v")).collect()] == ["A"]
+    formats.append_hits(spark.createDataFrame([("a", "1"), ("b", "2")], "key string, payload string"), str(tmp_path / "h"))
+    assert [r["payload"] for r in formats.lookup_hits(spark, str(tmp_path / "h"), ["b", "z"]).collect()] == ["2"]
+    (tmp_path / "h.csv").write_text("gene,bin\nA,1\nB,2\n")
+    assert [tuple(r) for r in formats.read_history(spark, str(tmp_path / "h.csv"), "gene string, bin int", ["B"]).collect()] == [("B", 2)]
+
+
+def test_predicted_changes_by_family(spark):
+    rng = np.random.default_rng(1)
+    singles = [(1, k, f, [float(v) for v in rng.normal(size=n)], 0.0, 2.0) for k, (f, n) in enumerate([("saturation", 4), ("spline", 8), ("network", 13), ("constant", 1)])]
+    models = spark.createDataFrame(singles, "target_id long, input_id long, family string, params array<double>, low double, high double")
+    weights = models.select("target_id", "input_id", F.lit(0.25).alias("alpha"))
+    states = spark.createDataFrame([(k, 0, 0.3 * k, 0.9) for k in range(4)], "input_id long, bin int, x_old double, x_new double")
+    want = [0.25 * np.diff(response.response(f, np.array(p), np.array([0.3 * k, 0.9]), 0.0, 2.0))[0] for _, k, f, p, _, _ in singles]
+    got = {r["input_id"]: r["delta"] for r in response.contributions(models, weights, states).collect()}
+    assert [got[k] for k in range(4)] == pytest.approx(want, abs=1e-12)
+    assert response.predict_deltas(models, weights, states).first()["delta"] == pytest.approx(sum(want), abs=1e-12)
+    with pytest.raises(Exception, match="unknown family"):
+        response.contributions(models.withColumn("family", F.lit("tree")), weights, states).collect()
+
+
+def test_small_operators(spark):
+    m = spark.createDataFrame([("M1", "A", 3.0, False), ("M2", "A", 1.0, True), ("M3", "B", 2.0, False)], "motif_id string, tf string, information double, curated boolean")
+    assert {r["tf"]: r["motif_id"] for r in motif.best_motifs(m).collect()} == {"A": "M2", "B": "M3"}
+    c = spark.createDataFrame([(1, 7, 0.5), (1, 8, -0.9), (2, 7, 0.1)], "peak_id long, target_gene long, delta double")
+    assert {r["peak_id"]: r["target_gene"] for r in effects.strongest_change(c).collect()} == {1: 8, 2: 7}
+    f = spark.createDataFrame([(1, 1.0, 1.5), (1, 3.0, 2.5), (2, 4.0, 4.0)], "k long, y double, y_hat double")
+    got = {r["k"]: r for r in screening.fit_metrics(f, ["k"]).collect()}
+    assert got[1]["rmse"] == pytest.approx(0.5) and got[1]["r2"] == pytest.approx(0.75) and got[2]["r2"] is None
+    w = spark.createDataFrame([(1, 0, 2.0), (1, 1, 6.0)], "cell_id long, bin int, w double")
+    assert sorted(r["w"] for r in binning.membership(w).collect()) == [0.25, 0.75]
+    assert (binning.max_lag(30), binning.max_lag(3), binning.max_lag(30, 2)) == (7, 1, 2)
+    p = spark.createDataFrame([(i, float(i), "ok") for i in range(101)], "q_id long, nearest double, status string")
+    assert {r["q_id"] for r in projection.out_of_distribution(p, p).where("status = 'out_of_distribution'").collect()} == {100}
+    r = spark.createDataFrame([(1, 0, 3, "supported", 2), (1, 0, 3, "supported", 1), (1, 0, 4, "no_supported_lag", None)], "peak_id long, branch long, bin int, status string, selected_lag int")
+    assert [tuple(x) for x in screening.minimum_supported_lag(r).collect()] == [(1, 0, 3, 1)]
+    v = spark.createDataFrame([(float("nan"),), (None,), (0.2,)], "p double").select(stats.safe_p(F.col("p"))).collect()
+    assert [x[0] for x in v] == [1.0, 1.0, 0.2]
+    g = spark.range(1).select(stats.gumbel_tail(F.lit(2.0), F.lit(0.0), F.lit(1.0))).first()[0]
+    beta = 6**0.5 / math.pi
+    assert g == pytest.approx(1 - math.exp(-math.exp(-(2 + 0.5772156649015329 * beta) / beta)))
+
+
+def test_lineages_number_and_merge(spark):
+    sizes = spark.createDataFrame([(1, 50), (2, 40), (3, 60), (4, 5)], "node long, n_cells long")
+    w = spark.createDataFrame([(1, 2, 9.0), (2, 3, 1.0), (3, 4, 2.0), (1, 4, 1.5)], "src long, dst long, weight double")
+    assert {r["node"]: r["lineage"] for r in network.lineages(w, sizes, 5.0, 10).collect()} == {1: 0, 2: 0, 3: 1, 4: 1}
+
+
+def test_band_in_half_bases(spark):
+    peaks = spark.createDataFrame([(1, "c", 90, 111)], "peak_id long, chr string, start long, end long")
+    genes = spark.createDataFrame([(k, "c", t) for k, t in enumerate([50, 51, 149, 150, 151])], "gene_id long, chr string, tss long")
+    assert sorted(r["tss"] for r in regions.band_pairs(peaks, genes, 50).collect()) == [51, 149, 150]
+
+
+def test_ranges_equal_plain_windows(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(g), float(x)) for g, x in zip(rng.integers(0, 3, 500), rng.integers(0, 200, 500) / 7, strict=True)]
+    df = spark.createDataFrame([(g, x, i) for i, (g, x) in enumerate(rows)], "g long, p double, i long")
+    got = screening.benjamini_hochberg(df.withColumn("p", F.col("p") / 30), "p", ["g"]).toPandas()
+    for g, part in got.groupby("g"):
+        p = np.sort(part.p.to_numpy())
+        adjusted = np.minimum.accumulate((p * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1]
+        want = {x: min(1, adjusted[np.searchsorted(p, x, "right") - 1]) for x in p}
+        assert part.p_adj.to_numpy() == pytest.approx([want[x] for x in part.p])
+
+
 def test_stage_provenance(spark, tmp_path):
     df, s = spark.range(5).withColumn("x", F.col("id") * 2), formats.Settings()
     formats.save_stage(df, str(tmp_path / "s"), s)

@@ -140,7 +140,8 @@ def model_value(family: Column, x: Column, params: Column, low: Column, high: Co
     return F.least(F.greatest(value, low), high)
 
 
-def _values(states: DataFrame) -> tuple[Column, Column]:
+def _values() -> tuple[Column, Column]:
+    """Values of a row's model at x_old and x_new."""
     return tuple(model_value(F.col("family"), F.col(c), F.col("params"), F.col("low"), F.col("high")) for c in ("x_old", "x_new"))
 
 
@@ -150,7 +151,7 @@ def predict_deltas(models: DataFrame, weights: DataFrame, states: DataFrame) ->
     Both sums are cut to the target's bounds before the difference.
     """
     joined = models.join(weights, ["target_id", "input_id"]).join(states, "input_id")
-    old, new = _values(joined)
+    old, new = _values()
     sums = joined.groupBy("target_id", "bin").agg(F.sum(F.col("alpha") * old).alias("_o"), F.sum(F.col("alpha") * new).alias("_n"), F.max("low").alias("_l"), F.max("high").alias("_h"))
     cut = lambda c: F.least(F.greatest(F.col(c), F.col("_l")), F.col("_h"))
     return sums.select("target_id", "bin", (cut("_n") - cut("_o")).alias("delta"))
@@ -159,7 +160,7 @@ def predict_deltas(models: DataFrame, weights: DataFrame, states: DataFrame) ->
 def contributions(models: DataFrame, weights: DataFrame, states: DataFrame) -> DataFrame:
     """Each input's own part alpha (f(x_new) - f(x_old)) of a target's change."""
     joined = models.join(weights, ["target_id", "input_id"]).join(states, "input_id")
-    old, new = _values(joined)
+    old, new = _values()
     return joined.select("target_id", "input_id", "bin", (F.col("alpha") * (new - old)).alias("delta"))
 
 
@@ -182,46 +183,51 @@ def propagate(state: DataFrame, relations: DataFrame, interventions: DataFrame)
     asked = interventions.groupBy("context", "intervention", F.col("feature_id")).agg(F.max("strength").alias("strength")).withColumn("layer", F.lit("gene"))
     control = state.join(interventions.select("context", "intervention").distinct(), "context").join(asked, ["context", "intervention", "layer", "feature_id"], "left")
     first = F.min("bin").over(Window.partitionBy("context", "branch"))
-    known = written(control.withColumn("first", first).select(*keys, "bin", "first", "layer", "feature_id", F.col("value").alias("control"), "strength", lost.alias("lost")), "control")
+    relations = written(relations, "relations")
+    modelled = relations.select("layer", F.col("target_id").alias("feature_id")).distinct().withColumn("modelled", F.lit(True))
+    known = control.withColumn("first", first).select(*keys, "bin", "first", "layer", "feature_id", F.col("value").alias("control"), "strength", lost.alias("lost"))
+    known = written(known.join(modelled, ["layer", "feature_id"], "left"), "control", ("bin", "layer"))
+    # what each target reads, once for all bins; a step opens its own folder
+    reads = known.where("strength is null and not lost").join(relations.withColumnRenamed("target_id", "feature_id"), ["layer", "feature_id"]).withColumn("from", F.col("bin") - F.col("lag"))
+    reads = written(reads.where(F.col("from") >= F.col("first")).select(*keys, "bin", "layer", "feature_id", "from", "input_id", "alpha", "family", "params", "low", "high"), "reads", ("bin", "layer"))
     origin = F.when(F.col("lost"), F.array(name(F.col("layer"), F.col("feature_id")))).otherwise(F.array().cast("array<string>"))
     steps = {(r["bin"], r["layer"]) for r in known.select("bin", "layer").distinct().collect()}
-    relations = written(relations, "relations")
     reach = int(relations.agg(F.max("lag")).first()[0] or 0)
     past: dict[tuple[int, str], DataFrame] = {}
     out = None
+    # expressions name columns only, so they are made once for all steps
+    old, new = _values()
+    missing = {side: F.when(F.col("of").isNull(), F.array(name(F.lit(side), F.col("input_id")))).otherwise(F.col("of")) for side in ("gene", "peak")}
+    fit = F.size("missing") == 0
+    sums = [
+        F.count("*").alias("n"), F.sum(F.when(fit, F.col("alpha") * old)).alias("old"), F.sum(F.when(fit, F.col("alpha") * new)).alias("new"), F.coalesce(F.bool_and(F.col("x_old") == F.col("x_new")), F.lit(False)).alias("same"),
+        F.max("low").alias("low"), F.max("high").alias("high"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("missing")))).alias("of"),
+    ]
+    nothing = [F.lit(0).alias("n"), *(F.lit(None).cast(t).alias(c) for c, t in (("old", "double"), ("new", "double"), ("same", "boolean"), ("low", "double"), ("high", "double"), ("of", "array<string>")))]
+    cut = lambda c: F.least(F.greatest(F.col(c), F.col("low")), F.col("high"))
+    target = F.least(F.greatest(F.col("control") + cut("new") - cut("old"), F.col("low")), F.greatest("high", "control"))
+    direct = F.col("strength").isNotNull()
+    none = F.coalesce("n", F.lit(0)) == 0
+    gone = F.col("lost") | (~direct & F.coalesce(F.size("of") > 0, F.lit(False)))
+    status = F.when(F.col("lost"), "unavailable").when(direct, "direct").when(gone, "unavailable").when(none & F.col("modelled"), "no_history").otherwise("ok")
+    value = F.when(gone, F.lit(None).cast("double")).when(direct, F.col("control") * (1 - F.col("strength"))).when(none | F.col("same"), F.col("control")).otherwise(target)
+    listed = F.when(F.col("lost"), origin).when(direct, F.array().cast("array<string>")).otherwise(F.coalesce("of", F.array().cast("array<string>")))
+    result = [*(F.col(c) for c in (*keys, "bin", "layer", "feature_id", "control")), value.alias("perturbed"), status.alias("status"), listed.alias("origin_list")]
+    states = [*(F.col(c) for c in keys), F.col("bin").alias("from"), F.col("feature_id").alias("input_id"), F.col("control").alias("x_old"), F.col("perturbed").alias("x_new"), F.col("origin_list").alias("of")]
     for bin_, layer in sorted(steps, key=lambda s: (s[0], s[1] != "gene")):
         here = known.where((F.col("bin") == bin_) & (F.col("layer") == layer))
         source = "peak" if layer == "gene" else "gene"
-        reads = here.where("strength is null and not lost").join(relations.where(F.col("layer") == layer).withColumnRenamed("target_id", "feature_id").drop("layer"), "feature_id")
-        reads = reads.withColumn("from", F.col("bin") - F.col("lag")).where(F.col("from") >= F.col("first"))
         seen = None
         for (b, side), frame in past.items():
             if side == source and b >= bin_ - reach:
-                part = frame.select(*keys, F.col("bin").alias("from"), F.col("feature_id").alias("input_id"), F.col("control").alias("x_old"), F.col("perturbed").alias("x_new"), F.col("origin_list").alias("of"))
+                part = frame.select(*states)
                 seen = part if seen is None else seen.unionByName(part)
         if seen is None:
-            moved = here.select(*keys, "feature_id", F.lit(0).alias("n"), *(F.lit(None).cast(t).alias(c) for c, t in (("old", "double"), ("new", "double"), ("same", "boolean"), ("low", "double"), ("high", "double"), ("of", "array<string>"))))
+            moved = here.select(*keys, "feature_id", *nothing)
         else:
-            both = reads.join(seen, [*keys, "from", "input_id"], "left")
-            missing = F.when(F.col("of").isNull(), F.array(name(F.lit(source), F.col("input_id")))).otherwise(F.col("of"))
-            old, new = _values(both)
-            fit = F.size(missing) == 0
-            moved = both.groupBy(*keys, "feature_id").agg(
-                F.count("*").alias("n"), F.sum(F.when(fit, F.col("alpha") * old)).alias("old"), F.sum(F.when(fit, F.col("alpha") * new)).alias("new"), F.coalesce(F.bool_and(F.col("x_old") == F.col("x_new")), F.lit(False)).alias("same"),
-                F.max("low").alias("low"), F.max("high").alias("high"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(missing)))).alias("of"),
-            )
-        got = here.join(moved, [*keys, "feature_id"], "left")
-        cut = lambda c: F.least(F.greatest(F.col(c), F.col("low")), F.col("high"))
-        target = F.least(F.greatest(F.col("control") + cut("new") - cut("old"), F.col("low")), F.greatest("high", "control"))
-        direct = F.col("strength").isNotNull()
-        none = F.coalesce("n", F.lit(0)) == 0
-        gone = F.col("lost") | (~direct & F.coalesce(F.size("of") > 0, F.lit(False)))
-        has_inputs = relations.where(F.col("layer") == layer).select(F.col("target_id").alias("feature_id")).distinct().withColumn("modelled", F.lit(True))
-        got = got.join(has_inputs, "feature_id", "left")
-        status = F.when(F.col("lost"), "unavailable").when(direct, "direct").when(gone, "unavailable").when(none & F.col("modelled"), "no_history").otherwise("ok")
-        value = F.when(gone, F.lit(None).cast("double")).when(direct, F.col("control") * (1 - F.col("strength"))).when(none | F.col("same"), F.col("control")).otherwise(target)
-        listed = F.when(F.col("lost"), origin).when(direct, F.array().cast("array<string>")).otherwise(F.coalesce("of", F.array().cast("array<string>")))
-        step = written(got.select("context", "intervention", "branch", "bin", F.col("layer"), "feature_id", "control", value.alias("perturbed"), status.alias("status"), listed.alias("origin_list")), "propagated")
+            both = reads.where((F.col("bin") == bin_) & (F.col("layer") == layer)).join(seen, [*keys, "from", "input_id"], "left")
+            moved = both.withColumn("missing", missing[source]).groupBy(*keys, "feature_id").agg(*sums)
+        step = written(here.join(moved, [*keys, "feature_id"], "left").select(*result), "propagated")
         past[bin_, layer] = step
         out = step if out is None else out.unionByName(step)
     if out is None:

@@ -29,10 +29,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """df written to the shared folder and read again: lineage is cut, and a lost executor loses nothing."""
+def written(df: DataFrame, name: str = "step", by: tuple[str, ...] = ()) -> DataFrame:
+    """df written to the shared folder and read again: lineage is cut, and a lost executor loses nothing. Columns `by` become folders."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import names, stats
-from strandline.operators import binning, effects, motif, network, projection, qc, regions, response, screening
+from strandline.operators import binning, effects, linking, motif, network, projection, qc, regions, response, screening
 from strandline.plans import frames, simulation
 from strandline.sources import formats
 from strandline.streaming import bins
@@ -389,3 +389,63 @@ def test_stream_equals_batch(spark, tmp_path):
     got = bins.run_to_memory(bins.windowed_means(bins.read_events(spark, str(tmp_path / "e"), 1), late="400 days"), "means").toPandas()
     want = bins.windowed_means(spark.read.parquet(str(tmp_path / "e"))).toPandas()
     assert got.sort_values(["start", "event_type"]).n.tolist() == want.sort_values(["start", "event_type"]).n.tolist()
+
+
+def test_cells_and_labels_must_agree(spark):
+    cells = spark.createDataFrame([(1, 0.5), (2, 0.7), (3, 0.9)], "cell_id long, t double")
+    some = spark.createDataFrame([(1, "a"), (3, "b")], "cell_id long, label string")
+    kept = linking.align_cells(cells, some)
+    assert {r["cell_id"]: r["label"] for r in linking.attach_labels(kept, some).collect()} == {1: "a", 3: "b"}
+    with pytest.raises(Exception, match="lacks reference cell 9"):
+        linking.align_cells(cells, spark.createDataFrame([(1,), (9,)], "cell_id long")).count()
+    for labels in ([(1, "a"), (2, "b"), (3, None)], [(1, "a"), (2, "b")], [(1, "a"), (2, "b"), (3, "c"), (4, "d")]):
+        with pytest.raises(Exception, match="differ"):
+            linking.attach_labels(cells, spark.createDataFrame(labels, "cell_id long, label string")).collect()
+    with pytest.raises(Exception, match="repeated cell_id 1"):
+        linking.align_cells(cells, spark.createDataFrame([(1,), (1,)], "cell_id long")).collect()
+
+
+def test_names_of_genes(spark):
+    records = spark.createDataFrame([("E1", "A"), ("E2", "A"), ("E3", "A_01"), ("E4", "B")], "id string, name string")
+    assert {r["id"]: r["label"] for r in linking.numbered_labels(records).collect()} == {"E1": "A_01__E1", "E2": "A_02", "E3": "A_01", "E4": "B"}
+    rows = spark.createDataFrame([(1, "E4,E2.7"), (2, None), (3, "PEAK:1:2-3"), (4, "E4,E2.7")], "k long, gene string")
+    got = {r["k"]: r for r in linking.present_genes(rows, records, "gene").collect()}
+    assert (got[1]["gene"], got[1]["gene_id"], got[1]["gene_name"], got[4]["gene_display_names_json"]) == ("B,A_02", "E4,E2", "B,A", '["B","A_02"]')
+    assert got[2]["gene"] is None and got[3]["gene_id"] == "PEAK:1:2-3" and got[3]["gene_ids_json"] is None
+    with pytest.raises(Exception, match="unknown gene id E9"):
+        linking.present_genes(spark.createDataFrame([("E9",)], "gene string"), records, "gene").collect()
+
+
+def test_requests_and_declarations(spark):
+    aliases = spark.createDataFrame([("x", "1"), ("y", "2"), ("y", "3"), ("2", "3")], "alias string, id string")
+    asked = linking.request_matches(spark.createDataFrame([("x",), ("y",), ("z",), ("2",)], "request string"), aliases)
+    assert {r["request"]: (r["status"], r["id"]) for r in asked.collect()} == {"x": ("found", "1"), "y": ("ambiguous", None), "z": ("unknown", None), "2": ("found", "2")}
+    rows = spark.createDataFrame([("1",), ("2",), ("3",)], "gene string")
+    assert sorted(r[0] for r in linking.requested_rows(rows, "gene", asked.where("request <> 'y'")).collect()) == ["1", "2"]
+    with pytest.raises(ValueError, match="ambiguous"):
+        linking.requested_rows(rows, "gene", asked)
+    with pytest.raises(ValueError, match="unknown"):
+        linking.requested_rows(rows, "gene", asked.where("request <> 'y'"), unknown_fails=True)
+    declared = spark.createDataFrame([(1, 2)], "target long, input long")
+    linking.require_declared(declared, declared)
+    with pytest.raises(ValueError, match="declared"):
+        linking.require_declared(spark.createDataFrame([(1, 3)], "target long, input long"), declared)
+
+
+def test_links_of_reports(spark):
+    known = spark.createDataFrame([("0",), ("cluster_1",), ("1",)], "cluster string")
+    rows = spark.createDataFrame([("cluster_0",), ("cluster_1",), ("x",)], "cluster string")
+    assert sorted(r[0] for r in linking.reconcile_clusters(rows, known).collect()) == ["0", "cluster_1", "x"]
+    with pytest.raises(Exception, match="two spellings"):
+        linking.reconcile_clusters(spark.createDataFrame([("cluster_0",), ("0",)], "cluster string"), known).collect()
+    e = spark.createDataFrame([("ok", 1.0, None), ("ok", float("nan"), None), ("bad", 1.0, None), (None, 1.0, None), ("ok", 2.0, "unavailable")], "status string, delta_rna double, aggregation_scope string")
+    assert [r["plot_available"] for r in linking.available_effects(e).collect()] == [True, False, False, False, False]
+    with pytest.raises(ValueError, match="no effect column"):
+        linking.available_effects(known)
+    labels = spark.createDataFrame([("a", "10"), ("a", "9"), ("b", "10"), ("b", "x"), ("b", "9"), ("b", None)], "k string, label string")
+    assert sorted(tuple(r) for r in linking.ordered_labels(labels, "k", "label").collect()) == [("a", "10", 2), ("a", "9", 1), ("b", "10", 1), ("b", "9", 2), ("b", "x", 3)]
+    routes = spark.createDataFrame([(1, 7, 0, 2, "supported", 1, 1), (1, 7, 0, 1, "no_supported_lag", None, -1)], "tf long, peak_id long, branch long, bin int, status string, selected_lag int, source_bin int")
+    state = spark.createDataFrame([(i, 0, b, 10.0 * i + b) for i in (1, 7) for b in range(3)], "feature_id long, branch long, bin int, value double")
+    assert sorted(tuple(r) for r in linking.aligned_rows(state, state, routes).collect()) == [(7, 1, 0, 1, 71.0, 0.0, False), (7, 1, 0, 2, 72.0, 11.0, True)]
+    with pytest.raises(Exception, match="lag differ"):
+        linking.aligned_rows(state, state, routes.withColumn("source_bin", F.lit(0))).collect()

@@ -116,9 +116,9 @@ def top_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.top_responses(curves, 25).select("tf", "peak_id", "lag", "r2")
 
 
-@query("""WITH s AS (SELECT l_suppkey AS peak_id, l_linenumber AS cluster, round(avg(l_extendedprice), 4) AS b, round(avg(l_extendedprice * (1 - l_discount)), 4) AS p, count(DISTINCT l_partkey % 9) FILTER (l_returnflag = 'R') AS u, count(DISTINCT l_partkey) AS g, count(*) AS e FROM lineitem GROUP BY 1, 2)
+@query("""WITH s AS (SELECT l_suppkey AS peak_id, l_linenumber AS cluster, round(avg(ln(1 + l_extendedprice)), 4) AS b, round(avg(ln(1 + l_extendedprice * (1 - l_discount))), 4) AS p, count(DISTINCT l_partkey % 9) FILTER (l_returnflag = 'R') AS u, count(DISTINCT l_partkey) AS g, count(*) AS e FROM lineitem GROUP BY 1, 2)
 SELECT peak_id, printf('Peak %s in cluster %s', CAST(peak_id AS VARCHAR), CAST(cluster AS VARCHAR)) || chr(10) || printf('A accessibility: %.4f before, %.4f after, change %.4f', b, p, round(p - b, 4)) || chr(10) || CASE WHEN u > 0 THEN printf('B upstream factors: %d', u) ELSE 'B upstream factors: none found with confidence' END || chr(10) || printf('C direct effects: %d genes over %d edges', g, e) AS report FROM s""")
 def peak_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = F.when(F.col("l_returnflag") == "R", F.col("l_partkey") % 9)
-    s = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("peak_id"), F.col("l_linenumber").alias("cluster")).agg(F.round(F.avg("l_extendedprice"), 4).alias("baseline"), F.round(F.avg(F.expr("l_extendedprice * (1 - l_discount)")), 4).alias("perturbed"), F.countDistinct(back).alias("n_upstream"), F.countDistinct("l_partkey").alias("n_genes"), F.count("*").alias("n_edges"))
+    s = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("peak_id"), F.col("l_linenumber").alias("cluster")).agg(F.round(F.avg(F.log1p("l_extendedprice")), 4).alias("baseline"), F.round(F.avg(F.expr("ln(1 + l_extendedprice * (1 - l_discount))")), 4).alias("perturbed"), F.countDistinct(back).alias("n_upstream"), F.countDistinct("l_partkey").alias("n_genes"), F.count("*").alias("n_edges"))
     return linking.peak_reports(s.withColumn("delta", F.round(F.col("perturbed") - F.col("baseline"), 4)))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from strandline.functions import stats
 from strandline.operators import motif, projection
-from strandline.plans.frames import read
+from strandline.plans.frames import atac, read, rna
 from strandline.plans.registry import query
+from strandline.storage import written
 
 # Three small count matrices (rows A, C, G, T) for the scan queries.
 MOTIFS = [
@@ -140,3 +141,12 @@ def source_language_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 def turn_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "conversations").withColumn("before", F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")))
     return c.groupBy("role").agg(F.count("*").alias("n_turns"), F.sum(F.when(F.col("before") == F.col("role"), 1).otherwise(0)).cast("long").alias("repeats"), F.sum(F.length("text")).alias("chars"))
+
+
+@query()
+def joint_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five coordinates a modality of all cells with both, each modality of the same total size."""
+    e, a = rna(spark, sf_dir), atac(spark, sf_dir)
+    cells = e.select("cell_id").intersect(a.select("cell_id"))
+    v = [written(projection.variable_vectors(t, cells), "vectors") for t in (e, a)]
+    return projection.joint_embedding(*v, 5)

@@ -449,3 +449,28 @@ def test_links_of_reports(spark):
     assert sorted(tuple(r) for r in linking.aligned_rows(state, state, routes).collect()) == [(7, 1, 0, 1, 71.0, 0.0, False), (7, 1, 0, 2, 72.0, 11.0, True)]
     with pytest.raises(Exception, match="lag differ"):
         linking.aligned_rows(state, state, routes.withColumn("source_bin", F.lit(0))).collect()
+
+
+def test_joint_embedding_of_two_modalities(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(80, 6)) * [5, 3, 2, 1, 1, 1], rng.normal(size=(80, 4)) * [9, 1, 1, 0]
+    frames_ = [spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, vec array<double>") for m in (a, b)]
+    parts = []
+    for m in (a, b):
+        u, s, _ = np.linalg.svd(m - m.mean(axis=0), full_matrices=False)
+        parts.append((u * s, s))
+    want = np.hstack([c[:, :k] / np.sqrt((c[:, :k] ** 2).sum(axis=1).mean()) for (c, _), k in zip(parts, (5, 3))])
+    got = np.stack(projection.joint_embedding(*frames_, 5).orderBy("id").toPandas().coords.to_list())
+    assert np.abs(got) == pytest.approx(np.abs(want), abs=1e-7)
+    w = [np.sqrt((s[:2] ** 2).sum() / (s**2).sum()) for _, s in parts]
+    want = np.hstack([c[:, :2] * w[1 - i] / sum(w) for i, (c, _) in enumerate(parts)])
+    got = np.stack(projection.joint_embedding(*frames_, 2, equal_rms=False).orderBy("id").toPandas().coords.to_list())
+    assert np.abs(got) == pytest.approx(np.abs(want), abs=1e-7)
+    with pytest.raises(ValueError, match="does not vary"):
+        projection.joint_embedding(frames_[0], frames_[1].withColumn("vec", F.array(F.lit(1.0))), 2)
+    e = spark.createDataFrame([(1, 5, 2.0), (2, 5, 4.0), (1, 6, 1.0), (2, 6, 1.0), (9, 5, 7.0)], "cell_id long, feature_id long, value double")
+    cells = spark.createDataFrame([(1,), (2,), (3,)], "cell_id long")
+    assert {r["id"]: r["vec"] for r in projection.variable_vectors(e, cells, 1).collect()} == {1: [2.0], 2: [4.0], 3: [0.0]}
+    qc.require_size(e, 3, 2)
+    with pytest.raises(ValueError, match="3 cells and 2 features"):
+        qc.require_size(e)

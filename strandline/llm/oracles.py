@@ -19,4 +19,32 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesc
 FROM sets s LEFT JOIN least_of l ON l.u = s.doc_id
 """
 
-ORACLES = {"op9_minmax_near_dedup": NEAR_DUPLICATES}
+#: Two to the power of 64, as a number of 128 bits.
+WRAP = "18446744073709551616::UHUGEINT"
+
+SHARDS = f"""
+WITH RECURSIVE
+remainders AS (
+  SELECT i, 0 AS k, i::UINTEGER AS v FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UINTEGER) ELSE v >> 1 END FROM remainders WHERE k < 8),
+by_byte AS (SELECT list(v ORDER BY i) AS t FROM remainders WHERE k = 8),
+bytes AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size,
+         list_prepend(4294967295::UINTEGER, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: CAST('0x' || x AS UINTEGER))) AS b
+  FROM documents),
+summed AS (SELECT doc_id, size, CAST(xor(list_reduce(b, lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295::UINTEGER) AS BIGINT) AS text_crc32 FROM bytes, by_byte),
+k0 AS (SELECT doc_id, CASE WHEN doc_id < 0 THEN ({WRAP} - (-(doc_id::HUGEINT))::UHUGEINT)::UBIGINT ELSE doc_id::UBIGINT END AS x FROM (SELECT DISTINCT coalesce(doc_id, 0) AS doc_id FROM documents)),
+k1 AS (SELECT doc_id, (xor(x, x >> 30)::UHUGEINT * 13787848793156543929 % {WRAP})::UBIGINT AS x FROM k0),
+k2 AS (SELECT doc_id, (xor(x, x >> 27)::UHUGEINT * 10723151780598845931 % {WRAP})::UBIGINT AS x FROM k1),
+jumps AS (
+  SELECT doc_id, xor(x, x >> 31) AS state, 0::DOUBLE AS here FROM k2
+  UNION ALL
+  SELECT doc_id, state, floor((here + 1) * (2147483648::DOUBLE / ((state >> 33) + 1)::DOUBLE))
+  FROM (SELECT doc_id, here, ((state::UHUGEINT * 2862933555777941757 + 1) % {WRAP})::UBIGINT AS state FROM jumps WHERE here < 25)),
+placed AS (SELECT doc_id, CAST(max(here) FILTER (here < 24) AS INTEGER) AS shard, CAST(max(here) FILTER (here < 25) AS INTEGER) AS grown_shard FROM jumps GROUP BY doc_id)
+SELECT s.doc_id, s.size, s.text_crc32, 'key' AS law, p.shard,
+       row_number() OVER (PARTITION BY p.shard ORDER BY s.doc_id NULLS FIRST, s.text_crc32, s.size) - 1 AS slot, p.grown_shard
+FROM summed s JOIN placed p ON p.doc_id = coalesce(s.doc_id, 0)
+"""
+
+ORACLES = {"op9_minmax_near_dedup": NEAR_DUPLICATES, "op12_jump_hash_sharding": SHARDS}

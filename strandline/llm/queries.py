@@ -16,6 +16,7 @@ from strandline.llm.neardup import near_duplicates
 from strandline.llm.packing import pack
 from strandline.llm.pii import personal_data
 from strandline.llm.quality import score_quality
+from strandline.llm.sharding import shard_documents
 from strandline.llm.tokencount import count_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,8 +73,13 @@ def op10_boosted_tree_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_jump_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards by their ids, with the shard each would have among 25."""
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    each = (op1_hyperdimensional_language_id, op2_separator_scan_token_counts, op3_first_fit_decreasing_packing, op4_balanced_posting_lists_ann, op5_brown_class_lm, op6_weak_supervision_pii, op7_improbable_feature_fingerprints, op8_soft_membership_mixing, op9_minmax_near_dedup, op10_boosted_tree_quality)
+    each = (op1_hyperdimensional_language_id, op2_separator_scan_token_counts, op3_first_fit_decreasing_packing, op4_balanced_posting_lists_ann, op5_brown_class_lm, op6_weak_supervision_pii, op7_improbable_feature_fingerprints, op8_soft_membership_mixing, op9_minmax_near_dedup, op10_boosted_tree_quality, op12_jump_hash_sharding)
     return {f.__name__: f for f in each}
 
 

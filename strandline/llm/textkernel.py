@@ -65,9 +65,9 @@ def chunk_ranges(offsets: np.ndarray, limit: int = CHUNK_BYTES, most: int = 4096
         i = j
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and for each document the index of its first word (one more at the end)."""
-    inside = ~_SPACE[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and for each document the index of its first word (one more at the end); space tells the bytes between words."""
+    inside = ~space[data]
     before = np.empty_like(inside)
     before[1:] = inside[:-1]
     first = offsets[:-1][offsets[:-1] < len(data)]
@@ -106,10 +106,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
     return out
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
-    """The lower-cased words of all documents, and each document's first word (one more at the end)."""
+def words_of(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[pa.StringArray, np.ndarray]:
+    """The words of all documents, lower-cased if fold, and each document's first word (one more at the end)."""
     starts, ends, at = word_spans(data, offsets)
-    folded = _FOLD[data][~_SPACE[data]]
+    folded = (_FOLD[data] if fold else data)[~_SPACE[data]]
     place = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
     return pa.StringArray.from_buffers(len(starts), pa.py_buffer(place), pa.py_buffer(folded)), at
 

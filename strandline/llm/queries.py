@@ -16,6 +16,7 @@ from strandline.llm.neardup import near_duplicates
 from strandline.llm.packing import pack
 from strandline.llm.pii import personal_data
 from strandline.llm.quality import score_quality
+from strandline.llm.runs import periodic_ends, run_digests
 from strandline.llm.sharding import shard_documents
 from strandline.llm.tokencount import count_documents
 
@@ -78,8 +79,13 @@ def op12_jump_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_baier_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the words of all documents, about every tenth of which gets a periodic end."""
+    return run_digests(periodic_ends(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
-    each = (op1_hyperdimensional_language_id, op2_separator_scan_token_counts, op3_first_fit_decreasing_packing, op4_balanced_posting_lists_ann, op5_brown_class_lm, op6_weak_supervision_pii, op7_improbable_feature_fingerprints, op8_soft_membership_mixing, op9_minmax_near_dedup, op10_boosted_tree_quality, op12_jump_hash_sharding)
+    each = (op1_hyperdimensional_language_id, op2_separator_scan_token_counts, op3_first_fit_decreasing_packing, op4_balanced_posting_lists_ann, op5_brown_class_lm, op6_weak_supervision_pii, op7_improbable_feature_fingerprints, op8_soft_membership_mixing, op9_minmax_near_dedup, op10_boosted_tree_quality, op12_jump_hash_sharding, op13_baier_lyndon_runs)
     return {f.__name__: f for f in each}
 
 

@@ -47,4 +47,26 @@ SELECT s.doc_id, s.size, s.text_crc32, 'key' AS law, p.shard,
 FROM summed s JOIN placed p ON p.doc_id = coalesce(s.doc_id, 0)
 """
 
-ORACLES = {"op9_minmax_near_dedup": NEAR_DUPLICATES, "op12_jump_hash_sharding": SHARDS}
+COLLOCATIONS = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(list_transform(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]'),
+                               lambda p: list_filter(regexp_split_to_array(p, '[\\x20\\x09]+'), lambda x: x <> ''))) AS w
+  FROM documents),
+grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS g FROM pieces, range(1, 6) t(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, g, count(*) AS f FROM grams GROUP BY lang, k, g),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+frequent AS (SELECT * FROM f WHERE f >= 100),
+kept AS (
+  SELECT * FROM frequent c WHERE k >= 2 AND NOT EXISTS (
+    SELECT 1 FROM frequent d, range(1, 5) t(i) WHERE d.lang = c.lang AND d.k > c.k AND i <= d.k - c.k + 1 AND d.g[i:i + c.k - 1] = c.g AND 100 * d.f >= 100 * c.f)),
+cuts AS (
+  SELECT c.lang, c.g, c.f AS a, j, l.f AS l, r.f AS r, n, CAST(1000 * c.f::HUGEINT * n // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM kept c JOIN range(1, 5) t(j) ON j < c.k JOIN total USING (lang)
+  JOIN frequent l ON l.lang = c.lang AND l.g = c.g[:j] JOIN frequent r ON r.lang = c.lang AND r.g = c.g[j + 1:]),
+worst AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, j) AS nth FROM cuts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(g, ' '))) AS rank FROM worst WHERE nth = 1)
+SELECT lang, rank, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+ORACLES = {"op9_minmax_near_dedup": NEAR_DUPLICATES, "op11_trie_collocations": COLLOCATIONS, "op12_jump_hash_sharding": SHARDS}

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm.ann import nearest
+from strandline.llm.collocation import collocations
 from strandline.llm.common import table
 from strandline.llm.fingerprint import fingerprints
 from strandline.llm.langid import held_out_languages
@@ -74,6 +75,11 @@ def op10_boosted_tree_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_trie_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of each language of all documents."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_jump_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards by their ids, with the shard each would have among 25."""
     return shard_documents(table(spark, sf_dir, "documents"))
@@ -85,7 +91,7 @@ def op13_baier_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    each = (op1_hyperdimensional_language_id, op2_separator_scan_token_counts, op3_first_fit_decreasing_packing, op4_balanced_posting_lists_ann, op5_brown_class_lm, op6_weak_supervision_pii, op7_improbable_feature_fingerprints, op8_soft_membership_mixing, op9_minmax_near_dedup, op10_boosted_tree_quality, op12_jump_hash_sharding, op13_baier_lyndon_runs)
+    each = (op1_hyperdimensional_language_id, op2_separator_scan_token_counts, op3_first_fit_decreasing_packing, op4_balanced_posting_lists_ann, op5_brown_class_lm, op6_weak_supervision_pii, op7_improbable_feature_fingerprints, op8_soft_membership_mixing, op9_minmax_near_dedup, op10_boosted_tree_quality, op11_trie_collocations, op12_jump_hash_sharding, op13_baier_lyndon_runs)
     return {f.__name__: f for f in each}
 
 

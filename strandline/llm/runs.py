@@ -135,15 +135,15 @@ class Extensions:
             high[todo] = np.where(good, high[todo], size - 1)
         return low
 
-    def exact(self, start: int, period: int, root: int) -> tuple[int, int]:
-        """Start and end of the stretch of a period around root, word by word: for sums that agree by chance."""
+    def exact(self, period: int, root: int) -> tuple[int, int, int]:
+        """Start, end and period of the stretch around root, word by word: for sums that agree by chance."""
         x, end = self.letters, root + period
         while end < self.n and x[end] == x[end - period]:
             end += 1
         start = root
         while start > 0 and x[start - 1] == x[start - 1 + period]:
             start -= 1
-        return start, end
+        return start, end, period
 
 
 def runs_of(codes: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,14 +171,14 @@ def runs_of(codes: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarr
     enough = end - start >= np.maximum(2 * roots, least)
     start, end, roots, at = start[enough], end[enough], roots[enough], at[enough]
     order = np.lexsort((end, roots, start))
-    ordered = np.stack([start, roots, end])[:, order]
-    one = order[np.any(np.diff(ordered, prepend=-1) != 0, axis=0)]
-    start, end, roots, at = start[one], end[one], roots[one], at[one]
-    size = end - start - roots
-    flat = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    wrong = np.add.reduceat(letters[flat] != letters[flat + np.repeat(roots, size)], np.cumsum(size) - size) > 0 if len(size) else np.zeros(0, bool)
-    for k in np.flatnonzero(wrong).tolist():
-        start[k], end[k] = both.exact(int(start[k]), int(roots[k]), int(at[k]))
+    start, end, roots, at = (x[order] for x in (start, end, roots, at))
+    new = np.any(np.diff(np.stack([start, roots, end]), prepend=-1) != 0, axis=0)
+    one = np.flatnonzero(new)
+    size = end[one] - start[one] - roots[one]
+    flat = np.repeat(start[one] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    wrong = np.add.reduceat(letters[flat] != letters[flat + np.repeat(roots[one], size)], np.cumsum(size) - size) > 0 if len(size) else np.zeros(0, bool)
+    again = [both.exact(int(roots[k]), int(at[k])) for k in np.flatnonzero(wrong[np.cumsum(new) - 1]).tolist()] if wrong.any() else []
+    start, end, roots = (np.append(x[one[~wrong]], y).astype(np.int64) for x, y in zip((start, end, roots), np.array(again, np.int64).reshape(-1, 3).T, strict=True))
     found = np.unique(np.stack([start, roots, end], axis=1)[end - start >= np.maximum(2 * roots, least)], axis=0)
     return found[:, 0], found[:, 2], found[:, 1]
 

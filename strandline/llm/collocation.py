@@ -143,55 +143,79 @@ class Trie:
             yield at, state
 
 
+class Slots:
+    """The places of a double array: which are taken, and where a row of children fits."""
+
+    def __init__(self, first: int, size: int):
+        self.used = np.zeros(size, bool)
+        self.used[:first] = True
+        self.first = first
+
+    def need(self, size: int) -> None:
+        if size > len(self.used):
+            self.used = np.concatenate([self.used, np.zeros(max(size - len(self.used), len(self.used)), bool)])
+
+    def any(self, n: int) -> np.ndarray:
+        """The first n free places."""
+        self.need(int(np.count_nonzero(self.used)) + n)
+        spots = np.flatnonzero(~self.used)[:n]
+        self.used[spots] = True
+        return spots
+
+    def fit(self, codes: np.ndarray, begin: int) -> int:
+        """The first base, its first child not before `begin`, at which all places of rising codes are free."""
+        some = max(16, (1 << 15) // len(codes))
+        while True:
+            self.need(begin + int(codes[-1]) + 64 * some)
+            spots = begin + np.flatnonzero(~self.used[begin : begin + 64 * some])[:some]
+            bases = spots - int(codes[0])
+            good = np.flatnonzero(~self.used[bases[:, None] + codes].any(axis=1))
+            if len(good):
+                base = int(bases[good[0]])
+                self.used[base + codes] = True
+                return base
+            begin = int(spots[-1]) + 1 if len(spots) else begin + 64 * some
+
+
 def build_trie(phrases: np.ndarray, words: int) -> Trie:
     """A trie of rows of numbers from 1 to `words`, padded by zeros to one width; beginnings of phrases are states as well.
 
-    Level by level, each state's children are put at the first base where all their places are free: states of many children first.
+    Level by level, states of many children first: each takes the first base where all of them find free places, and looks on from where the last one
+    stands. States of one child then fill the free places in their order.
     """
     width = phrases.shape[1]
-    size = 2 * (words + 1) + 2 * phrases.size + 16
-    base, check, used = (np.zeros(size, t) for t in (np.int32, np.int32, np.uint8))
-    used[: words + 1] = 1
+    slots = Slots(words + 1, 2 * words + phrases.size + 64)
     state = phrases[:, 0].astype(np.int64)
-    rows, states, owns = [], [], []
-    low = words + 1
+    rows, states, owns, parents_of, bases_of = [], [], [], [], []
     for k in range(1, width):
         live = np.flatnonzero(phrases[:, k] > 0)
-        key = state[live] << 32 | phrases[live, k]
-        keys, place = np.unique(key, return_inverse=True)
-        parents, begin = np.unique(keys >> 32, return_index=True)
-        count = np.diff(np.append(begin, len(keys)))
-        slots = np.zeros(len(keys), np.int64)
-        for g in np.argsort(-count, kind="stable").tolist():
-            code = keys[begin[g] : begin[g] + count[g]] & 0xFFFFFFFF
-            if count[g] == 1:
-                low += int(np.argmin(used[low:])) if used[low] else 0
-                spot = max(low - int(code[0]), 0)
-                while used[spot + int(code[0])]:
-                    spot += 1
-            else:
-                spot = max(low - int(code[0]), 0)
-                while used[spot + code].any():
-                    spot += 1
-            if spot + words + 64 > len(used):
-                more = len(used)
-                base, check, used = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (base, check, used))
-            base[parents[g]] = spot
-            used[spot + code] = 1
-            check[spot + code] = parents[g]
-            slots[begin[g] : begin[g] + count[g]] = spot + code
-        state[live] = slots[place]
-        one = np.unique(place, return_index=True)[1]
+        keys, one, place = np.unique(state[live] << 32 | phrases[live, k], return_index=True, return_inverse=True)
+        code = keys & 0xFFFFFFFF
+        parents, begin, count = np.unique(keys >> 32, return_index=True, return_counts=True)
+        base = np.zeros(len(parents), np.int64)
+        many = np.flatnonzero(count > 1)
+        at = slots.first
+        for g in many[np.argsort(-count[many], kind="stable")].tolist():
+            base[g] = slots.fit(code[begin[g] : begin[g] + count[g]], at)
+            at = int(base[g] + code[begin[g]])
+        single = np.flatnonzero(count == 1)
+        base[single] = slots.any(len(single)) - code[begin[single]]
+        to = np.repeat(base, count) + code
+        parents_of.append(keys >> 32)
+        bases_of.append((parents, base))
+        states.append(to)
         rows.append(np.where(np.arange(width) <= k, phrases[live[one]], 0))
-        states.append(slots)
         asked = np.zeros(len(keys), bool)
-        ends = (phrases[live, k + 1] == 0) if k + 1 < width else np.ones(len(live), bool)
-        asked[place[ends]] = True
+        asked[place[(phrases[live, k + 1] == 0) if k + 1 < width else np.ones(len(live), bool)]] = True
         owns.append(asked)
-    row = np.full(len(base), -1, np.int32)
-    flat = np.concatenate(states) if states else np.zeros(0, np.int64)
+        state[live] = to[place]
+    slots.need(max([0, *(int(b.max(initial=0)) for _, b in bases_of)]) + words + 1)
+    base, check, row = (np.full(len(slots.used), x, np.int32) for x in (0, 0, -1))
+    for (parents, bases), from_, to in zip(bases_of, parents_of, states, strict=True):
+        base[parents], check[to] = bases, from_
+    flat = np.concatenate([np.zeros(0, np.int64), *states])
     row[flat] = np.arange(len(flat))
-    return Trie(base, check, row, np.concatenate(rows) if rows else np.zeros((0, width), np.int32), np.concatenate(owns) if owns else np.zeros(0, bool))
+    return Trie(base, check, row, np.concatenate([np.zeros((0, width), np.int32), *rows]), np.concatenate([np.zeros(0, bool), *owns]))
 
 
 def _sum(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

@@ -164,17 +164,17 @@ class Slots:
 
     def fit(self, codes: np.ndarray, begin: int) -> int:
         """The first base, its first child not before `begin`, at which all places of rising codes are free."""
-        some = max(16, (1 << 15) // len(codes))
+        wide, most = 32, max(32, (1 << 18) // len(codes))
         while True:
-            self.need(begin + int(codes[-1]) + 64 * some)
-            spots = begin + np.flatnonzero(~self.used[begin : begin + 64 * some])[:some]
+            self.need(begin + int(codes[-1]) + wide)
+            spots = begin + np.flatnonzero(~self.used[begin : begin + wide])
             bases = spots - int(codes[0])
             good = np.flatnonzero(~self.used[bases[:, None] + codes].any(axis=1))
             if len(good):
                 base = int(bases[good[0]])
                 self.used[base + codes] = True
                 return base
-            begin = int(spots[-1]) + 1 if len(spots) else begin + 64 * some
+            begin, wide = begin + wide, min(2 * wide, most)
 
 
 def build_trie(phrases: np.ndarray, words: int) -> Trie:

@@ -2,17 +2,16 @@
 
 A classifier learnt from a labelled table gives every document posteriors over domains. Rates between 0 and a most
 that a document may be repeated, one for each document, are then fitted so that the expected token totals of the domains
-meet targets: least squares on the totals, each relative to the domain's present one, with a small pull of each rate
-to 1, by accelerated projected gradient steps. The domain of the largest weight keeps its total and so sets the others';
-one too scarce for its target is repeated as far as rates go, and otherwise misses it. Each step is one pass over the
-documents' posteriors that returns as many sums as there are domains; a document's own rate follows from its posteriors
-and the history of those sums, so no rate is stored between steps. Tokens are those of the tokenizer that packing uses.
+meet targets: nonnegative least squares on the totals, each error relative to its target, with a small pull of each rate
+to 1. The rates are projected gradient steps whose gradient is one vector, a number for each domain; Newton steps on these numbers find it, each a pass over the
+documents' posteriors that returns sums of a fixed number, and a document's own rate follows from its posteriors and
+that vector, so no rate is stored. The domain of the largest weight keeps its total where that can be. Tokens are those of the tokenizer that packing uses.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -117,36 +116,44 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, label_rows: int = 12_000,
 
 @dataclass
 class Rates:
-    """The gradient history that gives a document's rate from its posteriors."""
+    """The multipliers that give a document's rate from its posteriors, with the totals asked for and reached.
+
+    status: met, scarce (domains too rare for their targets miss them), skewed (no lowering of the total brings the others to their shares),
+    limit (passes ran out; the best rates so far) or empty (no tokens, or posteriors of no model: all rates are 1).
+    """
 
-    pull: float
     most: float
-    gradients: list[np.ndarray] = field(default_factory=list)
-    target: np.ndarray | None = None
-    reached: np.ndarray | None = None
+    multipliers: np.ndarray
+    target: np.ndarray
+    reached: np.ndarray
+    status: str = "met"
+    passes: int = 0
 
     def of(self, p: np.ndarray) -> np.ndarray:
-        r = y = np.ones(len(p))
-        step, t = 1 / (1 + self.pull), 1.0
-        for g in self.gradients:
-            new = np.clip(y - step * (p @ g + self.pull * (y - 1)), 0, self.most)
-            after = (1 + np.sqrt(1 + 4 * t * t)) / 2
-            y, r, t = new + (t - 1) / after * (new - r), new, after
-        self.ahead = y
-        return r
+        return np.clip(1 - p @ self.multipliers, 0, self.most)
 
 
-def _sums(rates: Rates):
-    k = len(DOMAINS)
+def sums_of(p: np.ndarray, t: np.ndarray, multipliers: np.ndarray, most: float) -> np.ndarray:
+    """For each row of multipliers: the domains' totals, the free documents' second moments and the potential, over documents of posteriors p and t tokens."""
+    k = p.shape[1]
+    out = np.zeros((len(multipliers), k + k * k + 1))
+    for row, m in zip(out, multipliers, strict=True):
+        z = p @ m
+        r = np.clip(1 - z, 0, most)
+        row[:k] = (r * t) @ p
+        free = (r > 0) & (r < most)
+        row[k:-1] = (p[free].T @ (p[free] * t[free, None])).ravel()
+        row[-1] = t @ np.where(z >= 1, -0.5, np.where(z <= 1 - most, -most * z - (most - 1) ** 2 / 2, z * z / 2 - z))
+    return out
 
+
+def _sums(multipliers: np.ndarray, most: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, k))
+        total = np.zeros((len(multipliers), k + k * k + 1))
         for batch in batches:
             p = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float64).reshape(-1, k)
-            t = batch.column(1).to_numpy()
-            r = rates.of(p)
-            total += [(r * t) @ p, (rates.ahead * t) @ p]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * k)), pa.array(total.ravel())], ["k", "x"])
+            total += sums_of(p, batch.column(1).to_numpy().astype(float), multipliers, most)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["k", "x"])
 
     return run
 
@@ -158,32 +165,112 @@ def targets_of(now: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return w * (now[some[w[some].argmax()]] / w[some].max()) if len(some) else np.zeros(len(w))
 
 
-def fit_rates(members: DataFrame, weights: tuple[float, ...] = TARGETS, pull: float = 0.001, most: float = 4.0, steps: int = 100, close: float = 2e-3) -> Rates:
-    """Rates for members(p, n_tokens) whose expected domain totals meet the weights, none above `most`.
+#: Parts of a Newton step that one pass tries.
+STEPS = np.array([1.0, 0.3, 0.05, 0.003])
+
 
-    Steps end when the totals are within `close` of all targets, or where they no longer move because rates are at their bounds;
-    totals that still move after `steps` are an error.
+def solve(evaluate, targets: np.ndarray, scale: np.ndarray, pull: float, start: np.ndarray, passes: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Multipliers and totals for each row of targets, all in the same passes; which settled, and how many passes it took.
+
+    The least squares of (total - target) / scale with a pull of each token's rate to 1 have rates that are projected gradient steps from 1, clip(1 - p m), for
+    one vector m of multipliers, the minimum of a convex function of as many variables as domains. Newton steps find it; a
+    pass evaluates several lengths of the step, and the best one is taken.
+    """
+    k = targets.shape[1]
+    stiff = pull * scale**2 / np.maximum(targets.sum(axis=1, keepdims=True), 1e-300)
+
+    def look(m: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        got = evaluate(m)
+        return got, (stiff[own] * m * m).sum(axis=1) / 2 + (targets[own] * m).sum(axis=1) + got[:, -1]
+
+    m = start.copy()
+    rows = np.arange(len(m))
+    got, value = look(m, rows)
+    used = 1
+    live = rows
+    while used < passes:
+        slope = stiff * m + targets - got[:, :k]
+        live = rows[(np.abs(slope) > 1e-4 * scale).any(axis=1) & np.isin(rows, live)]
+        if not len(live):
+            break
+        bend = got[live, k:-1].reshape(-1, k, k) + stiff[live][:, :, None] * np.eye(k)
+        bend += np.trace(bend, axis1=1, axis2=2)[:, None, None] * 1e-9 * np.eye(k)
+        way = -np.linalg.solve(bend, slope[live][:, :, None])[:, :, 0]
+        way *= np.minimum(1, 4 * np.maximum(1, np.abs(m[live]).max(axis=1)) / np.maximum(np.abs(way).max(axis=1), 1e-300))[:, None]
+        tried = (m[live][:, None] + STEPS[None, :, None] * way[:, None]).reshape(-1, k)
+        own = np.repeat(live, len(STEPS))
+        new, values = look(tried, own)
+        used += 1
+        best = values.reshape(-1, len(STEPS)).argmin(axis=1) + np.arange(len(live)) * len(STEPS)
+        better = values[best] < value[live] - 1e-13 * np.abs(value[live])
+        took, at = live[better], best[better]
+        m[took], got[took], value[took] = tried[at], new[at], values[at]
+        # one that no step betters is as near as numbers go
+        live = took
+    return m, got[:, :k], ~np.isin(rows, live), used
+
+
+def fit_multipliers(evaluate, now: np.ndarray, weights: np.ndarray, pull: float, most: float, close: float) -> Rates:
+    """Rates whose totals meet the weights; see fit_rates. evaluate gives sums_of for rows of multipliers, now are the totals at rates of 1."""
+    k = len(weights)
+    full = targets_of(now, weights)
+    if not full.sum() > 0:
+        return Rates(most, np.zeros(k), full, now, "empty")
+    used, main = 0, int(full.argmax())
+
+    def fitted(shares: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Multipliers, totals, the largest excess or the main domain's lack, and what settled, for shares of the full target; other domains that miss theirs no longer push."""
+        nonlocal used
+        targets = shares[:, None] * full
+        scale = np.maximum(targets, 1e-3 * targets.sum(axis=1, keepdims=True))
+        m, reached, done, n = solve(evaluate, targets, scale, pull, start)
+        used += n
+        scarce = reached < targets * (1 - close)
+        scarce[:, main] = False
+        push = scarce.any(axis=1) & (reached > targets + close * scale).any(axis=1)
+        if push.any():
+            wide = np.where(scarce, 30 * scale, scale)
+            m[push], reached[push], done[push], n = solve(evaluate, targets[push], wide[push], pull, m[push])
+            used += n
+        return m, reached, np.maximum(((reached - targets) / scale).max(axis=1), 1 - reached[:, main] / targets[:, main]), done
+
+    shares, zero = np.ones(1), np.zeros((1, k))
+    m, reached, over, done = fitted(shares, zero)
+    if over[0] > 2.5 * close:
+        # the main domain's total is out of reach: the largest one at which the common domains meet their shares
+        shares = np.exp2(-np.arange(1, 17) / 2.0)
+        m, reached, over, done = fitted(shares, np.repeat(m, len(shares), axis=0))
+        good = np.flatnonzero(over <= 2.5 * close)
+        if len(good):
+            low, high, kept = shares[good[0]], 2**0.5 * shares[good[0]], m[good[0]]
+            finer = np.append(np.linspace(high, low, 16, endpoint=False)[1:], low)
+            m, reached, over, done = fitted(finer, np.repeat(kept[None], len(finer), axis=0))
+            shares = finer
+            good = np.flatnonzero(over <= 2.5 * close)
+        best = good[0] if len(good) else int(np.argmin(np.round(over, 2)))
+        shares, m, reached, over, done = (x[best : best + 1] for x in (shares, m, reached, over, done))
+    target = shares[0] * full
+    status = "limit" if not done[0] else "skewed" if over[0] > 2.5 * close else "scarce" if (reached[0] < target * (1 - 2.5 * close)).any() else "met"
+    return Rates(most, m[0], target, reached[0], status, used)
+
+
+def fit_rates(members: DataFrame, weights: tuple[float, ...] = TARGETS, pull: float = 0.001, most: float = 4.0, close: float = 2e-3) -> Rates:
+    """Rates from 0 to `most` for members(p, n_tokens) whose expected domain totals meet the weights.
+
+    Least squares of the totals' errors, each relative to its target. Targets keep the main domain's total (that of the largest weight) where that can be, or else the
+    largest part of it at which it is reached and no domain exceeds its share, by 2.5 `close`. Another domain too scarce for its target misses it, and its error then counts a thousandth, so that
+    it does not raise the others. Nothing is raised: status tells what was met, reached the totals.
     """
-    rates = Rates(pull, most)
     k = len(weights)
-    scale = last = None
-    still = 0
-    for _ in range(steps):
-        rows = members.mapInArrow(_sums(rates), "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()
-        x = np.zeros(2 * k)
+
+    def evaluate(multipliers: np.ndarray) -> np.ndarray:
+        rows = members.mapInArrow(_sums(multipliers, most, k), "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()
+        x = np.zeros(len(multipliers) * (k + k * k + 1))
         for r in rows:
             x[r["k"]] = r["x"]
-        now, ahead = x[:k], x[k:]
-        if scale is None:
-            rates.target, scale = targets_of(now, np.array(weights, float)), np.maximum(now, 1.0)
-        rates.reached = now
-        whole = max(float(rates.target.sum()), 1.0)
-        still = still + 1 if last is not None and np.abs(now - last).max() <= 0.05 * close * whole else 0
-        if np.abs(now - rates.target).max() <= close * whole or still >= 3:
-            return rates
-        last = now
-        rates.gradients.append(np.where(now > 0, (ahead - rates.target) / scale, 0.0))
-    raise RuntimeError(f"mixing rates did not settle in {steps} steps: totals {now.tolist()}, targets {rates.target.tolist()}")
+        return x.reshape(len(multipliers), -1)
+
+    return fit_multipliers(evaluate, evaluate(np.zeros((1, k)))[0, :k], np.array(weights, float), pull, most, close)
 
 
 def _posteriors(model: Classifier, column: int, path: str):
@@ -233,6 +320,8 @@ def fit(docs: DataFrame, labels: DataFrame, keep: list[str], weights: tuple[floa
     frame = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").cast("string").alias("text"))
     rows = frame.mapInArrow(_posteriors(model, frame.columns.index("text"), path or default_path()), schema_of(frame) + "_p binary, _n_tokens long")
     members = materialize(rows.select(*keep, "_p", "_n_tokens"), "mix-members")
+    if not (model.word.any() or model.stat.any() or model.bias.any()):
+        return members, Rates(4.0, np.zeros(len(weights)), np.zeros(len(weights)), np.zeros(len(weights)), "empty")
     return members, fit_rates(members.select("_p", "_n_tokens"), weights)
 
 
@@ -240,7 +329,7 @@ def mixture(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = TAR
     """doc_id, n_tokens, posteriors p_<domain>, rate and copies of every row of documents(doc_id, text, ...).
 
     Null texts count as empty: no tokens, and the posteriors of their statistics. Without labels all posteriors are equal,
-    and rates only follow the totals. Repeated rows have equal rates and copies; extra columns are ignored.
+    and all rates are 1. Repeated rows have equal rates and copies; extra columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     members, rates = fit(docs, labels, ["doc_id"], weights)

@@ -222,9 +222,32 @@ def write_variable_genes(features: DataFrame, path: str) -> None:
     features.where("highly_variable and not coalesce(forced, false)").select("feature_id").orderBy("feature_id").write.text(path)
 
 
-def deep_merge(base: dict, given: dict) -> dict:
-    """base with given's values; mappings in both are merged key by key."""
-    return base | {k: deep_merge(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in given.items()}
+def leaves(config: dict, at: tuple = ()) -> dict[tuple, object]:
+    """Values of a nested mapping by their paths; an empty mapping is a value."""
+    out: dict[tuple, object] = {}
+    for key, value in config.items():
+        out |= leaves(value, (*at, key)) if isinstance(value, dict) and value else {(*at, key): value}
+    return out
+
+
+def layered(*layers: dict) -> dict:
+    """Nested mappings over one another: a later value replaces what stands at its path, above it or below it; an empty mapping only fills a gap."""
+    kept: dict[tuple, object] = {}
+    for layer in layers:
+        for path, value in leaves(layer).items():
+            inside = [p for p in kept if p[: len(path)] == path]
+            if value == {} and any(len(p) > len(path) or kept[p] == {} for p in inside):
+                continue
+            for p in [*inside, *(path[:k] for k in range(1, len(path)))]:
+                kept.pop(p, None)
+            kept[path] = value
+    out: dict = {}
+    for path, value in kept.items():
+        here = out
+        for key in path[:-1]:
+            here = here.setdefault(key, {})
+        here[path[-1]] = dict(value) if isinstance(value, dict) else value
+    return out
 
 
 def load_config(text: str, defaults: dict) -> dict:
@@ -239,41 +262,79 @@ def load_config(text: str, defaults: dict) -> dict:
         given = yaml.safe_load(text)
     if not isinstance(given, dict):
         raise ValueError("a configuration is a mapping")
-    return deep_merge(defaults, given)
-
-
-def batch_plans(manifest: dict, base: dict, order: list[str] | None = None) -> list[dict]:
-    """Plans (name, config, targets) of a manifest's tasks: base, then its defaults, then the task's own input, output and overrides.
-
-    Names are unique and safe for folders, fields are known ones, and no two tasks share an output folder; order names tasks once each.
+    return layered(defaults, given)
+
+
+#: What a task may hold: field, type, whether it has to be there once defaults are under it.
+TASK_FIELDS = [("name", str, True), ("knockout_genes", list, True), ("base_config", str, False), ("input", dict, False), ("output", dict, False), ("overrides", dict, False), ("joint_knockout", bool, False)]
+#: Folders that a task (or the defaults) names itself, so that none is taken over from a base.
+OWN_FOLDERS = ("dir", "cache_dir")
+
+
+def target_rows(values: list) -> tuple[list[tuple[str, str]], list[str]]:
+    """(gene, TF or TARGET) of a task's knock-outs, names or mappings of gene and type, and what is wrong with them."""
+    rows, faults = [], [] if values else ["knockout_genes is empty"]
+    for value in values:
+        entry = {"gene": value} if isinstance(value, str) else value if isinstance(value, dict) else {}
+        gene, kind = entry.get("gene"), str(entry.get("type", "TF")).upper()
+        plain = isinstance(gene, str) and gene and not re.search(r"\s|^#|^all", gene, re.IGNORECASE)
+        if not plain or kind not in ("TF", "TARGET") or entry.keys() - {"gene", "type"}:
+            faults.append(f"{value!r} is no knock-out")
+        rows.append((gene, kind))
+    twice = sorted({g for g, _ in rows if isinstance(g, str) and sum(g == other for other, _ in rows) > 1})
+    return rows, faults + [f"{g} is knocked out twice" for g in twice]
+
+
+def task_faults(task: object) -> list[str]:
+    """What is wrong with one task, defaults under it, by the table of fields."""
+    if not isinstance(task, dict):
+        return ["not a mapping"]
+    faults = [f"no field {f!r} is known" for f in sorted(task.keys() - {f for f, _, _ in TASK_FIELDS})]
+    for field_, kind, needed in TASK_FIELDS:
+        if field_ not in task:
+            faults += [f"{field_} is missing"] * needed
+        elif not isinstance(task[field_], kind):
+            faults.append(f"{field_} is not a {kind.__name__}")
+    if isinstance(task.get("name"), str) and (set(task["name"]) <= {"."} and len(task["name"]) < 3 or not re.fullmatch(r"[\w.-]+", task["name"], re.ASCII)):
+        faults.append("the name is no folder's")
+    if isinstance(task.get("knockout_genes"), list):
+        faults += target_rows(task["knockout_genes"])[1]
+    return faults
+
+
+def batch_plans(manifest: dict, base: dict, order: list[str] | None = None, bases: dict[str, dict] | None = None) -> list[dict]:
+    """Plans (name, config, targets) of a manifest's tasks, in the order given; all faults of all tasks are told at once.
+
+    A configuration is the base (or the one of `bases` that base_config names), under it the overrides, then input and output. joint_knockout is set only
+    where the manifest says so. Output folders come from the task or the defaults, one `dir` a task; a checkpoint folder of the base is dropped.
     """
-    defaults, tasks = manifest.get("defaults", {}), manifest.get("tasks")
-    if not isinstance(defaults, dict) or not isinstance(tasks, list) or not tasks:
+    defaults, listed = manifest.get("defaults", {}), manifest.get("tasks")
+    if not isinstance(defaults, dict) or not isinstance(listed, list) or not listed:
         raise ValueError("a manifest has a mapping of defaults and a list of tasks")
-    plans: dict[str, dict] = {}
-    for task in tasks:
-        name = task.get("name") if isinstance(task, dict) else None
-        if not isinstance(name, str) or not re.fullmatch(r"[A-Za-z0-9_.-]+", name) or name in plans or name in (".", ".."):
-            raise ValueError(f"task names are unique and safe for folders: {name!r}")
-        options = deep_merge(defaults, task)
-        unknown = set(options) - {"name", "input", "output", "knockout_genes", "joint_knockout", "overrides"}
-        if unknown:
-            raise ValueError(f"{name}: unknown fields {sorted(unknown)}")
-        config = deep_merge(base, deep_merge(options.get("overrides", {}), {k: options[k] for k in ("input", "output") if k in options}))
-        joint = options.get("joint_knockout", False)
-        if not isinstance(joint, bool):
-            raise ValueError(f"{name}: joint_knockout is true or false")
-        if not config.get("output", {}).get("dir"):
-            raise ValueError(f"{name}: output.dir is missing")
-        plans[name] = {"name": name, "config": deep_merge(config, {"perturbation": {"joint_knockout": joint}}), "targets": list(options.get("knockout_genes") or [])}
-    folders = [p["config"]["output"]["dir"] for p in plans.values()]
-    if len(set(folders)) != len(folders):
-        raise ValueError("two tasks share an output folder")
-    if order is None:
-        return list(plans.values())
-    if len(set(order)) != len(order) or set(order) - set(plans):
+    tasks = [layered(defaults, t) if isinstance(t, dict) else t for t in listed]
+    faults = [(k, fault) for k, t in enumerate(tasks) for fault in task_faults(t)]
+    plans, seen = [], {"name": {}, "output.dir": {}}
+    for k, task in enumerate(tasks):
+        if any(at == k for at, _ in faults):
+            continue
+        own = layered(task.get("overrides", {}), {f: task[f] for f in ("input", "output") if f in task})
+        output = own.get("output", {})
+        faults += [(k, f"output.{f} is not given") for f in OWN_FOLDERS if not output.get(f)]
+        under = task.get("base_config")
+        if under is not None and under not in (bases or {}):
+            faults.append((k, f"base_config {under} is not there"))
+        said = {"joint_knockout": task["joint_knockout"]} if "joint_knockout" in task else {}
+        config = layered((bases or {}).get(under, base), {"output": {"checkpoint_dir": None}}, own, {"perturbation": said | {"knockout_type": "gene"}})
+        plans.append({"name": task["name"], "config": config, "targets": target_rows(task["knockout_genes"])[0]})
+        for what, value in (("name", task["name"]), ("output.dir", output.get("dir"))):
+            seen[what].setdefault(value, []).append(k)
+    faults += [(ks[-1], f"{what} {value} is another task's") for what, values in seen.items() for value, ks in values.items() if len(ks) > 1 and value]
+    if faults:
+        raise ValueError("; ".join(f"task {k + 1}: {fault}" for k, fault in sorted(faults, key=lambda f: f[0])))
+    wanted = {name: k for k, name in enumerate(order)} if order is not None else {p["name"]: k for k, p in enumerate(plans)}
+    if order is not None and (len(wanted) < len(order) or wanted.keys() - {p["name"] for p in plans}):
         raise ValueError("the order names unknown tasks or one twice")
-    return [plans[name] for name in order]
+    return sorted((p for p in plans if p["name"] in wanted), key=lambda p: wanted[p["name"]])
 
 
 @dataclass(frozen=True)

@@ -282,12 +282,32 @@ def test_loose_gtf_and_factor_files(spark, tmp_path):
 
 def test_configurations_and_manifests():
     assert formats.load_config('{"a": {"b": 1}}', {"a": {"b": 0, "c": 2}, "d": 3}) == {"a": {"b": 1, "c": 2}, "d": 3}
-    tasks = [{"name": "x", "output": {"dir": "o1"}, "knockout_genes": ["A"]}, {"name": "y", "output": {"dir": "o2"}, "overrides": {"k": {"m": 5}}}]
-    plans = formats.batch_plans({"defaults": {"input": {"f": "i"}}, "tasks": tasks}, {"k": {"m": 1, "n": 2}}, ["y", "x"])
-    assert [p["name"] for p in plans] == ["y", "x"] and plans[0]["config"]["k"] == {"m": 5, "n": 2} and plans[1]["config"]["input"] == {"f": "i"}
-    for bad in ([{"name": "../x", "output": {"dir": "o"}}], [tasks[0], tasks[0]], [{"name": "z"}], [tasks[0], {"name": "w", "output": {"dir": "o1"}}], [{"name": "x", "output": {"dir": "o"}, "typo": 1}]):
-        with pytest.raises(ValueError):
-            formats.batch_plans({"tasks": bad}, {})
+    assert formats.layered({"a": {"b": {"c": 1}}, "e": {}}, {"a": {"b": 2}}, {"a": {}, "e": {"f": 3}}) == {"a": {"b": 2}, "e": {"f": 3}}
+    out = {"cache_dir": "c"}
+    tasks = [
+        {"name": "x", "output": {"dir": "o1"}, "joint_knockout": False},
+        {"name": "y", "output": {"dir": "o2"}, "overrides": {"k": {"m": 5}, "output": {"dir": "no"}}, "knockout_genes": ["A", {"gene": "B", "type": "target"}]},
+        {"name": "z", "output": {"dir": "o3"}, "base_config": "other"},
+    ]
+    base = {"k": {"m": 1, "n": 2}, "perturbation": {"joint_knockout": True, "x": 1}, "output": {"dir": "old", "checkpoint_dir": "old"}}
+    manifest = {"defaults": {"input": {"f": "i"}, "output": out, "knockout_genes": ["C"]}, "tasks": tasks}
+    y, x, z = formats.batch_plans(manifest, base, ["y", "x", "z"], {"other": {"q": 1}})
+    assert (y["name"], y["config"]["k"], y["targets"]) == ("y", {"m": 5, "n": 2}, [("A", "TF"), ("B", "TARGET")])
+    # silent tasks keep what the base says
+    assert [p["config"]["perturbation"].get("joint_knockout") for p in (y, x, z)] == [True, False, None] and x["targets"] == [("C", "TF")]
+    assert y["config"]["output"] == {"dir": "o2", "cache_dir": "c", "checkpoint_dir": None} and z["config"]["q"] == 1 and base["output"]["checkpoint_dir"] == "old"
+    good = {"name": "x", "output": {"dir": "o", "cache_dir": "c"}, "knockout_genes": ["A"]}
+    bad = {
+        "folder": [good | {"name": "../x"}], "another task's": [good, good | {"name": "w"}], "name x": [good, good | {"output": {"dir": "p", "cache_dir": "c"}}], "output.dir": [good | {"output": {"cache_dir": "c"}}],
+        "typo": [good | {"typo": 1}], "not a bool": [good | {"joint_knockout": "yes"}], "twice": [good | {"knockout_genes": ["A", "A"]}], "no knock-out": [good | {"knockout_genes": ["all_tfs"]}], "missing": [{"name": "x"}],
+        "task 2.*task 3": [good, 7, {"name": ".."}], "not there": [good | {"base_config": "none"}],
+    }
+    for said, wrong in bad.items():
+        with pytest.raises(ValueError, match=said):
+            formats.batch_plans({"tasks": wrong}, {"output": {"dir": "inherited"}})
+    for order in (["x", "x"], ["x", "v"]):
+        with pytest.raises(ValueError, match="order"):
+            formats.batch_plans({"tasks": [good]}, {}, order)
 
 
 def test_writers_round_trip(spark, tmp_path):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators import response, screening
+from strandline.operators import response, screening, splines
 from strandline.plans.cohort import bin_state, lagged_rows
 from strandline.plans.frames import cells
 from strandline.plans.registry import query
@@ -39,7 +39,8 @@ def saturating_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def spline_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return response.fit_responses(pair_rows(spark, sf_dir), "spline")
+    """Bounded spline responses of all kept genes to their peaks, with roughness penalty and exponential tails."""
+    return splines.fit_splines(pair_rows(spark, sf_dir))
 
 
 @query()

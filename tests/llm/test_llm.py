@@ -606,6 +606,30 @@ def test_pipeline_keeps_one_of_repeated_rows(odd):
     assert sorted(x for x in got if x) == [1, 2, 3, 4, 5, 6, 7, 9, 10] and None in got
 
 
+def test_pipeline_stages_on_odd_and_empty_rows(spark, odd, empty, tmp_path):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0, name
+        got = [r["doc_id"] for r in stage(spark, odd, SF).collect()]
+        if name == "language_id":
+            assert set(got) <= {4, 5, 7, 8, 9, 10, 11, None} and {4, 5, 7, 11} <= set(got)
+        elif name != "mixing":
+            assert set(got) >= {1, 2, 3, 4, 5, 6, 7, 9, 10, None}, name
+    spark.read.parquet(f"{SF}/labels.parquet").where("false").write.parquet(f"{tmp_path}/labels.parquet")
+    empty.select(corpus_pipeline.COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_on_mostly_poor_documents(spark, docs, labels):
+    """Where 95 of 100 labels say poor, mixing gives documents and no error."""
+    import corpus_pipeline
+    from strandline.llm.mixing import mix
+
+    poor = labels.withColumn("quality", F.when(F.pmod("doc_id", F.lit(20)) == 0, 1).otherwise(0))
+    assert mix(docs.select(corpus_pipeline.COLUMNS), poor).count() > 0
+
+
 def test_word_spans_of_empty_documents():
     data = np.frombuffer(b"a b", np.uint8)
     s, e, at = word_spans(data, np.array([0, 0, 1, 3, 3]))

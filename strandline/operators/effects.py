@@ -78,7 +78,7 @@ def z_scores(deltas: DataFrame, control: DataFrame) -> DataFrame:
 
 def strongest_change(changes: DataFrame) -> DataFrame:
     """The change of largest size of each peak over interventions; ties to the smaller target."""
-    return changes.groupBy("peak_id").agg(F.max_by(F.struct("target_gene", "delta"), F.struct(F.abs("delta"), -F.col("target_gene"))).alias("m")).select("peak_id", "m.target_gene", "m.delta")
+    return changes.groupBy("peak_id").agg(F.min_by(F.struct("target_gene", "delta"), F.struct(-F.abs("delta"), "target_gene")).alias("m")).select("peak_id", "m.target_gene", "m.delta")
 
 
 def pathways(factor: DataFrame, peak: DataFrame, endpoints: DataFrame, clips: DataFrame | None = None) -> DataFrame:

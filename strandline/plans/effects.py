@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandline.operators import effects as fx
 from strandline.plans.frames import ATAC, CELLS, RNA, atac, bins_sql, cells, means_sql, read, rna
 from strandline.plans.registry import query
+from strandline.storage import written
 
 ENDPOINTS = """ep AS (SELECT c_nationkey % 5 AS source_context, o_orderpriority AS target_gene, l_partkey % 30 AS affected_gene, avg(l_extendedprice) AS control_mean, avg(l_extendedprice * (1 - l_discount)) AS perturbed_mean, count(*) AS n, min(l_partkey) AS low FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2, 3),
 endpoints AS (SELECT source_context, target_gene, affected_gene, control_mean, perturbed_mean, CASE WHEN (affected_gene + source_context) % 11 = 0 THEN 'quality_filtered' WHEN (affected_gene + source_context) % 13 = 0 THEN 'unavailable' ELSE 'ok' END AS status FROM ep WHERE (affected_gene * 3 + source_context) % 17 <> 0),
@@ -67,12 +68,11 @@ def merged_accessibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("target_gene", "peak_id", (F.round("delta", 6) + 0.0).alias("delta"), F.round("abs_delta", 6).alias("abs_delta"), "status", "significant")
 
 
-@query(f"""WITH {CHANGES} SELECT peak_id, target_gene, round(delta, 6) + 0.0 AS delta FROM (SELECT *, row_number() OVER (PARTITION BY peak_id ORDER BY abs(delta) DESC) AS k FROM ch) WHERE k = 1""")
+@query(f"""WITH {CHANGES} SELECT peak_id, target_gene, round(delta, 6) + 0.0 AS delta FROM (SELECT *, row_number() OVER (PARTITION BY peak_id ORDER BY abs(delta) DESC, target_gene) AS k FROM ch) WHERE k = 1""")
 def strongest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest change of each peak over all interventions and contexts."""
-    ch = changes(spark, sf_dir).withColumn("target_name", F.col("target_gene")).withColumn("target_gene", F.substring("target_gene", 1, 1).cast("int"))
-    best = ch.groupBy("peak_id").agg(F.max_by(F.struct("target_name", "delta"), F.struct(F.abs("delta"), -F.col("target_gene"))).alias("m"))
-    return best.select("peak_id", F.col("m.target_name").alias("target_gene"), (F.round("m.delta", 6) + 0.0).alias("delta"))
+    best = fx.strongest_change(changes(spark, sf_dir).where("delta is not null"))
+    return best.select("peak_id", "target_gene", (F.round("delta", 6) + 0.0).alias("delta"))
 
 
 @query(f"""WITH {CELLS}, {ATAC}, {bins_sql(16)}, {means_sql("atac", "a")}, {CHANGES}, d AS (SELECT peak_id, avg(delta) AS delta FROM ch GROUP BY 1), s AS (SELECT feature_id AS peak_id, stddev_pop(value) AS sd FROM a GROUP BY 1)
@@ -92,7 +92,8 @@ e AS (SELECT o_orderpriority AS target_gene, o_custkey % 3 AS source_context, l_
 
 def path_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     line, o = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
-    j = line.join(o, line.l_orderkey == o.o_orderkey)
+    # three tables come from one join
+    j = written(line.join(o, line.l_orderkey == o.o_orderkey).select("o_orderpriority", "o_custkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_tax"), "lines")
     base = [F.col("o_orderpriority").alias("target_gene"), (F.col("o_custkey") % 3).alias("source_context")]
     bin_ = (F.col("l_linenumber") + 3).cast("int")
     place = [F.lit(0).alias("branch"), bin_.alias("bin")]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import posixpath
 import re
 from dataclasses import asdict, dataclass, fields, replace
 
@@ -265,6 +267,22 @@ def load_config(text: str, defaults: dict) -> dict:
     return layered(defaults, given)
 
 
+#: The fields of a configuration that are paths.
+PATH_FIELDS = {"input": ("rna_h5ad", "atac_h5ad", "annotation_gtf", "genome_fasta", "target_genes"), "output": ("dir", "cache_dir", "checkpoint_dir")}
+
+
+def located(config: dict, folder: str) -> dict:
+    """config with relative paths taken from `folder`; absolute ones and those with a scheme stay, and variables of the environment are filled in."""
+    found: dict = {}
+    for section, fields_ in PATH_FIELDS.items():
+        for name in fields_:
+            value = config.get(section, {}).get(name)
+            if value is not None:
+                path = os.path.expanduser(os.path.expandvars(str(value)))
+                found.setdefault(section, {})[name] = path if re.match(r"\w+:", path) else posixpath.normpath(posixpath.join(folder, path))
+    return layered(config, found)
+
+
 #: What a task may hold: field, type, whether it has to be there once defaults are under it.
 TASK_FIELDS = [("name", str, True), ("knockout_genes", list, True), ("base_config", str, False), ("input", dict, False), ("output", dict, False), ("overrides", dict, False), ("joint_knockout", bool, False)]
 #: Folders that a task (or the defaults) names itself, so that none is taken over from a base.
@@ -302,11 +320,11 @@ def task_faults(task: object) -> list[str]:
     return faults
 
 
-def batch_plans(manifest: dict, base: dict, order: list[str] | None = None, bases: dict[str, dict] | None = None) -> list[dict]:
+def batch_plans(manifest: dict, base: dict, order: list[str] | None = None, bases: dict[str, dict] | None = None, folder: str | None = None) -> list[dict]:
     """Plans (name, config, targets) of a manifest's tasks, in the order given; all faults of all tasks are told at once.
 
     A configuration is the base (or the one of `bases` that base_config names), under it the overrides, then input and output. joint_knockout is set only
-    where the manifest says so. Output folders come from the task or the defaults, one `dir` a task; a checkpoint folder of the base is dropped.
+    where the manifest says so. With a folder (the manifest's), the tasks' relative paths are taken from it; bases come with theirs. Output folders come from the task or the defaults, one `dir` a task; a checkpoint folder of the base is dropped.
     """
     defaults, listed = manifest.get("defaults", {}), manifest.get("tasks")
     if not isinstance(defaults, dict) or not isinstance(listed, list) or not listed:
@@ -318,6 +336,7 @@ def batch_plans(manifest: dict, base: dict, order: list[str] | None = None, base
         if any(at == k for at, _ in faults):
             continue
         own = layered(task.get("overrides", {}), {f: task[f] for f in ("input", "output") if f in task})
+        own = located(own, folder) if folder else own
         output = own.get("output", {})
         faults += [(k, f"output.{f} is not given") for f in OWN_FOLDERS if not output.get(f)]
         under = task.get("base_config")

@@ -296,6 +296,9 @@ def test_configurations_and_manifests():
     # silent tasks keep what the base says
     assert [p["config"]["perturbation"].get("joint_knockout") for p in (y, x, z)] == [True, False, None] and x["targets"] == [("C", "TF")]
     assert y["config"]["output"] == {"dir": "o2", "cache_dir": "c", "checkpoint_dir": None} and z["config"]["q"] == 1 and base["output"]["checkpoint_dir"] == "old"
+    placed = formats.batch_plans(manifest | {"tasks": tasks[:2]}, base, folder="/m/n")[1]["config"]
+    assert placed["output"] == {"dir": "/m/n/o2", "cache_dir": "/m/n/c", "checkpoint_dir": None}
+    assert formats.located({"input": {"rna_h5ad": "s3://b/x", "genome_fasta": "../g.fa", "f": "y"}}, "/a/b")["input"] == {"rna_h5ad": "s3://b/x", "genome_fasta": "/a/g.fa", "f": "y"}
     good = {"name": "x", "output": {"dir": "o", "cache_dir": "c"}, "knockout_genes": ["A"]}
     bad = {
         "folder": [good | {"name": "../x"}], "another task's": [good, good | {"name": "w"}], "name x": [good, good | {"output": {"dir": "p", "cache_dir": "c"}}], "output.dir": [good | {"output": {"cache_dir": "c"}}],

@@ -40,8 +40,8 @@ def letter_vector(letter: int, dim: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64([seed, letter])).integers(0, 2, dim, dtype=np.int8) * 2 - 1
 
 
-def bundles(data: np.ndarray, offsets: np.ndarray, dim: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The vector of each document, and whether it has a letter."""
+def bundles(data: np.ndarray, offsets: np.ndarray, dim: int, seed: int, edges: tuple[bool, bool] = (True, True)) -> tuple[np.ndarray, np.ndarray]:
+    """The vector of each document, and whether it has a letter. Without an edge, the first or last letter there only stands beside the next."""
     n = len(offsets) - 1
     total, some = np.zeros((n, dim), np.float32), np.zeros(n, bool)
     if not len(data):
@@ -52,15 +52,13 @@ def bundles(data: np.ndarray, offsets: np.ndarray, dim: int, seed: int) -> tuple
         alphabet, s = np.append(0, alphabet), s + 1
     size = len(alphabet)
     at = np.searchsorted(np.flatnonzero((data & 0xC0) != 0x80), offsets)
-    # each document as 0 letters 0 letters ... 0
+    # each document's letters between zeros
     wide = np.zeros(len(s) + 2 * n, np.int64)
     owner = np.repeat(np.arange(n), np.diff(at))
     wide[np.arange(len(s)) + 2 * owner + 1] = s
     doc = np.repeat(np.arange(n), np.diff(at) + 2)
-    keep = np.ones(len(wide), bool)
-    keep[1:] = (wide[1:] != 0) | (wide[:-1] != 0)
-    wide, doc = wide[keep], doc[keep]
     mid = np.flatnonzero(wide[1:-1]) + 1
+    mid = mid[(edges[0] | (mid != 1)) & (edges[1] | (mid != len(wide) - 2))]
     kinds, gram = np.unique((wide[mid - 1] * size + wide[mid]) * size + wide[mid + 1], return_inverse=True)
     doc = doc[mid]
     some[doc] = True
@@ -79,14 +77,40 @@ def bundles(data: np.ndarray, offsets: np.ndarray, dim: int, seed: int) -> tuple
     return total, some
 
 
+def _code_point(text: np.ndarray, at: int, step: int = 1) -> int:
+    """The first place from `at` on, or back, where a code point begins or the text ends."""
+    while 0 < at < len(text) and text[at] & 0xC0 == 0x80:
+        at += step
+    return min(max(at, 0), len(text))
+
+
+def document_bundles(data: np.ndarray, offsets: np.ndarray, dim: int, seed: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Ranges of documents with their vectors and whether they have a letter.
+
+    A document longer than a chunk is taken in pieces that share a letter with each neighbour: vectors add up, so what is held does not grow with it.
+    """
+    for i, j in chunk_ranges(offsets, CHUNK, 256):
+        text = data[offsets[i] : offsets[j]]
+        if len(text) <= CHUNK:
+            yield i, j, *bundles(text, offsets[i : j + 1] - offsets[i], dim, seed)
+            continue
+        total, some = np.zeros((1, dim)), np.zeros(1, bool)
+        at = sorted({_code_point(text, c) for c in (*range(0, len(text), CHUNK), len(text))})
+        for a, b in zip(at, at[1:], strict=False):
+            lo, hi = _code_point(text, a - 1, -1), _code_point(text, b + 1)
+            v, letter = bundles(text[lo:hi], np.array([0, hi - lo]), dim, seed, (a == 0, b == len(text)))
+            total += v
+            some |= letter
+        yield i, j, total.astype(np.float32), some
+
+
 def _profile(dim: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             data, off = utf8(batch.column(0))
             lang = np.array(batch.column(1).to_pylist(), object)
-            for i, j in chunk_ranges(off, CHUNK, 256):
-                v, _ = bundles(data[off[i] : off[j]], off[i : j + 1] - off[i], dim, seed)
+            for i, j, v, _ in document_bundles(data, off, dim, seed):
                 for x in sorted(set(lang[i:j])):
                     total[x] = total.get(x, 0) + v[lang[i:j] == x].sum(axis=0, dtype=np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["lang", "v"])
@@ -120,14 +144,13 @@ def _predict(names: list[str], prototypes: np.ndarray, dim: int, seed: int):
         for batch in batches:
             data, off = utf8(batch.column(batch.num_columns - 1))
             found, score = [], []
-            for i, j in chunk_ranges(off, CHUNK, 256):
-                v, some = bundles(data[off[i] : off[j]], off[i : j + 1] - off[i], dim, seed)
+            for _, _, v, some in document_bundles(data, off, dim, seed):
                 norm = np.linalg.norm(v, axis=1)
                 some &= (norm > 0) & bool(names)
-                cosine = v @ prototypes.T / np.where(norm > 0, norm, 1)[:, None] if names else np.zeros((j - i, 1))
+                cosine = v @ prototypes.T / np.where(norm > 0, norm, 1)[:, None] if names else np.zeros((len(v), 1))
                 best = cosine.argmax(axis=1)
                 found += [names[b] if ok else "und" for b, ok in zip(best.tolist(), some.tolist(), strict=True)]
-                score.append(np.where(some, cosine[np.arange(j - i), best].clip(0, 1), 0))
+                score.append(np.where(some, cosine[np.arange(len(v)), best].clip(0, 1), 0))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
 
     return run
@@ -138,6 +161,7 @@ def identify(docs: DataFrame, training: DataFrame, keep: list[str], dim: int = 5
 
     The score is the cosine with the chosen prototype, cut to 0..1. Null texts and texts without a letter get
     und and 0, as does everything if no training row has a language. Ties go to the first language by name.
+    Long texts are taken in pieces of half a megabyte.
     """
     names, prototypes = fit_profiles(training, dim, seed, rows_per_lang)
     columns = docs.select(*keep, F.col("text").cast("string").alias("_text"))

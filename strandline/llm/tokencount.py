@@ -12,7 +12,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,43 +21,59 @@ from strandline.llm.tokens import default_path, encode_column
 BLOCKS = "file string, block long, n_ids long, n_ends long, head long, tail long, inner array<long>"
 
 
-def _payload(path: str, width: int, row_bytes: int):
-    """Rows of documents' ids, each one more than the tokenizer's, with the end after all but a row's last document."""
+#: What the two kinds of files of a run hold.
+IDS, TOKENS = 0, 1
+
+
+def _payload(path: str, width: int, run_bytes: int):
+    """Runs of documents: a row with their tokens' ids, the end after all but the last document, and a row with their own ids, joined by commas."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, size = 0, 0
+        tokens: list[bytes] = []
+        own: list[str] = []
+
+        def closed() -> pa.RecordBatch:
+            rows = [pa.array([",".join(own).encode(), b"".join(tokens)[:-width]], pa.binary()), pa.array([IDS, TOKENS], pa.int32()), pa.array([number] * 2, pa.int32())]
+            tokens.clear()
+            own.clear()
+            return pa.RecordBatch.from_arrays(rows, ["ids", "kind", "run"])
+
         for batch in batches:
-            for _, _, ids, at in encode_column(batch.column(0), path):
+            names = ["" if i is None else str(i) for i in batch.column(0).to_pylist()]
+            for first, _, ids, at in encode_column(batch.column(1), path):
                 if len(ids) and int(ids.max()) + 1 >= 1 << 8 * width:
                     raise ValueError(f"id {int(ids.max())} does not fit {width} bytes")
-                flat = np.insert(ids.astype(f"<u{width}") + np.array(1, f"<u{width}"), at[1:], 0)
-                ends = (at + np.arange(len(at)))[1:] * width
-                cut, last = [0], 0
-                for e in ends.tolist():
-                    if e - last >= row_bytes or e == ends[-1]:
-                        cut.append(e)
-                        last = e
-                raw = flat.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([raw[i : j - width] for i, j in zip(cut, cut[1:])], pa.binary())], ["ids"])
+                raw = np.insert(ids.astype(f"<u{width}") + np.array(1, f"<u{width}"), at[1:], 0).tobytes()
+                end = (at + np.arange(len(at))) * width
+                # an id counts with 16 bytes, so that runs of empty documents end too
+                cost = np.cumsum(np.diff(end) + 16)
+                i, n = 0, len(cost)
+                while i < n:
+                    spent = int(cost[i - 1]) if i else 0
+                    j = min(int(np.searchsorted(cost, spent + run_bytes - size, "left")) + 1, n)
+                    tokens.append(raw[end[i] : end[j]])
+                    own += names[first + i : first + j]
+                    size += int(cost[j - 1]) - spent
+                    if size >= run_bytes:
+                        yield closed()
+                        number, size = number + 1, 0
+                    i = j
+        if own:
+            yield closed()
 
     return run
 
 
-def write_token_files(docs: DataFrame, at: str, path: str | None = None, width: int = 2, row_bytes: int = 1 << 20, rows_per_file: int = 64) -> None:
-    """Write documents' texts as flat token files: little-endian ids of `width` bytes, each one more than the tokenizer's, 0 ending a document.
+def write_token_files(docs: DataFrame, at: str, path: str | None = None, width: int = 2, run_bytes: int = 1 << 24) -> None:
+    """Write documents as flat token files: little-endian ids of `width` bytes, each one more than the tokenizer's, 0 ending a document.
 
-    The files are written by Spark's own writer, whatever store `at` is in, in the order of each partition's rows. A file
-    holds at most rows_per_file runs of about row_bytes, or of one longer document: some 64 MB.
+    The files are written by Spark's own writer, whatever store `at` is in, one for each run of documents: a run is closed when it has
+    run_bytes (16 a document counted in), so a file is at most that and one document long. Beside each stands, from the same pass, a file with the
+    ids of its documents in their order (a null id is empty). Both are found by the task's number in the file's name and the run's in its folder.
     """
-    ids = docs.select(F.col("text").cast("string")).mapInArrow(_payload(path or default_path(), width, row_bytes), "ids binary")
-    ids.select(F.col("ids").cast("string")).write.option("lineSep", "\0" * width).option("maxRecordsPerFile", rows_per_file).text(at)
-
-
-def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, row = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(n, part)), pa.array(np.arange(row, row + n))], ["doc_id", "part", "row"])
-        row += n
+    ids = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_payload(path or default_path(), width, run_bytes), "ids binary, kind int, run int")
+    ids.select(F.col("ids").cast("string"), "kind", "run").write.option("lineSep", "\0" * width).partitionBy("kind", "run").text(at)
 
 
 def _scan(end_id: int, width: int, block_bytes: int):
@@ -99,30 +114,38 @@ def separator_scan(parts: DataFrame, end_id: int = 0, width: int = 2, block_byte
     return closed.unionAll(rest)
 
 
+def _files(spark: SparkSession, at: str, kind: int) -> DataFrame:
+    """Files of a kind, named by their run's folder and the number of the task that wrote them."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(f"{at}/kind={kind}")
+    name = F.concat_ws("/", F.regexp_extract("path", r"/(run=\d+)/", 1), F.regexp_extract("path", r"/(part-\d+)[^/]*$", 1))
+    return files.select(name.alias("file"), "content")
+
+
 def token_files(spark: SparkSession, at: str) -> DataFrame:
-    """Token files of a folder as parts for separator_scan, a file (below 2 GB) a part; larger ones have to be given in parts."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(at)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.lit(0).alias("first_block"), "content")
+    """Token files of a folder of write_token_files as parts for separator_scan, a file (below 2 GB) a part; larger ones have to be given in parts."""
+    return _files(spark, at, TOKENS).select("file", F.lit(0).alias("first_block"), "content")
+
+
+def file_documents(spark: SparkSession, at: str) -> DataFrame:
+    """(file, doc_index, doc_id) of all documents of a folder of write_token_files."""
+    own = F.split(F.rtrim(F.col("content").cast("string"), F.lit("\0")), ",")
+    each = _files(spark, at, IDS).select("file", F.posexplode(own).alias("doc_index", "doc_id"))
+    return each.select("file", F.col("doc_index").cast("long").alias("doc_index"), F.when(F.col("doc_id") != "", F.col("doc_id")).cast("long").alias("doc_id"))
 
 
 def count_documents(docs: DataFrame, path: str | None = None, width: int = 2) -> DataFrame:
     """doc_id, file, doc_index and n_tokens of every row of documents(doc_id, text, ...), by way of flat token files in the shared folder.
 
-    Null and empty texts have 0 ids; repeated rows and null ids count each on its own; extra columns are ignored. The files hold
-    no ids of documents: those come from a second read of docs, which has to give the same rows in the same order as the
-    first, as a stored table does (write other frames before). A row without a counterpart is an error.
+    Null and empty texts have 0 ids; repeated rows and null ids count each on its own; extra columns are ignored. The documents are read
+    once: tokens and ids of a run are written by one pass, so any frame will do, whatever the order of its rows. A document that stands
+    in one kind of file only is an error.
     """
     spark = docs.sparkSession
     at = new_path(spark, "token-files")
     write_token_files(docs, at, path, width)
-    counted = separator_scan(token_files(spark, at), width=width)
-    # part-00017-...-c003.txt is the fourth file of partition 17
-    named = counted.withColumn("part", F.regexp_extract("file", r"part-(\d+)", 1).cast("long")).withColumn("number", F.regexp_extract("file", r"-c(\d+)", 1).cast("int"))
-    sizes = named.groupBy("file", "part", "number").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    rows = named.join(starts, "file").select("part", (F.col("start") + F.col("doc_index")).alias("row"), "file", "doc_index", "n_tokens")
-    index = docs.select(F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_number, "doc_id long, part long, row long").withColumn("known", F.lit(True))
-    both = rows.join(index, ["part", "row"], "full")
-    sound = F.col("known").isNotNull() & F.col("file").isNotNull()
-    return both.select("doc_id", F.when(sound, F.col("file")).otherwise(F.raise_error(F.lit("documents changed between two reads")).cast("string")).alias("file"), "doc_index", "n_tokens")
+    if docs.isEmpty():
+        return spark.createDataFrame([], "doc_id long, file string, doc_index long, n_tokens long")
+    counted = separator_scan(token_files(spark, at), width=width).withColumn("counted", F.lit(True))
+    both = counted.join(file_documents(spark, at).withColumn("named", F.lit(True)), ["file", "doc_index"], "full")
+    sound = F.col("counted").isNotNull() & F.col("named").isNotNull()
+    return both.select("doc_id", F.when(sound, F.col("file")).otherwise(F.raise_error(F.lit("token and id files differ")).cast("string")).alias("file"), "doc_index", "n_tokens")

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -194,9 +195,9 @@ def test_first_fit_decreasing_places_first():
     assert bins.tolist() == [2, 0, 0, 1, 1, 1] and offsets.tolist() == [0, 0, 7, 0, 6, 8]
 
 
-def test_token_counts_round_trip(spark, docs, odd, empty, tmp_path):
-    odd.write.parquet(str(tmp_path / "odd"))
-    for frame in (docs, spark.read.parquet(str(tmp_path / "odd"))):
+def test_token_counts_round_trip(docs, odd, empty):
+    # read once: an unsorted frame, whose rows come in another order at each reading, keeps its ids
+    for frame in (docs, odd, docs.repartition(5, F.rand()).orderBy(F.rand())):
         rows = [(r["doc_id"], r["text"] or "") for r in frame.select("doc_id", "text").collect()]
         want = sorted((str(i), len(e.ids)) for (i, _), e in zip(rows, tokens.library(tokens.default_path()).encode_batch([t for _, t in rows], add_special_tokens=False), strict=True))
         assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in tokencount.count_documents(frame).collect()) == want
@@ -205,13 +206,27 @@ def test_token_counts_round_trip(spark, docs, odd, empty, tmp_path):
         tokencount.count_documents(docs, width=1).count()
 
 
-def test_token_files_are_cut_by_bytes(spark, docs, tmp_path):
-    tokencount.write_token_files(docs.coalesce(1), str(tmp_path / "t"), row_bytes=4096, rows_per_file=3)
-    sizes = [f.stat().st_size for f in (tmp_path / "t").glob("part-*")]
-    assert len(sizes) > 10
-    got = tokencount.separator_scan(tokencount.token_files(spark, str(tmp_path / "t")), block_bytes=1000)
-    assert got.count() == docs.count() and got.where("not closed").count() == 0
-    assert got.agg(F.sum("n_tokens")).first()[0] * 2 + 2 * docs.count() == sum(sizes)
+def test_token_files_are_cut_by_bytes(spark, docs, odd, tmp_path):
+    for name, frame in (("a", docs), ("b", odd)):
+        at = str(tmp_path / name)
+        tokencount.write_token_files(frame.coalesce(1), at, run_bytes=4096)
+        sizes = [f.stat().st_size for f in (tmp_path / name).glob("kind=1/run=*/part-*")]
+        assert len(sizes) == len(list((tmp_path / name).glob("kind=0/run=*/part-*"))) >= (10 if frame is docs else 3)
+        texts = [r["text"] or "" for r in frame.collect()]
+        longest = max(len(tokens.library(tokens.default_path()).encode(t, add_special_tokens=False).ids) for t in texts)
+        assert max(sizes) <= 4096 + 2 * longest + 2
+        got = tokencount.separator_scan(tokencount.token_files(spark, at), block_bytes=1000)
+        assert got.count() == len(texts) and got.where("not closed").count() == 0
+        assert got.agg(F.sum("n_tokens")).first()[0] * 2 + 2 * len(texts) == sum(sizes)
+        own = sorted((str(r["doc_id"]) for r in tokencount.file_documents(spark, at).collect()))
+        assert own == sorted(str(r["doc_id"]) for r in frame.collect())
+
+
+def test_token_runs_of_empty_documents_end(spark, tmp_path):
+    frame = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("").alias("text")).coalesce(1)
+    tokencount.write_token_files(frame, str(tmp_path / "e"), run_bytes=1800)
+    assert len(list((tmp_path / "e").glob("kind=1/run=*/part-*"))) == 10
+    assert sorted((r["doc_id"], r["doc_index"]) for r in tokencount.file_documents(spark, str(tmp_path / "e")).collect()) == [(i, i % 100) for i in range(1000)]
 
 
 def test_separator_scan_stitches_blocks(spark):
@@ -270,6 +285,28 @@ def test_language_profiles_of_many_kinds(monkeypatch):
     assert langid.bundles(data, off, 32, 1)[0] == pytest.approx(want)
 
 
+def test_language_pieces_add_up(monkeypatch):
+    texts = ["Жук ab, 日本語 𝒳é cd!" * 9, "zé" * 40, "..." * 30, "ß", "abc" * 11 + "日"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    want, some = langid.bundles(data, off, 32, 1)
+    for chunk in (4, 5, 7, 16, 61):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        got = list(langid.document_bundles(data, off, 32, 1))
+        assert np.concatenate([g[3] for g in got]).tolist() == some.tolist() == [True, True, False, True, True]
+        assert np.concatenate([g[2] for g in got]) == pytest.approx(want)
+
+
+def test_language_of_a_very_long_text_in_bounded_memory():
+    data = np.frombuffer(("the quick brown fox, " * 500_000).encode(), np.uint8)
+    tracemalloc.start()
+    ((_, _, v, some),) = langid.document_bundles(data, np.array([0, len(data)]), 64, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    one = langid.bundles(np.frombuffer(b"the quick brown fox, ", np.uint8), np.array([0, 21]), 64, 1)[0]
+    assert some[0] and v == pytest.approx(one * 500_000) and peak < 64e6 + len(data)
+
+
 def test_quality_held_out(spark, docs, labels, odd, empty):
     big, more = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = quality.score_quality(big, more).join(more, "doc_id").where("held_out").toPandas()

@@ -99,6 +99,23 @@ def branch_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("q_id", "branch", F.round("probability", 6).alias("probability"), (F.round("entropy", 6) + 0.0).alias("entropy"), "status", F.round("pseudotime", 5).alias("pseudotime"))
 
 
+@query(f"""WITH {KNN.replace("WHERE q_id <> vec_id", "WHERE vec_id % 100 <> 0")}, r AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 <> 0),
+o AS (SELECT a.vec_id, min(sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: pow(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE), 2))))) AS distance FROM r a, r b WHERE a.vec_id <> b.vec_id GROUP BY 1),
+c AS (SELECT quantile_cont(distance, 0.99) AS cut FROM o), u AS (SELECT count(DISTINCT label) AS n FROM embeddings WHERE vec_id % 100 <> 0),
+g AS (SELECT q_id, label AS branch, sum(1 / (distance + 1e-9)) AS w, sum(r_id / (distance + 1e-9)) / sum(1 / (distance + 1e-9)) AS t, min(distance) AS d FROM knn GROUP BY 1, 2), p AS (SELECT *, w / sum(w) OVER (PARTITION BY q_id) AS p FROM g),
+b AS (SELECT q_id, arg_max(branch, (round(p, 9), -branch)) AS branch, max(p) AS probability, sum(-p * ln(p)) AS entropy, arg_max(t, (round(p, 9), -branch)) AS t, min(d) AS d FROM p GROUP BY 1),
+s AS (SELECT q_id, branch, probability, t, d / cut AS score, d > cut AS far, probability < 0.6 OR entropy > 0.5 * ln(greatest(n, 2)) AS unclear FROM b, c, u)
+SELECT q_id, CASE WHEN NOT far AND NOT unclear THEN branch END AS branch, CASE WHEN NOT far AND NOT unclear THEN round(t, 5) END AS pseudotime, round(probability, 6) AS probability, round(score, 6) AS score, CASE WHEN far AND unclear THEN 'ood_and_ambiguous' WHEN far THEN 'ood' WHEN unclear THEN 'ambiguous' ELSE 'ok' END AS status FROM s""")
+def frozen_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector on a reference of all others with frozen thresholds; the axes span everything, so distances decide."""
+    e = read(spark, sf_dir, "embeddings")
+    vectors = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    reference, placed = projection.fit_reference(vectors.where("id % 100 <> 0"))
+    labels = e.where("vec_id % 100 <> 0").select(F.col("vec_id").alias("r_id"), F.col("label").alias("branch"), F.col("vec_id").cast("double").alias("pseudotime"))
+    p = projection.project_reference(reference, placed, labels, vectors.where("id % 100 = 0"))
+    return p.select("q_id", "branch", F.round("pseudotime", 5).alias("pseudotime"), F.round("probability", 6).alias("probability"), F.round("score", 6).alias("score"), "status")
+
+
 @query()
 def principal_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five principal coordinates of every vector."""

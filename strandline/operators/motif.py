@@ -36,29 +36,41 @@ def information(counts: Column) -> Column:
     return F.aggregate(counts, F.lit(0.0), lambda a, r: a + row(r))
 
 
-def _scan(motifs: list[tuple[str, np.ndarray]], threshold: float):
-    """mapInArrow function: (peak_id, seq) to hits, the scores of all windows of a sequence by one array sum a motif row."""
+def codes(seq: str | None) -> np.ndarray:
+    """0 to 3 for A, C, G, T of either case, 4 for all other letters."""
     code = np.full(256, 4)
     for k, letter in enumerate("ACGT"):
         code[[ord(letter), ord(letter.lower())]] = k
+    return code[np.frombuffer((seq or "").encode("ascii", "replace"), np.uint8)]
+
+
+def best_window(s: np.ndarray, pwm: np.ndarray) -> tuple[float, float, float, float] | None:
+    """Best score, mean, deviation and Gumbel p of all windows of a coded sequence, by one array sum a motif row whose fifth value is nan; None without windows that differ."""
+    n = len(s) - len(pwm) + 1
+    if n < 1:
+        return None
+    w = sum(pwm[j][s[j : j + n]] for j in range(len(pwm)))
+    w = w[~np.isnan(w)]
+    sd = w.std() if len(w) else 0.0
+    if sd <= 1e-9:
+        return None
+    beta = sd * 6**0.5 / np.pi
+    p = min(max(1 - np.exp(-np.exp(-(w.max() - w.mean() + 0.5772156649015329 * beta) / beta)), 0.0), 1.0)
+    return float(w.max()), float(w.mean()), float(sd), float(p)
+
+
+def _scan(motifs: list[tuple[str, np.ndarray]], threshold: float):
+    """mapInArrow function: (peak_id, seq) to hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for peak, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = code[np.frombuffer((seq or "").encode("ascii", "replace"), np.uint8)]
+                s = codes(seq)
                 for name, pwm in motifs:
-                    n = len(s) - len(pwm) + 1
-                    if n < 1:
-                        continue
-                    w = sum(pwm[j][s[j : j + n]] for j in range(len(pwm)))
-                    w = w[~np.isnan(w)]
-                    sd = w.std() if len(w) else 0.0
-                    if sd > 1e-9:
-                        beta = sd * 6**0.5 / np.pi
-                        p = min(max(1 - np.exp(-np.exp(-(w.max() - w.mean() + 0.5772156649015329 * beta) / beta)), 0.0), 1.0)
-                        if p < threshold:
-                            out.append((peak, name, float(w.max()), float(w.mean()), float(sd), float(p)))
+                    tail = best_window(s, pwm)
+                    if tail is not None and tail[3] < threshold:
+                        out.append((peak, name, *tail))
             yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.string(), *[pa.float64()] * 4))], ["peak_id", "motif_id", "best", "mean", "sd", "p_value"])
 
     return run

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import stats
-from strandline.operators import motif, projection
+from strandline.operators import families, motif, projection
 from strandline.plans.frames import atac, read, rna
 from strandline.plans.registry import query
 from strandline.storage import written
@@ -66,6 +66,18 @@ def factor_family_borrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motif.borrow_family(a, family, spark.createDataFrame([("TF1",)], "tf string"))
 
 
+@query(f"""WITH {HITS}, n AS (SELECT motif_id, string_split(tf_names, '::') AS names FROM motifs), t AS (SELECT DISTINCT unnest(names) AS tf FROM n), a AS (SELECT DISTINCT peak_id, unnest(names) AS tf FROM hits JOIN n USING (motif_id) WHERE p_value < 0.01),
+x AS (SELECT peak_id, t.tf, 1 AS k FROM a JOIN t ON t.tf <> a.tf UNION SELECT peak_id, t.tf, 2 FROM hits JOIN n USING (motif_id) JOIN t ON NOT list_contains(names, t.tf))
+SELECT peak_id, tf, CASE min(k) WHEN 1 THEN 'passive' ELSE 'active' END AS way FROM x WHERE (peak_id, tf) NOT IN (SELECT (peak_id, tf) FROM a) GROUP BY 1, 2""")
+def factor_family_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks that each factor gains from its family: members assigned below 0.01, or a matrix of another member below 0.05."""
+    m = motifs(spark)
+    assigned = written(motif.assign_factors(motif.scan(sequences(spark, sf_dir), m, 0.01), m), "assigned")
+    targets = families.named_factors(m).select("tf").distinct()
+    evidence = families.scan_families(sequences(spark, sf_dir), m, targets, 0.05, 3)
+    return families.family_additions(assigned, evidence, m, targets)
+
+
 @query("""WITH l AS (SELECT DISTINCT l_orderkey AS peak_id, 'G' || l_partkey AS gene FROM lineitem), t AS (SELECT DISTINCT 'G' || s_suppkey AS tf FROM supplier)
 SELECT peak_id, gene AS tf, CAST(rk AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY peak_id ORDER BY gene) AS rk FROM l WHERE gene IN (SELECT tf FROM t)) WHERE rk <= 5""")
 def factor_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -188,6 +190,38 @@ def _compare(rank: np.ndarray):
     return run
 
 
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+HALF = 1 << 62
+#: A range of documents has a megabyte of text or more; beyond 64 MB a range there are more ranges than shuffle partitions, up to 2^15.
+RANGE_LEAST, RANGE_MOST, RANGES = 20, 26, 1 << 15
+
+
+def range_cuts(base: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all ranges but the first, as (falling, hash) in rising order.
+
+    Quantiles of the ids, from a sketch; an id that several of them fall on is cut as often along the hashes of its texts.
+    """
+    found = base.stat.approxQuantile("place", [k / ranges for k in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
+    times = Counter(min(max(int(c), LEAST), MOST) for c in found)
+    cuts = []
+    for place in sorted(times, reverse=True):
+        # null ids have hashes of the upper half
+        low = HALF if place == LEAST else 0
+        cuts += [(~place, 0)] + [(~place, low + j * HALF // times[place]) for j in range(1, times[place])]
+    return np.array([c[0] for c in cuts], np.int64), np.array([c[1] for c in cuts], np.int64)
+
+
+def range_of(falling: np.ndarray, hashes: np.ndarray, ids: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """How many starts (falling, hash) lie at or before each row (ids, texts)."""
+    low, high = np.searchsorted(falling, ids, "left"), np.searchsorted(falling, ids, "right")
+    out = low.copy()
+    for at in np.unique(low[high > low]):
+        rows = (low == at) & (high > low)
+        stop = int(high[np.argmax(rows)])
+        out[rows] = at + np.searchsorted(hashes[at:stop], texts[rows], "right")
+    return out
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of documents(doc_id, text, ...), of their edited texts, and likenesses.
 
@@ -196,22 +230,27 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     per input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Null texts
     count as empty and have an empty fingerprint, alike only to each other. Extra columns are ignored.
 
-    Documents are dealt to buckets by ranges of ids; the head of a bucket also goes to the bucket before it, so that no
-    task needs more than its own rows.
+    Documents are dealt to ranges of ids, and those of an id with many rows to ranges of their texts' hashes, as many ranges as the bytes ask for. The first
+    row of a range also goes to the range before it, so that no task needs more than its own rows. Rows equal in id and text stay in one range.
     """
     rank = rarity(docs)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    place = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    parts = shuffle_parts(docs.sparkSession)
-    cuts = sorted(set(base.select("doc_id").stat.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    cuts = [int(c) for c in cuts]
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > place)) if cuts else F.lit(0)
-    heads = base.select(place.alias("place"), bucket.alias("bucket")).groupBy("bucket").agg(F.max("place").alias("place")).orderBy("bucket").collect()
-    before = {heads[k]["place"]: heads[k - 1]["bucket"] for k in range(len(heads))}
-    targets = [F.array(F.struct(bucket.alias("bucket"), F.lit(0).alias("ahead")))]
-    if before:
-        shift = F.element_at(F.create_map(*(F.lit(x).cast("long" if k % 2 == 0 else "int") for k, x in enumerate(y for pair in before.items() for y in pair))), place)
-        targets.append(F.when(shift.isNotNull(), F.array(F.struct(shift.alias("bucket"), F.lit(1).alias("ahead")))).otherwise(F.array().cast("array<struct<bucket:int,ahead:int>>")))
-    dealt = base.select("doc_id", "text", F.explode(F.concat(*targets)).alias("to")).select("doc_id", "text", "to.ahead", "to.bucket")
-    dealt = dealt.repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("bucket", "ahead", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    gone = F.when(F.col("doc_id").isNull(), F.lit(HALF)).otherwise(F.lit(0))
+    base = plain.withColumn("place", F.coalesce("doc_id", F.lit(LEAST))).withColumn("order", F.xxhash64("text").bitwiseAND(F.lit(HALF - 1)) + gone)
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    falling, hashes = range_cuts(base, max(1, min(size >> RANGE_LEAST, max(shuffle_parts(docs.sparkSession), min(size >> RANGE_MOST, RANGES)))))
+
+    @F.pandas_udf("int")
+    def bucket(place: pd.Series, order: pd.Series) -> pd.Series:
+        return pd.Series(range_of(falling, hashes, ~place.to_numpy(np.int64), order.to_numpy(np.int64)).astype(np.int32))
+
+    keyed = base.withColumn("bucket", bucket("place", "order"))
+    first = F.min(F.struct(F.bitwise_not("place").alias("falling"), "order"))
+    heads = keyed.select("bucket", "place", "order").groupBy("bucket").agg(first.alias("head")).orderBy("bucket").collect()
+    # a row for each range, so at most as many as there are cuts
+    starts = [(~h["head"]["falling"], h["head"]["order"], heads[k - 1]["bucket"]) for k, h in enumerate(heads)]
+    starts = docs.sparkSession.createDataFrame(starts, "place long, order long, bucket int")
+    ahead = base.join(F.broadcast(starts), ["place", "order"]).groupBy("bucket").agg(F.min(F.struct("text", "doc_id")).alias("row"))
+    both = keyed.select("doc_id", "text", F.lit(0).alias("ahead"), "place", "order", "bucket").unionAll(ahead.select("row.doc_id", "row.text", F.lit(1).alias("ahead"), F.lit(LEAST).alias("place"), F.lit(MOST).alias("order"), "bucket"))
+    dealt = both.repartitionById(len(falling) + 1, F.col("bucket")).sortWithinPartitions("bucket", "ahead", F.desc("place"), "order", "text")
     return dealt.select("doc_id", "text", "ahead").mapInArrow(_compare(rank), ROWS)

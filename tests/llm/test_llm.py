@@ -401,6 +401,26 @@ def test_fingerprints(docs, odd, empty):
     assert fingerprint.fingerprints(empty).count() == 0
 
 
+def test_hot_ids_are_cut_along_texts(spark, monkeypatch):
+    """A third of the rows with one id, copies among them, null ids and the least id: every row has its next, whatever the ranges are."""
+    monkeypatch.setattr(fingerprint, "RANGE_LEAST", 4)
+    least = -(1 << 63)
+    rows = [(7, f"text {i} of the hot id") for i in range(150)] + [(7, "a copy of one row")] * 60 + [(None, f"no id {i}") for i in range(40)] + [(None, None), (least, "least"), (least, "least too")]
+    rows += [(i * 3 - 90, f"row {i} " * (i % 5)) for i in range(150)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = frame.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    line = sorted(((-r["doc_id"] if r["doc_id"] is not None else -least + 1, r["h"] & ((1 << 62) - 1), r["text"], r["doc_id"]) for r in hashed), key=lambda x: x[:3])
+    want = []
+    for k, (_, _, t, i) in enumerate(line):
+        u, half = line[(k + 1) % len(line)][2], len(t) // 2
+        want.append((str(i), hashlib.sha256((t[: len(t) - half] + u[:half]).encode()).hexdigest()))
+    for parts in ("3", "40"):
+        monkeypatch.setattr(fingerprint, "shuffle_parts", lambda s, parts=parts: int(parts))
+        got = fingerprint.fingerprints(frame).select("doc_id", "edited_sha256", F.spark_partition_id().alias("part")).collect()
+        assert sorted((str(r["doc_id"]), r["edited_sha256"]) for r in got) == sorted(want)
+    assert len({r["part"] for r in got if r["doc_id"] == 7}) > 5 and len({r["part"] for r in got if r["doc_id"] is None}) > 1
+
+
 def test_window_pairs_equal_counting():
     d = np.random.default_rng(1).integers(97, 105, 500).astype(np.uint8)
     w = fingerprint.window_pairs(d)

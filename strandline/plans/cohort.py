@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators import binning, qc, regions, screening
+from strandline.operators import binning, planned, qc, regions, screening
 from strandline.plans.frames import ATAC, BAND, CELLS, GENES, LOCI, PEAKS, RNA, atac, bins_sql, cells, gene_loci, means_sql, peak_loci, read, rna, tail_sql
 from strandline.plans.registry import query
 from strandline.storage import written
@@ -127,6 +127,20 @@ def gaussian_bin_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.select("branch", "bin", "feature_id", F.round("value", 6).alias("value"))
 
 
+@query(f"""WITH {CELLS}, {RNA}, {KERNEL}, k AS (SELECT * FROM w WHERE w > 0.6), s AS (SELECT k.branch, k.bin, feature_id, sum(w * value) AS s FROM k JOIN rna USING (cell_id) GROUP BY 1, 2, 3),
+d AS (SELECT c.branch, c.bin, coalesce(sum(w), 0) AS t, count(w) AS support FROM centres c LEFT JOIN k ON k.branch = c.branch AND k.bin = c.bin GROUP BY 1, 2), f AS (SELECT DISTINCT feature_id FROM rna)
+SELECT d.branch, d.bin, f.feature_id, support, CASE WHEN t > 0 AND support >= (SELECT count(*) // 20 FROM cells) THEN round(coalesce(s, 0) / (t + 1e-10), 6) END AS value
+FROM d CROSS JOIN f LEFT JOIN s ON s.branch = d.branch AND s.bin = d.bin AND s.feature_id = f.feature_id""")
+def planned_bin_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means under a kernel cut at 0.6; bins that less than a twentieth of all cells support are unknown."""
+    c = cells(spark, sf_dir)
+    centres = binning.kernel_centres(c, 10, 15)
+    w = written(binning.kernel_weights(c, centres, 0.6), "weights")
+    bins = planned.planned_bins(w, centres, c.count() // 20)
+    means = planned.planned_means(rna(spark, sf_dir), w, bins)
+    return means.join(bins.select("branch", "bin", "support"), ["branch", "bin"]).select("branch", "bin", "feature_id", "support", F.round("value", 6).alias("value"))
+
+
 @query(f"""WITH {CELLS}, {KERNEL} SELECT branch, bin, round(pow(sum(w), 2) / sum(w * w), 5) AS ess, count(*) FILTER (w > 0.001) AS support, round(sum(w * pseudotime) / sum(w), 5) AS time_mean FROM w GROUP BY 1, 2""")
 def kernel_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cells(spark, sf_dir)

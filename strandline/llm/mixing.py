@@ -36,11 +36,15 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Distinct hashed words of each document, without a mark at either end (flat, and where each document's begin), and its statistics."""
     n = len(off) - 1
     s, e, at = word_spans(data, off)
-    s, e = s + (_MARK[data[s]] & (e - s > 1)), e - (_MARK[data[e - 1]] & (e - s > 2))
-    w = span_hashes(data, s, e)
-    doc = np.repeat(np.arange(n), np.diff(at))
-    key = np.unique(doc * HASHED + (w >> np.uint64(40)).astype(np.int64) % HASHED)
-    return key % HASHED, np.searchsorted(key, np.arange(n + 1) * HASHED), statistics(data, off)
+    h = span_hashes(data, s, e)
+    stats = statistics(data, off, (s, e, at), h)
+    # bare words, hashed anew only where a mark was cut off
+    head, tail = _MARK[data[s]] & (e - s > 1), _MARK[data[e - 1]] & (e - s > 2)
+    bare = np.flatnonzero(head | tail)
+    h[bare] = span_hashes(data, s[bare] + head[bare], e[bare] - tail[bare])
+    key = np.sort(np.repeat(np.arange(n), np.diff(at)) * HASHED + (h >> np.uint64(40)).astype(np.int64) % HASHED)
+    key = key[np.diff(key, prepend=-1) > 0]
+    return key % HASHED, np.searchsorted(key, np.arange(n + 1) * HASHED), stats
 
 
 @dataclass

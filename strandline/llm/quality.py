@@ -35,22 +35,22 @@ def _distinct(owner: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return np.bincount(who, minlength=n).astype(float), top
 
 
-def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """One row of FEATURES for each document; an empty one has zeros."""
+def statistics(data: np.ndarray, off: np.ndarray, spans: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, h: np.ndarray | None = None) -> np.ndarray:
+    """One row of FEATURES for each document; an empty one has zeros. Word spans and their hashes are taken where they are known."""
     n = len(off) - 1
     size = np.diff(off).astype(float)
     owner = np.repeat(np.arange(n), np.diff(off))
     counts = np.bincount(owner * 256 + data, minlength=256 * n).reshape(n, 256).astype(float)
     some = np.maximum(size, 1)
     share = counts / some[:, None]
-    s, e, at = word_spans(data, off)
+    s, e, at = spans or word_spans(data, off)
     words = np.diff(at)
     many = np.maximum(words, 1)
     doc = np.repeat(np.arange(n), words)
     length = (e - s).astype(float)
     mean = np.bincount(doc, length, n) / many
     sd = np.sqrt(np.maximum(np.bincount(doc, length * length, n) / many - mean * mean, 0))
-    h = span_hashes(data, s, e)
+    h = span_hashes(data, s, e) if h is None else h
     distinct, top = _distinct(doc, h, n) if len(h) else (np.zeros(n), np.zeros(n))
     pair = np.flatnonzero(doc[1:] == doc[:-1]) if len(h) else np.zeros(0, int)
     pairs = _distinct(doc[pair], mix(h[pair] * np.uint64(3) + h[pair + 1]), n)[0] if len(pair) else np.zeros(n)

@@ -1,7 +1,8 @@
 """Byte-level BPE ids of whole Arrow text columns.
 
 Text is cut at the file's added tokens and into pre-tokens with array operations over code points, every pre-token
-is looked up by its bytes in a bounded per-worker lexicon, and only pre-tokens not met before are merged by the library.
+is looked up by its bytes in a bounded per-worker lexicon, and only pre-tokens not met before are merged by the library,
+all those of a chunk in one call.
 The ids equal those of the tokenizer file read by `tokenizers` with add_special_tokens=False.
 """
 
@@ -9,7 +10,8 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, partial
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -84,8 +86,9 @@ class Lexicon:
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in file["added_tokens"]):
             raise ValueError("added tokens that take in their surroundings are not supported")
         ranks = {bytes(values[c] for c in t): i for t, i in vocabulary.items() if all(c in values for c in t) and t.encode() not in self.added}
-        self.bpe = tiktoken.Encoding("piece", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-        self.path, self.most = path, most
+        encoding = partial(tiktoken.Encoding, "piece", mergeable_ranks=ranks, special_tokens={})
+        self.bpe, self.alone = encoding(pat_str=r"[^\x00]+|\x00"), encoding(pat_str=r"[\s\S]+")
+        self.path, self.most, self.zero = path, most, ranks[b"\0"]
         self.clear()
 
     def clear(self) -> None:
@@ -94,26 +97,36 @@ class Lexicon:
         self.ids[: len(self.added)] = list(self.added.values())
         self.at = np.arange(self.most + len(self.added) + 1)
 
-    def entries(self, pieces: list[bytes]) -> np.ndarray:
+    def merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some pre-tokens in turn, and how many each has: one text with zero bytes between them, or one by one if any holds a zero byte."""
+        text = b"\0".join(pieces)
+        if text.count(b"\0") >= len(pieces):
+            each = [self.alone.encode_ordinary(p.decode()) for p in pieces]
+            return np.array([x for ids in each for x in ids], np.uint32), np.array([len(ids) for ids in each])
+        ids = self.bpe.encode_to_numpy(text.decode())
+        between = ids == self.zero
+        return ids[~between], np.diff(np.flatnonzero(between), prepend=-1, append=len(ids)) - 1
+
+    def entries(self, pieces: np.ndarray) -> np.ndarray:
         """The entry of each of some distinct pre-tokens, new ones merged first."""
-        entry = self.entry
-        new = [p for p in pieces if p not in entry]
-        if len(entry) + len(new) > self.most:
+        found = np.fromiter(map(self.entry.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(found < 0)
+        if len(self.entry) + len(new) > self.most:
             self.most = max(self.most, len(pieces) + len(self.added))
             self.clear()
-            entry = self.entry
-            new = [p for p in pieces if p not in entry]
-        n, end = len(entry), int(self.at[len(entry)])
-        for piece in new:
-            ids = self.bpe.encode_ordinary(piece.decode())
+            found = np.fromiter(map(self.entry.get, pieces, repeat(-1)), np.int64, len(pieces))
+            new = np.flatnonzero(found < 0)
+        if len(new):
+            n, fresh = len(self.entry), pieces[new].tolist()
+            ids, sizes = self.merged(fresh)
+            end = int(self.at[n])
             if end + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
             self.ids[end : end + len(ids)] = ids
-            end += len(ids)
-            entry[piece] = n
-            n += 1
-            self.at[n] = end
-        return np.fromiter((entry[p] for p in pieces), np.int64, len(pieces))
+            found[new] = np.arange(n, n + len(new))
+            self.at[n + 1 : n + 1 + len(new)] = end + np.cumsum(sizes)
+            self.entry.update(zip(fresh, range(n, n + len(new)), strict=True))
+        return found
 
     def added_spans(self, raw: bytes, offsets: np.ndarray) -> list[tuple[int, int]]:
         """Byte spans of added tokens, each inside one document."""
@@ -146,7 +159,7 @@ class Lexicon:
         a = lead[start]
         places = np.append(a, len(data)).astype(np.int32)
         coded = pa.BinaryArray.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(places), pa.py_buffer(raw)]).dictionary_encode()
-        entry = self.entries(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        entry = self.entries(coded.dictionary.to_numpy(zero_copy_only=False))[coded.indices.to_numpy()]
         n = self.at[entry + 1] - self.at[entry]
         end = np.cumsum(n)
         flat = self.ids[np.repeat(self.at[entry] - (end - n), n) + np.arange(int(end[-1]))]

@@ -644,6 +644,48 @@ def test_mixing_counts_the_tokens_that_packing_packs(docs, labels):
     assert {i: n + 1 for i, n in got.items()} == packed
 
 
+class Counted:
+    """Counts what is asked of something."""
+
+    def __init__(self, inner):
+        self.inner, self.asked = inner, 0
+
+    def __getattr__(self, name):
+        self.asked += 1
+        return getattr(self.inner, name)
+
+
+@pytest.mark.parametrize("between", [" ", "\0", " \0\0", "\0x "])
+def test_new_pre_tokens_are_merged_in_bulk(between):
+    """The library is asked once for a text's new pre-tokens, not once for each, and ids are its own, with zero bytes too."""
+    lex = tokens.Lexicon(tokens.default_path(), most=3000)
+    lex.bpe = Counted(lex.bpe)
+    for part in range(3):
+        texts = [between.join(f"Wort{chr(97 + i % 26)}ü{i * 7919 % 10007}'s" for i in range(900 * part, 900 * (part + 1))), "", None, "\0", f"zuletzt{part}"]
+        data, off = tokens.utf8(pa.array(texts))
+        ids, at = lex.encode(data, off)
+        want = [e.ids for e in tokens.library(tokens.default_path()).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
+    assert lex.bpe.asked <= 3 and len(lex.entry) <= 3000
+
+
+def test_mixing_cuts_a_text_into_words_once(monkeypatch):
+    """Bare words and statistics come from one cut into words; both are those of the plain way."""
+    texts = ["", "(a) -b- c. --- . .. ... a-b 'tis", " \n", "x", "...", "Ein (Wort), noch ein Wort. Ein ü-Wort!\n!!", None, "(a)" * 40 + " b"]
+    data, off = tokens.utf8(pa.array(texts))
+    stats = quality.statistics(data, off)
+    cuts = []
+    for module in (mixing, quality):
+        monkeypatch.setattr(module, "word_spans", lambda *a: cuts.append(1) or word_spans(*a))
+    ids, at, got = mixing.features(data, off)
+    assert len(cuts) == 1 and got.tobytes() == stats.tobytes()
+    marks = {chr(c) for c in np.flatnonzero(mixing._MARK)}
+    for i, text in enumerate(texts):
+        bare = [w[(w[0] in marks and len(w.encode()) > 1) : len(w) - (w[-1] in marks and len(w.encode()) > 2)].encode() for w in words(text)]
+        raw, ends = np.frombuffer(b"".join(bare), np.uint8), np.cumsum([0, *map(len, bare)])
+        assert ids[at[i] : at[i + 1]].tolist() == sorted({int(h >> np.uint64(40)) % mixing.HASHED for h in mixing.span_hashes(raw, ends[:-1], ends[1:])})
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -171,6 +171,20 @@ def components(links: DataFrame) -> DataFrame:
     return label
 
 
+def crowded(classes: DataFrame) -> DataFrame:
+    """(bucket, doc, centre, pivot): the members of every bucket that has two or more, with its smallest and a random one.
+
+    Most buckets have one member. Keys alone are counted first, so that only the other buckets' members are aggregated and sorted as whole rows.
+    """
+    fact = F.struct("rep", "n_shingles", *(F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH // 64))).alias("doc")
+    posted = classes.select(F.explode("bands").alias("bucket"), fact)
+    crowds = posted.groupBy("bucket").count().where("count > 1").select("bucket")
+    # hashed, as a merge join would sort all that is posted
+    members = materialize(posted.join(crowds.hint("shuffle_hash"), "bucket", "left_semi"), "near-posted")
+    ends = members.groupBy("bucket").agg(F.min("doc").alias("centre"), F.min(F.struct(F.xxhash64("doc.rep", "bucket").alias("h"), "doc")).alias("pivot"))
+    return materialize(members.join(ends.select("bucket", "centre", F.col("pivot.doc").alias("pivot")), "bucket"), "near-buckets")
+
+
 def near_duplicates(docs: DataFrame, permutations: int = 100, rows: int = 5, words: int = 5, percent: int = 75, block: int = 4096) -> DataFrame:
     """Near-duplicate groups of documents(doc_id, text, ...).
 
@@ -185,10 +199,7 @@ def near_duplicates(docs: DataFrame, permutations: int = 100, rows: int = 5, wor
     sig = materialize(signatures(docs, permutations, rows, words), "near-signatures")
     some = sig.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(some.groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "near-classes")
-    fact = F.struct("rep", "n_shingles", *(F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH // 64))).alias("doc")
-    posted = classes.select(F.explode("bands").alias("bucket"), fact)
-    crowd = posted.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc").alias("centre"), F.min(F.struct(F.xxhash64("doc.rep", "bucket").alias("h"), "doc")).alias("pivot")).where("n > 1")
-    members = materialize(posted.join(crowd.select("bucket", "centre", F.col("pivot.doc").alias("pivot")), "bucket"), "near-buckets")
+    members = crowded(classes)
 
     bits = min(2 * permutations, SKETCH)
     chance = (1 - percent / 100) / 2

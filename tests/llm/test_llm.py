@@ -144,6 +144,30 @@ def test_near_duplicates_of_drifting_texts(spark):
     assert {r["component_id"] for r in got} == {1} and sum(r["kept"] for r in got) == 1
 
 
+def test_near_duplicates_aggregate_crowded_buckets_only(spark, docs, monkeypatch):
+    """Members, centres and pivots equal plain loops; what is posted is counted by its keys, and no whole row of it is sorted."""
+    plans, steps, write = {}, {}, neardup.materialize
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().sparkPlan().toString()
+        steps.setdefault(name, write(df, name))
+        return steps[name]
+
+    monkeypatch.setattr(neardup, "materialize", kept)
+    got = neardup.crowded(kept(neardup.signatures(docs).where("n_shingles > 0").withColumnRenamed("doc_id", "rep"), "near-classes"))
+    assert not [k for k, p in plans.items() if "Generate" in p and ("SortAggregate" in p or "SortMergeJoin" in p)]
+    buckets = {}
+    for r in steps["near-classes"].collect():
+        for b in r["bands"]:
+            buckets.setdefault(b, []).append((r["rep"], r["n_shingles"], *r["sketch"]))
+    buckets = {b: x for b, x in buckets.items() if len(x) > 1}
+    rows = got.withColumn("h", F.xxhash64("doc.rep", "bucket")).collect()
+    hashes = {(r["bucket"], r["doc"]["rep"]): r["h"] for r in rows}
+    want = [(b, d, min(x), min(x, key=lambda m: (hashes[b, m[0]], m))) for b, x in buckets.items() for d in x]
+    assert sorted((r["bucket"], tuple(r["doc"]), tuple(r["centre"]), tuple(r["pivot"])) for r in rows) == sorted(want)
+    assert len(want) > 0 and steps["near-posted"].count() == len(want)
+
+
 def test_near_duplicates_odd(odd, empty):
     got = {(r["doc_id"], r["n_shingles"]): r for r in neardup.near_duplicates(odd).collect()}
     assert got[1, 0]["component_id"] == 1 and got[2, 0]["kept"] and got[3, 0]["kept"]

@@ -32,7 +32,9 @@ def equal_time_centres(cells: DataFrame, bins: int, most_elements: int | None =
     first = F.col("low") + width / 2
     last = F.col("high") - width / 2
     step = (last - first) / max(bins - 1, 1)
-    return spans.select("branch", "low", "high", width.alias("spacing"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).withColumn("centre", first + F.col("bin") * step).select("branch", "bin", "centre", "spacing", "low", "high")
+    rows = spans.select("branch", "low", "high", width.alias("spacing"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).withColumn("centre", first + F.col("bin") * step)
+    # a few rows from all cells, which every step reads again
+    return written(rows.select("branch", "bin", "centre", "spacing", "low", "high"), "centres")
 
 
 def _cuts(branches: DataFrame, stable: DataFrame | None) -> DataFrame:
@@ -80,6 +82,7 @@ def state_pilots(cells: DataFrame, centres: DataFrame, subdivisions: int = 3, le
     boots = None
     if repeats:
         numbered = counts_below(rows.groupBy("branch", "pilot", "cell_id").agg(F.first("x").alias("x"), F.count("*").alias("_k")), key, "cell_id", "_k").select("cell_id", *key, "x", F.col("_below").alias("k"))
+        numbered, times = written(numbered, "numbered"), written(times, "times")
         share = 1 / F.col("n") + F.when(F.col("ss") > 0, -F.col("mx") * (F.col("x") - F.col("mx")) / F.col("ss")).otherwise(0.0)
         dealt = numbered.join(F.broadcast(times), key).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
         dealt = dealt.select(*key, "replicate", F.pmod(draw(F.lit(seed), F.col("branch"), F.col("pilot"), F.col("replicate"), F.col("k")), F.col("n")).alias("k"), share.alias("share"))
@@ -87,7 +90,7 @@ def state_pilots(cells: DataFrame, centres: DataFrame, subdivisions: int = 3, le
         given = left.join(numbered.select("cell_id", *key, "k"), ["cell_id", *key]).withColumn("e", F.col("e") * F.sqrt(F.col("n") / (F.col("n") - F.col("rank"))))
         changes = given.join(weights, [*key, "k"]).groupBy(*key, "replicate", "dim").agg(F.sum(F.col("share") * F.col("e")).alias("change"))
         each = changes.groupBy(*key, "replicate").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "change"))), lambda x: x["change"]).alias("change"))
-        boots = each.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("replicate", "change"))), lambda x: x["change"]).alias("boots"))
+        boots = written(each.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("replicate", "change"))), lambda x: x["change"]).alias("boots")), "boots")
     out = grid.select("branch", "pilot", "at", "region").join(pilots.select(*key, "n", "rank", "noise", "variance", "mu"), key, "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
     out = out.join(boots, key, "left") if boots is not None else out.withColumn("boots", F.lit(None).cast("array<array<double>>"))
     return written(out, "pilots"), rows
@@ -112,13 +115,13 @@ def state_scores(pilots: DataFrame, centres: DataFrame, multipliers: list[float]
     both = offered.join(F.broadcast(pilots), ["branch", "region"], "left").withColumn("w", F.exp(-z * z / 2)).withColumn("fit", F.col("rank") > 0)
     # pilots and bins are few hundreds a branch, whatever the cells are
     held = F.when(F.col("fit"), F.col("w")).otherwise(0.0)
-    mass = both.groupBy(*key).agg(F.sum(held).alias("mass"), F.sum("w").alias("total"), F.sum(F.col("fit").cast("int")).alias("pilots"))
+    mass = written(both.groupBy(*key).agg(F.sum(held).alias("mass"), F.sum("w").alias("total"), F.sum(F.col("fit").cast("int")).alias("pilots")), "mass")
     fitted = written(both.where("fit").join(mass, key).where("mass > 0").select(*key, "pilot", (F.col("w") / F.col("mass")).alias("p"), "noise", "variance", "mu", "boots"), "weights")
-    levels = fitted.groupBy(*key).agg(F.sum(F.col("p") * (1 - F.col("p")) * F.col("variance")).alias("correction"), F.sum(F.col("p") * F.col("noise")).alias("noise"))
+    levels = written(fitted.groupBy(*key).agg(F.sum(F.col("p") * (1 - F.col("p")) * F.col("variance")).alias("correction"), F.sum(F.col("p") * F.col("noise")).alias("noise")), "levels")
     spread = fitted.select(*key, "p", F.posexplode("mu").alias("dim", "m")).groupBy(*key, "dim").agg(_spread(F.col("m")).alias("d")).groupBy(*key).agg(F.sum("d").alias("d"))
     moved = fitted.select(*key, "p", "mu", F.posexplode("boots").alias("replicate", "change")).select(*key, "replicate", "p", F.posexplode(F.zip_with("mu", "change", lambda a, b: a + b)).alias("dim", "m"))
     again = moved.groupBy(*key, "replicate", "dim").agg(_spread(F.col("m")).alias("d")).groupBy(*key, "replicate").agg(F.sum("d").alias("d")).join(levels, key)
-    unsure = again.groupBy(*key).agg(F.stddev_samp(F.greatest(F.col("d") - F.col("correction"), F.lit(0.0))).alias("uncertainty"))
+    unsure = written(again.groupBy(*key).agg(F.stddev_samp(F.greatest(F.col("d") - F.col("correction"), F.lit(0.0))).alias("uncertainty")), "uncertainty")
     # the spread of pilots within branches, every branch alike
     known = pilots.where("rank > 0").withColumn("_one", F.lit(1.0))
     within = known.select("branch", "_one", F.posexplode("mu").alias("dim", "m")).groupBy("branch", "dim").agg((_spread(F.col("m"), "_one") / F.count("*")).alias("d")).groupBy("branch").agg(F.sum("d").alias("d"))
@@ -133,7 +136,7 @@ def state_scores(pilots: DataFrame, centres: DataFrame, multipliers: list[float]
     below = F.col("noise") + F.col("floor")
     score = F.when(below > 0, F.sqrt(above / F.when(below > 0, below))).otherwise(F.when(above == 0, 0.0).otherwise(float("inf")))
     rows = rows.withColumn("score", F.when(F.col("evidence"), score)).withColumn("accepted", F.coalesce(F.col("score") <= budget, F.lit(False)))
-    return rows.select(*key, "pilots", "coverage", "evidence", "distortion", "noise", "uncertainty", "score", "accepted")
+    return written(rows.select(*key, "pilots", "coverage", "evidence", "distortion", "noise", "uncertainty", "score", "accepted"), "scores")
 
 
 def state_bandwidths(scores: DataFrame, centres: DataFrame) -> DataFrame:

@@ -49,3 +49,22 @@ def test_variable_features_equal_numpy(spark):
     assert sorted((g for g in got if got[g].highly_variable), key=lambda g: got[g].rank) == top
     left = variable.variable_by_loess(entries, n, 10, rescued=spark.createDataFrame([(3,)], "feature_id long"))
     assert 3 not in {r.feature_id for r in left.collect()}
+
+
+def test_sums_of_blocks_are_as_good_as_points(spark, monkeypatch):
+    """Blocks inside all windows are not read point by point; gaps, far points and many equal x included."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=900), rng.normal(6, 0.01, 500), np.round(rng.normal(3, 1, 600), 1), [40.0, 41.0, -30.0]])
+    y = np.cos(x / 3) + rng.normal(0, 0.1, len(x))
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "feature_id long, x double, y double")
+    read = []
+    real = variable.Blocks.needs
+    monkeypatch.setattr(variable.Blocks, "needs", lambda self, b: (read.append((len(self.low), len(real(self, b)[2]))), real(self, b))[1])
+    got = {r.feature_id: r.fit for r in variable.loess(points, 0.3, 16).collect()}
+    assert np.abs(np.array([got[i] for i in range(len(x))]) - plain_fit(x, y, 0.3)).max() < 1e-7
+    # before, a block's task had its window to both sides: all points six tenths of the number of blocks times
+    assert sum(k for _, k in read) < 0.15 * read[0][0] ** 2
+    # more points at one x than a window holds
+    same = spark.createDataFrame([(i, 1.0, float(i % 5)) for i in range(50)] + [(50 + i, 2.0 + i, 1.0) for i in range(50)], "feature_id long, x double, y double")
+    got = {r.feature_id: r.fit for r in variable.loess(same, 0.3, 8).collect()}
+    assert len(got) == 100 and got[3] == 2.0 and abs(got[90] - 1) < 1e-9

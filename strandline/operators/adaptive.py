@@ -6,7 +6,7 @@ sums over its cells. Draws come from md5 of what they are for, so that every run
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.ordered import counts_below, quantiles
@@ -153,20 +153,94 @@ def state_bandwidths(scores: DataFrame, centres: DataFrame) -> DataFrame:
     return out.select("branch", "bin", "multiplier", (F.col("multiplier") * F.col("spacing")).alias("bandwidth"), "reason", confident.alias("confident"))
 
 
+#: Parts of a pool to both sides of its median; the median of a draw is looked for in the narrowest that its size allows.
+LEVELS = [0.01, 0.02, 0.05, 0.1, 0.2, 0.5]
+AROUND = [0.5, *[0.5 + side * x for x in LEVELS for side in (-1, 1)]]
+
+
+def _quantiles(rows: DataFrame, by: list[str], value: str, cuts: list[float]) -> DataFrame:
+    """(by, edges) of groups of any size."""
+    return quantiles(rows.select(F.struct(*by).alias("_g"), F.col(value).alias("_x")), "_g", "_x", cuts).select("_g.*", "edges")
+
+
 def _medians(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by, median) of groups of any size."""
-    got = quantiles(rows.select(F.to_json(F.struct(*by)).alias("_g"), F.col(value).alias("_x")), "_g", "_x", [0.5])
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema)
-    return got.select(F.from_json("_g", kinds).alias("_s"), F.col("edges")[0].alias("median")).select("_s.*", "median")
+    return _quantiles(rows, by, value, [0.5]).select(*by, F.col("edges")[0].alias("median"))
+
+
+def _hex(x: Column) -> Column:
+    return F.lpad(F.lower(F.hex(x.cast("long"))), 8, "0")
+
+
+def _draws_near(rank: Column, n: Column, reach: float) -> tuple[Column, Column]:
+    """Draws, as eight hex digits, between which the rank-th smallest of n is, but for chances that fall with reach; "g" is above all."""
+    off = reach * (F.sqrt(rank * (1 - rank / n)) + 1)
+    return _hex(F.floor(F.greatest(rank - off, F.lit(0.0)) / n * 2.0**32)), F.when(rank + off >= n, F.lit("g")).otherwise(_hex(F.ceil((rank + off) / n * 2.0**32)))
+
+
+def _drawn_medians(used: DataFrame, pools: DataFrame, splits: int, seed: int, reach: float) -> DataFrame:
+    """(branch, left, what, split, half, dim, median, whole) of all draws; whole: nothing fell outside of where it was looked for.
+
+    Draws are spread evenly, so that of n the rank-th lies near rank / n: rows surely below it are taken, and only those near it are put in order. The median of a
+    draw is near its pool's: values farther off are counted, and only those near it are told apart. So hardly any of the rows of all splits are kept or shuffled.
+    """
+    key, group = ["branch", "left"], ["branch", "left", "what", "split", "half", "dim"]
+    m, observed = F.col("m"), F.col("what") == "observed"
+    n = F.when(observed, F.when(F.col("side") == 0, F.col("left_count")).otherwise(F.col("right_count"))).otherwise(F.col("left_count") + F.col("right_count"))
+    (low, high), (low2, high2) = _draws_near(m, n, reach), _draws_near(2 * m, n, reach)
+    need = reach / 2 / F.sqrt("m") + 1 / m
+    level = F.coalesce(*[F.when(need <= x, F.lit(i)) for i, x in enumerate(LEVELS)], F.lit(len(LEVELS) - 1))
+    at = lambda k: F.transform("around", lambda e: F.element_at(e, 2 * level + k))
+    rules = pools.select(*key, "side", "what", "m", "centre", at(2).alias("vlow"), at(3).alias("vhigh"), low.alias("low"), high.alias("high"), low2.alias("low2"), high2.alias("high2"), F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"))
+    # in one draw's small groups both places touch: all between is put in order
+    touch = F.col("high") >= F.col("low2")
+    rules = rules.withColumn("high", F.when(~observed & touch, F.col("high2")).otherwise(F.col("high"))).withColumn("low2", F.when(observed, "").when(touch, F.col("high2")).otherwise(F.col("low2")))
+    text = F.concat_ws("|", F.lit(seed).cast("string"), "what", F.col("split").cast("string"), F.col("branch").cast("string"), F.col("left").cast("string"), F.lit(""))
+    numbered = rules.withColumn("prefix", text).withColumn("draw", F.row_number().over(Window.orderBy(*key, "what", "split", "side")))
+    rules = written(numbered, "rules")
+    # what a value is does not depend on the split
+    rest = lambda y, i: y - F.element_at("centre", i + 1)
+    off = lambda x, i: F.when(x < F.element_at("vlow", i + 1), -1).when(x > F.element_at("vhigh", i + 1), 1).otherwise(0)
+    placed = F.transform(F.transform("vec", lambda y, i: F.struct(i.alias("dim"), rest(y, i).alias("y"), off(rest(y, i), i).alias("off"))), lambda v: F.struct(v["dim"].alias("dim"), v["off"].alias("off"), F.when(v["off"] == 0, v["y"]).alias("y")))
+    kinds_of = rules.select(*key, "side", "what", "centre", "vlow", "vhigh").distinct()
+    whats = used.select("cell_id", F.col("cell_id").cast("string").alias("name"), *key, "side", "vec").join(F.broadcast(kinds_of), [*key, "side"]).select("cell_id", "name", *key, "side", "what", placed.alias("values"))
+    every = whats.join(F.broadcast(rules.select(*key, "side", "what", "draw", "prefix", "low", "high", "low2", "high2")), [*key, "side", "what"])
+    every = every.select("cell_id", "draw", "what", "values", "low", "high", "low2", "high2", F.substring(F.md5(F.concat("prefix", "name").cast("binary")), 1, 8).alias("d"))
+    d, noise = F.col("d"), F.col("what") == "noise"
+    # 0 and 2 are surely the first and second half's, 1 and 3 near their ends
+    zone = F.when(d < F.col("low"), 0).when(d <= F.col("high"), 1).when(noise & (d < F.col("low2")), 2).when(noise & (d <= F.col("high2")), 3)
+    items = every.select("cell_id", "draw", "d", zone.alias("zone"), "values").where("zone is not null").select("cell_id", "draw", "d", "zone", F.explode("values").alias("v"))
+    near = F.col("zone") % 2 == 1
+    items = items.select("draw", "zone", "v.*", F.when(near, F.col("d")).alias("d"), F.when(near, F.col("cell_id")).alias("cell_id"))
+    drawn = written(items.groupBy("draw", "zone", "dim", "off", "y", "d", "cell_id").agg(F.count("*").alias("n")), "drawn")
+    drawn = drawn.join(F.broadcast(rules.select("draw", *key, "what", "split", "side", "m")), "draw").withColumn("side", F.when(noise, -1).otherwise(F.col("side")))
+    sure = drawn.where("zone in (0, 2)").withColumn("half", F.when(noise, F.col("zone") / 2).otherwise(F.col("side")).cast("int"))
+    draw_of = [*key, "what", "split", "side", "dim"]
+    before = sure.groupBy(*draw_of).agg(F.sum(F.when(F.col("zone") == 0, F.col("n")).otherwise(0)).alias("_first"), F.sum(F.when(F.col("zone") == 2, F.col("n")).otherwise(0)).alias("_second"))
+    order = ["d", F.lpad(F.col("cell_id").cast("string"), 20, "0")]
+    near = drawn.where("zone in (1, 3)").withColumn("_k", F.row_number().over(Window.partitionBy(*draw_of).orderBy(*order)) - 1).join(F.broadcast(before), draw_of, "left")
+    nth = F.col("_k") + F.coalesce("_first", F.lit(0)) + F.when(F.col("zone") == 3, F.coalesce("_second", F.lit(0))).otherwise(0)
+    half = F.when(noise, F.when(nth < m, 0).when(nth < 2 * m, 1)).otherwise(F.when(nth < m, F.col("side")))
+    taken = near.withColumn("half", half).where("half is not null").select(*group, "m", "off", "y", "n")
+    kinds = sure.select(*group, "m", "off", "y", "n").unionByName(taken).where("off <> 0 or y is not null").groupBy(*group, "m", "off", "y").agg(F.sum("n").alias("n"))
+    own = Window.partitionBy(*group)
+    start = F.coalesce(F.sum("n").over(own.orderBy("off", "y").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = kinds.withColumn("_start", start).withColumn("_all", F.sum("n").over(own))
+    lower, upper = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    holds = lambda r: F.max(F.when((F.col("off") == 0) & (F.col("_start") <= r) & (r < F.col("_start") + F.col("n")), F.col("y")))
+    found = placed.groupBy(*group).agg(F.first("m").alias("m"), F.first("_all").alias("_all"), holds(lower).alias("_l"), holds(upper).alias("_h"))
+    median = F.when(F.col("_all") % 2 == 1, F.col("_l")).otherwise(F.col("_h") - (F.col("_h") - F.col("_l")) * 0.5)
+    return written(found.select(*group, median.alias("median"), (median.isNotNull() & (F.col("_all") == F.col("m"))).alias("whole")), "halves")
 
 
-def boundaries(cells: DataFrame, centres: DataFrame, least: int = 12, splits: int = 20, stability: float = 0.8, seed: int = 0) -> DataFrame:
+def boundaries(cells: DataFrame, centres: DataFrame, least: int = 12, splits: int = 20, stability: float = 0.8, seed: int = 0, reach: float = 5.0) -> DataFrame:
     """(branch, left, edge, left_count, right_count, stability, threshold, status): edges between bins at which the cells' states jump.
 
     cells(cell_id, branch, pseudotime, vec); an edge lies midway between two bins' centres, and a cell belongs to the bin its time falls to by the edges. For each split half of the
     smaller side's number is drawn from both sides, and their medians' distance is compared with that between two such draws from the pool of
     both sides' cells around their own medians. The threshold is the noise distances' median plus three median absolute deviations, stability the share of splits
-    above it. Draws are the first by draw(seed, what, split, branch, edge, cell_id), ties by cell_id.
+    above it. Draws are the first by draw(seed, what, split, branch, edge, cell_id), ties by cell_id. Where rows and values are looked for is `reach` deviations wide at first, and widened
+    if that was too narrow, so that the result does not depend on it.
     """
     edges = centres.select("branch", F.col("bin").alias("left"), "centre").join(centres.select("branch", (F.col("bin") - 1).alias("left"), F.col("centre").alias("_next")), ["branch", "left"])
     edges = written(edges.select("branch", "left", ((F.col("centre") + F.col("_next")) / 2).alias("edge")), "edges")
@@ -179,20 +253,20 @@ def boundaries(cells: DataFrame, centres: DataFrame, least: int = 12, splits: in
     counts = written(counts, "sides")
     enough = F.least("left_count", "right_count") >= least
     used = written(sided.join(F.broadcast(counts.where(enough).select(*key, "m")), key).select("cell_id", *key, "side", "m", "vec"), "sided")
-    values = written(used.select("cell_id", *key, "side", F.posexplode("vec").alias("dim", "y")), "side-values")
-    middle = _medians(values, [*key, "side", "dim"], "y")
-    centred = values.join(F.broadcast(middle), [*key, "side", "dim"]).select("cell_id", *key, "dim", (F.col("y") - F.col("median")).alias("r"))
-    every = used.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-
-    def drawn(what: str, by: list[str]) -> DataFrame:
-        order = F.format_string("%010d|%s", draw(F.lit(seed), F.lit(what), F.col("split"), F.col("branch"), F.col("left"), F.col("cell_id")), F.lpad(F.col("cell_id").cast("string"), 20, "0"))
-        rows = every.withColumn("_o", order).select(*key, "side", "split", "m", "cell_id", "_o").withColumn("_k", F.lit(1))
-        return counts_below(rows, by, "_o", "_k").select(*key, "side", "split", "m", "cell_id", F.col("_below").alias("nth"))
-
-    seen = drawn("observed", [*key, "side", "split"]).where("nth < m").select(*key, "split", F.col("side").alias("half"), "side", "cell_id").join(values, [*key, "side", "cell_id"]).select(*key, "split", "half", "dim", "y")
-    pool = drawn("noise", [*key, "split"]).where("nth < 2 * m").select(*key, "split", (F.col("nth") >= F.col("m")).cast("int").alias("half"), "cell_id").join(centred, [*key, "cell_id"]).select(*key, "split", "half", "dim", F.col("r").alias("y"))
-    drawn_rows = seen.withColumn("what", F.lit("observed")).unionByName(pool.withColumn("what", F.lit("noise")))
-    halves = _medians(drawn_rows, [*key, "what", "split", "half", "dim"], "y")
+    values = used.select(*key, "side", F.posexplode("vec").alias("dim", "y"))
+    seen = written(_quantiles(values, [*key, "side", "dim"], "y", AROUND), "around")
+    middle = F.broadcast(seen.select(*key, "side", "dim", F.col("edges")[0].alias("median")))
+    rest = _quantiles(values.join(middle, [*key, "side", "dim"]).select(*key, "dim", (F.col("y") - F.col("median")).alias("r")), [*key, "dim"], "r", AROUND)
+    both = seen.select(*key, "side", "dim", F.lit("observed").alias("what"), F.lit(0.0).alias("c"), "edges").unionByName(rest.join(middle, [*key, "dim"]).select(*key, "side", "dim", F.lit("noise").alias("what"), F.col("median").alias("c"), "edges"))
+    listed = both.groupBy(*key, "side", "what").agg(F.array_sort(F.collect_list(F.struct("dim", "c", "edges"))).alias("_d"))
+    pools = written(listed.select(*key, "side", "what", F.col("_d.c").alias("centre"), F.col("_d.edges").alias("around")).join(counts.select(*key, "left_count", "right_count", "m"), key), "pools")
+    wanted = pools.agg(F.sum(F.size("centre"))).first()[0] or 0
+    while True:
+        halves = _drawn_medians(used, pools, splits, seed, reach)
+        # beyond this, all rows are put in order and all values told apart
+        if reach > 1e8 or halves.where("whole").count() == wanted * splits:
+            break
+        reach = reach * 4 if reach < 100 else 1e9
     apart = halves.groupBy(*key, "what", "split", "dim").agg(F.sum(F.when(F.col("half") == 0, F.col("median")).otherwise(-F.col("median"))).alias("d")).groupBy(*key, "what", "split").agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("d"))
     apart = written(apart, "distances")
     noise = apart.where("what = 'noise'")
